@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import bpe, simhash, substring
+from sparkquarry.llm import bpe, ngram_lm, shard_tree, simhash, substring
 from sparkquarry.llm.common import load
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -21,6 +21,14 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return load(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
+def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.report(_documents(spark, sf_dir))
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.report(_documents(spark, sf_dir))
+
+
 def op8_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), tokenizer_file())
 
@@ -34,7 +42,7 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ours = (op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball)
+    ours = (op5_shard_tree, op6_kneser_ney, op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball)
     return {f.__name__: f for f in ours}
 
 
