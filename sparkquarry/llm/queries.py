@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import bpe, ngram_lm, shard_tree, simhash, substring
+from sparkquarry.llm import bpe, ngram_lm, secrets, shard_tree, simhash, substring, winnowing
 from sparkquarry.llm.common import load
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -21,6 +21,14 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return load(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(_documents(spark, sf_dir))
+
+
+def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_documents(spark, sf_dir))
+
+
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.report(_documents(spark, sf_dir))
 
@@ -42,7 +50,7 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ours = (op5_shard_tree, op6_kneser_ney, op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball)
+    ours = (op2_winnowing, op3_secret_links, op5_shard_tree, op6_kneser_ney, op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball)
     return {f.__name__: f for f in ours}
 
 
