@@ -9,9 +9,9 @@ the cost of the join and not its result.  Pairs that meet are compared in full:
 bits at most, then edit similarity.  Connected lines form a group, of which the first
 occurrence (least doc_id, then line number) stays.
 
-A block value shared by more than ``DENSE`` lines does not meet pairwise.  Its least
-line is compared with all others; lines linked to it are one group already, so only
-lines that are not go on to the next round, as the next least line against all.
+Lines of a block value that more than ``DENSE`` share do not meet pairwise: they are dealt
+anew by more bits (nine of twelve blocks), and where many still agree a few centres
+gather what is similar to them (see ``buckets``).
 
 Defined results: null texts stay null and have no lines; lines of fewer than
 ``SHORTEST`` normalised characters are never removed; a text whose lines all go becomes
@@ -28,7 +28,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.common import SPACE, staged
+from sparkquarry.llm.buckets import links_in_buckets
+from sparkquarry.llm.common import SPACE, let, staged
 from sparkquarry.llm.components import connected_components
 
 SHORTEST = 20  # normalised characters
@@ -103,44 +104,30 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_ROWS:
         per_doc = F.broadcast(per_doc)
     got = docs.select("doc_id", "text").join(per_doc, "doc_id")
-    got = got.select(F.explode(F.expr("transform(_lines, x -> struct(x.key1 as key1, get(split(text, '\n'), x.line) as own))")).alias("x"))
+    pick = let(_split(F.col("text")), lambda own: F.transform("_lines", lambda x: F.struct(x["key1"].alias("key1"), F.get(own, x["line"]).alias("own"))))
+    got = got.select(F.explode(pick).alias("x"))
     return got.select("x.key1", normalised(F.col("x.own")).alias("norm"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs of lines that are similar in full."""
-    left = texts.select(F.col("key1").alias("u"), F.col("norm").alias("_a"))
-    right = texts.select(F.col("key1").alias("v"), F.col("norm").alias("_b"))
-    longer = F.greatest(F.length("_a"), F.length("_b"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("_most", F.floor(longer * (1 - ALIKE) + 1e-9).cast("int"))
-    return both.filter("abs(length(_a) - length(_b)) <= _most and levenshtein(_a, _b, _most) >= 0").drop("_a", "_b", "_most")
-
-
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``(u, v)`` links between near lines; ``distinct(key1, doc_id, line, sim)`` has each line once."""
-    masks = F.array(*[F.lit(m) for m in block_masks(distinct.count())])
-    keyed = distinct.select("key1", "sim", "doc_id", "line", F.posexplode(masks).alias("choice", "mask")).withColumn("part", F.expr("sim & mask")).drop("mask")
-    shared = keyed.groupBy("choice", "part").agg(F.count("*").alias("n")).filter("n > 1")
-    met = staged(keyed.join(shared, ["choice", "part"]), "lines-met")
-    texts = staged(_texts(docs, met.select("key1", "doc_id", "line").distinct()), "lines-text")
-    close = f"bit_count(a_sim ^ b_sim) <= {RADIUS}"
-    side = lambda rows, name: rows.select("choice", "part", F.col("key1").alias(name), F.col("sim").alias(f"{'a' if name == 'u' else 'b'}_sim"))
-    few = met.filter(f"n <= {DENSE}")
-    pairs = side(few, "u").join(side(few, "v"), ["choice", "part"]).filter("u < v").filter(close).select("u", "v").distinct()
-    links = [staged(_verified(pairs, texts), "lines-links")]
-    crowd = met.filter(f"n > {DENSE}").select("choice", "part", "key1", "sim")
-    open_ = crowd
-    while open_.take(1):
-        centre = open_.groupBy("choice", "part").agg(F.min(F.struct("key1", "sim")).alias("c")).select("choice", "part", F.col("c.key1").alias("u"), F.col("c.sim").alias("a_sim"))
-        tried = side(crowd, "v").join(centre, ["choice", "part"]).filter("u <> v").filter(close).select("choice", "part", "u", "v")
-        linked = staged(_verified(tried, texts), "lines-crowd")
-        links.append(linked.select("u", "v"))
-        gone = linked.select("choice", "part", F.col("v").alias("key1")).union(centre.select("choice", "part", F.col("u").alias("key1")))
-        open_ = staged(open_.join(gone, ["choice", "part", "key1"], "left_anti"), "lines-open")
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+
+    def keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
+        each = rows.select("id", "sim", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
+        return each.select(F.struct("choice", F.expr("sim & mask").alias("part")).alias("bucket"), "id", "sim")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("u").alias("key1")).union(pairs.select("v")).distinct()
+        texts = staged(_texts(docs, staged(distinct.join(ids, "key1").select("key1", "doc_id", "line"), "lines-wanted")), "lines-text")
+        left = texts.select(F.col("key1").alias("u"), F.col("norm").alias("_a"))
+        right = texts.select(F.col("key1").alias("v"), F.col("norm").alias("_b"))
+        longer = F.greatest(F.length("_a"), F.length("_b"))
+        both = pairs.join(left, "u").join(right, "v").withColumn("_most", F.floor(longer * (1 - ALIKE) + 1e-9).cast("int"))
+        return both.filter("abs(length(_a) - length(_b)) <= _most and levenshtein(_a, _b, _most) >= 0")
+
+    rows = distinct.select(F.col("key1").alias("id"), "sim")
+    wide, narrow = block_masks(distinct.count()), block_masks(1 << 62)
+    return links_in_buckets(keyed(rows, wide), f"bit_count(a_sim ^ b_sim) <= {RADIUS}", verify, "lines", lambda crowd: keyed(crowd, narrow), DENSE)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

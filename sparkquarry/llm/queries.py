@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import bpe, ngram_lm, secrets, shard_tree, simhash, substring, winnowing
+from sparkquarry.llm import bpe, lines, ngram_lm, secrets, shard_tree, simhash, substring, templates, toxicity, winnowing
 from sparkquarry.llm.common import load
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return load(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_documents(spark, sf_dir), load(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.report(_documents(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_documents(spark, sf_dir))
 
 
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(_documents(spark, sf_dir), load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.report(_documents(spark, sf_dir))
 
@@ -37,6 +45,10 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.report(_documents(spark, sf_dir))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_documents(spark, sf_dir))
+
+
 def op8_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), tokenizer_file())
 
@@ -50,7 +62,10 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ours = (op2_winnowing, op3_secret_links, op5_shard_tree, op6_kneser_ney, op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball)
+    ours = (
+        op1_toxicity, op2_winnowing, op3_secret_links, op4_template_leaks, op5_shard_tree,
+        op6_kneser_ney, op7_fuzzy_lines, op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball,
+    )
     return {f.__name__: f for f in ours}
 
 

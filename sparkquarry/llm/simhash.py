@@ -15,6 +15,12 @@ loses no link's component, and a variant gathers 65 + 992 fingerprints at most,
 whatever the data.  Fingerprints that share no three of six blocks with any other have
 no neighbour (pigeonhole) and emit nothing.  Copies collapse to one fingerprint first.
 
+``similar_groups`` serves a similarity of word shingles in place of a number of bits.
+Texts that share four fifths of their shingles differ in about every seventh bit, so
+it cuts independent fingerprints into bands, hashes a ball of one flip in each band and
+compares the shingles of what meets.  Band width follows the number of texts, which
+keeps chance meetings few, and the number of bands the wanted recall.
+
 Defined results: a null text counts as empty; a text without words has fingerprint
 zero; fewer words than a shingle form one shingle; repeated rows share a fingerprint;
 an empty table gives no rows; extra columns are ignored.
@@ -22,6 +28,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,7 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.common import slices, staged, words
+from sparkquarry.llm.buckets import links_in_buckets
+from sparkquarry.llm.common import mix, slices, staged, words
 from sparkquarry.llm.components import connected_components
 
 RADIUS = 3
@@ -95,11 +103,14 @@ def xxh64(data: bytes | np.ndarray, start: np.ndarray, size: np.ndarray, seed: i
         return h ^ (h >> np.uint64(32))
 
 
-def simhash(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprints of an array of texts."""
+def simhash(text: pa.Array, shingle: int = SHINGLE, codes: int = 1) -> np.ndarray:
+    """The fingerprints of an array of texts: a row each, ``codes`` independent ones beside each other.
+
+    The first takes the shingles' own hashes, the others scrambled ones.
+    """
     flat, offsets = words(text, lower=True)
     count = np.diff(offsets)
-    out = np.zeros(len(text), np.uint64)
+    out = np.zeros((len(text), codes), np.uint64)
     if not len(flat):
         return out
     size = pc.binary_length(flat).to_numpy().astype(np.int64)
@@ -111,17 +122,22 @@ def simhash(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     last = np.minimum(first + shingle - 1, np.repeat(offsets[1:] - 1, grams))
     hashes = xxh64(data, begin[first], begin[last] + size[last] - begin[first])
     full = np.flatnonzero(grams)
-    ones = np.zeros((len(full), 64), np.int64)
-    step = 1 << 20  # hashes unpacked at a time
+    for k in range(codes):
+        out[full, k] = _majority(mix(hashes + np.uint64(k) * _P1) if k else hashes, bounds[full], grams[full])
+    return out
+
+
+def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits set in over half the hashes of each run."""
+    ones = np.zeros((len(starts), 64), np.int64)
+    step = 1 << 19  # hashes unpacked at a time
     for a in range(0, len(hashes), step):
         b = min(a + step, len(hashes))
         bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        low, high = np.searchsorted(bounds[full], a, "right") - 1, np.searchsorted(bounds[full], b, "left")
-        cuts = np.maximum(bounds[full[low:high]] - a, 0)
-        ones[low:high] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-    most = (2 * ones > grams[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        low, high = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
+        ones[low:high] += np.add.reduceat(bits, np.maximum(starts[low:high] - a, 0), axis=0, dtype=np.int32)
+    most = (2 * ones > sizes[:, None]).astype(np.uint8)
+    return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -130,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(simhash(batch.column("text"), shingle).view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(simhash(batch.column("text"), shingle)[:, 0].view(np.int64))], names=[id_col, "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
@@ -192,3 +208,59 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint in hexadecimal and its component."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Share of pairs at the least similarity that the bands of ``similar_groups`` bring together.
+RECALL = 0.92
+
+
+def _bands(texts: int, similarity: float) -> tuple[int, int]:
+    """Width and number of bands."""
+    width = min(32, max(16, math.ceil(math.log2(max(texts, 2))) + 7))
+    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(width, k) * flip**k * (1 - flip) ** (width - k) for k in range(3))
+    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
+def _shingles(text: str, shingle: int):
+    low = "(lower(coalesce(%s, '')))" % text
+    parts = rf"filter(split({low}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    each = f"transform(sequence(1, size(w) - {shingle - 1}), i -> xxhash64(array_join(slice(w, i, {shingle}), ' ')))"
+    return F.expr(f"array_distinct(transform(array({parts}), w -> if(size(w) >= {shingle}, {each}, array(xxhash64(array_join(w, ' ')))))[0])")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: components over pairs whose sets of word shingles have that Jaccard similarity."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    width, count = _bands(docs.count(), similarity)
+    per_code = 64 // width
+    codes = math.ceil(count / per_code)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            made = simhash(batch.column("text"), shingle, codes).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * codes), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "codes"])
+
+    prints = staged(docs.mapInArrow(run, "doc_id long, codes array<long>"), "similar-codes")
+    nodes = staged(prints.groupBy("codes").agg(F.min("doc_id").alias("node")), "similar-nodes")
+    bands = [f"(shiftrightunsigned(codes[{k // per_code}], {k % per_code * width}) & {(1 << width) - 1}L) | {k << width}L" for k in range(count)]
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+    keyed = nodes.select("node", F.col("codes")[0].alias("sim"), F.explode(F.expr(f"array({', '.join(bands)})")).alias("band"))
+    keyed = keyed.select(F.col("node").alias("id"), "sim", F.col("band"), F.explode(flips).alias("flip")).select(F.expr("band ^ flip").alias("bucket"), "id", "sim")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+        sets = docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", _shingles("text", shingle).alias("s"))
+        sets = staged(sets, "similar-sets")
+        both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("_a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("_b")), "v")
+        common = F.size(F.array_intersect("_a", "_b"))
+        return both.filter(common >= similarity * (F.size("_a") + F.size("_b") - common) - 1e-9)
+
+    # Pairs at the least similarity differ in this many of 64 bits once in a few thousand cases.
+    mean = 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(mean + 3.5 * math.sqrt(mean * (1 - mean / 64)))
+    found = links_in_buckets(keyed, f"bit_count(a_sim ^ b_sim) <= {most}", verify, "similar")
+    groups = connected_components(found, "similar-links")
+    label = nodes.join(groups, "node", "left").select("codes", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(label, "codes").select("doc_id", "component_id")

@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquarry.llm.bpe import Recent
 from sparkquarry.llm.common import slices, staged, words
@@ -341,17 +342,17 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``(doc_id, score)``."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with their score in a new column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.score(batch.column("text")))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(batch.column("text")))], names=[*batch.schema.names, name])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def restore(docs: DataFrame, model: dict) -> DataFrame:
@@ -375,6 +376,6 @@ def fold(doc_id: Column) -> Column:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and prediction for every document; labels of held-out documents are never read."""
     model = learn(docs, labels, fold(F.col("doc_id")) != 2)
-    return score(docs, model).select(
+    return score(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).select(
         "doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     )

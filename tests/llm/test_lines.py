@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import xxhash
 
 from sparkquarry.llm import lines
@@ -85,9 +86,11 @@ def test_against_all_pairs(spark):
     assert run(spark, docs) == want
 
 
-def test_crowded_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_crowded_blocks_give_the_same(spark, monkeypatch, rounds):
     docs = made_docs()
     monkeypatch.setattr(lines, "DENSE", 2)
+    monkeypatch.setattr("sparkquarry.llm.buckets.ROUNDS", rounds)
     assert run(spark, docs) == brute(docs)
 
 
