@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkquarry.llm.common import staged
 
 DENSE = 64  # rows of a bucket that meet pairwise at most
+BROADCAST_ROWS = 1_000_000  # shared buckets (16 bytes each) that are broadcast at most
 ROUNDS = 4  # centres that a crowded bucket tries before the rest meets all
 
 _OPEN, _MAIN, _DONE = 0, 1, 2
@@ -37,7 +38,9 @@ def links_in_buckets(
     component with the centres after ``ROUNDS`` rounds meet all others.
     """
     dense = DENSE if dense is None else dense
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = staged(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-shared")
+    if shared.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        shared = F.broadcast(shared)
     met = staged(keyed.join(shared, "bucket"), f"{name}-met")
 
     def side(rows: DataFrame, own: str, sim: str, *more: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Fuzzy line dedup, in DataFrame expressions only.
 
-Lines (between line feeds) are normalised: lower case, words without surrounding
-punctuation, one space between.  Equal normalised lines are one line by 128 bits of
-hash.  Distinct ones get a 64-bit SimHash of their words; lines at most three bits
+Lines (between line feeds) are normalised: lower case, no ASCII punctuation, one space
+between words.  Equal normalised lines are one line by 128 bits of hash.  Distinct ones
+get a 64-bit SimHash of their words of more than four letters (shorter ones are much the
+same in all lines and would make unlike lines meet); lines at most three bits
 apart agree in all but three of m blocks of the hash (pigeonhole), so they meet in a
 join on those blocks; m grows with the logarithm of the number of lines, which changes
 the cost of the join and not its result.  Pairs that meet are compared in full: three
@@ -15,9 +16,10 @@ gather what is similar to them (see ``buckets``).
 
 Defined results: null texts stay null and have no lines; lines of fewer than
 ``SHORTEST`` normalised characters are never removed; a text whose lines all go becomes
-empty and its row stays; doc_id has to be unique; a SimHash adds up words in blocks of
-65,535 and combines the blocks by exclusive or; extra columns pass through unless their
-names begin with an underscore; an empty table gives no rows.
+empty and its row stays; doc_id has to be unique; lines without words of more than four
+letters are compared for equality alone; a line of over 65,535 words has a SimHash for each such
+block and meets others by any of them; extra columns pass through unless their names
+begin with an underscore; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.buckets import links_in_buckets
-from sparkquarry.llm.common import SPACE, let, staged
+from sparkquarry.llm.common import let, staged
 from sparkquarry.llm.components import connected_components
 
 SHORTEST = 20  # normalised characters
@@ -40,20 +42,23 @@ DENSE = 64
 #: Most candidate documents whose ids are broadcast to fetch their lines (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
-_EDGE = ".,;:!?\"'()[]{}«»“”‘’…|*_`~<>#-"
+CONTENT = 4  # letters that a word has to exceed to count in the SimHash
+
 _LANES = 16  # counters of 16 bits, four to a long
+_BLOCK = 65_535  # words that they can count
 
 
 def _split(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(line), SPACE), lambda w: F.btrim(w, F.lit(_EDGE))), lambda w: w != "")
+def _clean(text: Column) -> Column:
+    """Lower case without ASCII punctuation; one blank for each run of blanks."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", ""), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
 
 
 def normalised(line: Column) -> Column:
-    return F.array_join(_words(line), " ")
+    return F.trim(_clean(line))
 
 
 def _bits() -> Column:
@@ -70,19 +75,24 @@ def _bits() -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line, key1, key2, sim)`` of every line that is long enough."""
-    dealt = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).repartition("doc_id")
-    lines = dealt.select("doc_id", F.posexplode(_split(F.col("text"))).alias("line", "own"))
-    lines = lines.filter(F.length("own") >= SHORTEST).select("doc_id", "line", _words(F.col("own")).alias("words"))
-    norm = F.array_join("words", " ")
-    keyed = lines.filter(F.length(norm) >= SHORTEST).select("doc_id", "line", F.xxhash64(norm).alias("key1"), F.xxhash64(norm, F.lit("second")).alias("key2"), "words")
+    """``(doc_id, line, key1, key2, block, n, sim)`` of every line that is long enough.
+
+    The line is named by 128 bits of its normalised text.  ``sim`` is the SimHash of the ``n`` content
+    words of one block of the line; only lines over ``_BLOCK`` words have blocks after 0.
+    """
+    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(_split(_clean(F.col("text")))).alias("line", "own"))
+    norm = F.trim("own")
+    keyed = lines.filter(F.length("own") >= SHORTEST).select("doc_id", "line", norm.alias("norm")).filter(F.length("norm") >= SHORTEST)
+    keyed = keyed.select("doc_id", "line", F.xxhash64("norm").alias("key1"), F.xxhash64("norm", F.lit("second")).alias("key2"), F.split("norm", " ").alias("words"))
     each = keyed.select("doc_id", "line", "key1", "key2", F.posexplode("words").alias("at", "word"))
-    each = each.select("doc_id", "line", "key1", "key2", F.expr("at div 65535").alias("block"), F.xxhash64("word").alias("h"))
+    content = F.length("word") > CONTENT
+    each = each.filter((F.col("at") == 0) | content).select(
+        "doc_id", "line", "key1", "key2", F.expr(f"at div {_BLOCK}").cast("int").alias("block"), F.when(content, F.xxhash64("word")).alias("h")
+    )
     lane = F.lit(0x0001000100010001)
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lane)).alias(f"s{k}") for k in range(_LANES)]
-    blocks = each.groupBy("doc_id", "line", "key1", "key2", "block").agg(F.count("*").alias("n"), *sums)
-    blocks = blocks.select("doc_id", "line", "key1", "key2", _bits().alias("sim"))
-    return blocks.groupBy("doc_id", "line", "key1", "key2").agg(F.bit_xor("sim").alias("sim"))
+    blocks = each.groupBy("doc_id", "line", "key1", "key2", "block").agg(F.count("h").alias("n"), *sums)
+    return blocks.select("doc_id", "line", "key1", "key2", "block", "n", _bits().alias("sim"))
 
 
 def block_masks(lines: int) -> list[int]:
@@ -114,7 +124,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
         each = rows.select("id", "sim", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
-        return each.select(F.struct("choice", F.expr("sim & mask").alias("part")).alias("bucket"), "id", "sim")
+        return each.select(F.xxhash64("choice", F.expr("sim & mask")).alias("bucket"), "id", "sim")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("key1")).union(pairs.select("v")).distinct()
@@ -133,15 +143,16 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, drop array<int>)``: the numbers of the lines to remove, from 0."""
     lines = staged(line_table(docs), "lines")
-    groups = lines.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
-    groups = staged(groups, "lines-distinct")
-    links = near_lines(docs, groups.select("key1", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "sim"))
+    found = lines.groupBy("key1", "key2", "block").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.max("n").alias("words"))
+    found = staged(found, "lines-distinct")
+    groups = found.filter("block = 0").select("key1", "key2", "first", "n")
+    links = near_lines(docs, found.filter("words > 0").select("key1", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "sim"))
     parts = connected_components(links, "lines-groups").select(F.col("node").alias("key1"), "component")
     near = groups.join(parts, "key1").select("key1", "key2", "component", "first")
     keep = near.groupBy("component").agg(F.min("first").alias("keep"))
     near = near.join(keep, "component").select("key1", "key2", "keep")
     again = groups.filter("n > 1").join(near.select("key1", "key2"), ["key1", "key2"], "left_anti").select("key1", "key2", F.col("first").alias("keep"))
-    gone = lines.join(staged(near.union(again), "lines-keep"), ["key1", "key2"]).filter("doc_id <> keep.doc_id or line <> keep.line")
+    gone = lines.filter("block = 0").join(staged(near.union(again), "lines-keep"), ["key1", "key2"]).filter("doc_id <> keep.doc_id or line <> keep.line")
     return gone.groupBy("doc_id").agg(F.collect_list("line").alias("drop"))
 
 

@@ -9,12 +9,13 @@ from sparkquarry.llm import lines
 
 
 def norm(line):
-    return " ".join(w for w in (w.strip(lines._EDGE) for w in re.split(r"[\x20\x09-\x0D]+", line.lower())) if w)
+    low = re.sub(r"[!-/:-@\[-`{-~]+", "", line.lower())
+    return re.sub(r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ", low).strip(" ")
 
 
 def simhash(text):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ")]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ") if len(w) > 4]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else None
 
 
 def distance(a, b):
@@ -43,7 +44,7 @@ def brute(docs):
     names, sims = list(at), {n: simhash(n) for n in at}
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            if (sims[a] ^ sims[b]).bit_count() <= 3 and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            if None not in (sims[a], sims[b]) and (sims[a] ^ sims[b]).bit_count() <= 3 and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
                 root[find(b)] = find(a)
     groups = {}
     for n, places in at.items():
