@@ -1,0 +1 @@
+"""Evidence retrieval, evaluation and corpus processing as Spark DataFrame plans."""
