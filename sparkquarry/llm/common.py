@@ -52,6 +52,20 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Rows of at most a few dozen bytes that are broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(frame: DataFrame, weight: str = "1", most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written frame to join with, broadcast if its rows are few, else sorted and merged.
+
+    ``weight`` is an expression for how many rows one row stands for (the length of an array).
+    The choice is explicit so that it does not change with the statistics at hand.
+    """
+    rows = frame.agg(F.coalesce(F.sum(F.expr(weight)), F.lit(0))).first()[0]
+    return F.broadcast(frame) if rows <= most else frame.hint("merge")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

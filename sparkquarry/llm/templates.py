@@ -8,8 +8,8 @@ alignment counts if enough of the item's words are covered and its slots are con
 a value of the item always stands against the same value of the document and the other
 way round.  So a question with other numbers or names is caught, a chance frame is not.
 
-The benchmark's windows are broadcast if there are at most ``BROADCAST_ROWS``; beyond
-that both sides are shuffled.  Placeholders are bounded: a window needs at least half
+The benchmark's windows are broadcast if there are few (``common.sized``); beyond that
+both sides are shuffled.  Placeholders are bounded: a window needs at least half
 its tokens to be literal words.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST``
@@ -23,14 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.common import SPACE, let, staged
+from sparkquarry.llm.common import SPACE, let, sized, staged
 
 #: Tokens in a window, covered words that make a leak (or the whole item), shortest item.
 SPAN, COVER, LEAST = 8, 13, 5
 
-#: Most benchmark windows that are broadcast (24 bytes each).
-BROADCAST_ROWS = 1_000_000
-
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 # Units of measure, in the singular and plural as written.
@@ -108,17 +105,17 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
         own = own.select("item_id", F.posexplode(windows(F.col("tokens"), n)).alias("item_pos", "window"), "tokens")
         own = own.filter(_literal(F.slice("tokens", F.col("item_pos") + 1, n)) * 2 >= n).select("window", "item_id", "item_pos")
         own = staged(own, "template-windows")
-        if own.count() <= BROADCAST_ROWS:
-            own = F.broadcast(own)
+        own = sized(own)
         tokens = docs.select("doc_id", canonical(raw_words(F.col("text"))).alias("tokens"))
         ours = tokens.select("doc_id", F.posexplode(windows(F.col("tokens"), n)).alias("pos", "window"))
         found = ours.join(own, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.lit(n).alias("span"))
         hits = found if hits is None else hits.union(found)
     lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.min("item_pos").alias("first"), F.max(F.col("item_pos") + F.col("span")).alias("stop"), F.max("span").alias("span"))
     lines = lines.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("span") - 1))))))
-    lines = lines.join(F.broadcast(items.select("item_id", F.size("tokens").alias("item_words"))) if _small(items) else items.select("item_id", F.size("tokens").alias("item_words")), "item_id")
+    lines = lines.join(sized(items.select("item_id", F.size("tokens").alias("item_words"))), "item_id")
     lines = staged(lines.filter(F.col("covered") >= F.least(F.lit(cover), F.col("item_words"))).drop("at", "span"), "template-lines")
     by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "first", "stop", "covered", "item_words")).alias("lines"))
+    by_doc = sized(staged(by_doc, "template-docs"), "size(lines)")
     texts = docs.join(by_doc, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "lines", raw_words(F.col("text")).alias("raw"))
     texts = texts.select("doc_id", "lines", "raw", canonical(F.col("raw")).alias("tokens"))
     cut = texts.select(
@@ -154,6 +151,3 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
     best = F.max(F.struct("covered", "exact", "n_slots", "item_words")).alias("best")
     return kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.item_words", "best.covered", "best.n_slots", "best.exact")
 
-
-def _small(items: DataFrame) -> bool:
-    return items.count() <= BROADCAST_ROWS // 10
