@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkquarry.llm.common import slices
 
 #: Words and pre-tokens remembered by a worker in each of two generations.
-CACHE = 300_000
+CACHE = 200_000
 
 END = "\x00"  # stands for the mark of a word's end; never a mapped byte
 

@@ -49,6 +49,7 @@ TIMES = (1, 2, 4)  # a stem counts anew where a text has it as often
 Z = 4.0
 THRESHOLD = 0.3
 PREFIXES = range(3, 9)
+HELD = 100_000  # stems that a counting task holds before it passes their counts on
 
 SIGNS = 28  # 0: none (white space, digits, marks), 1-26: a-z, 27: any other letter
 
@@ -59,7 +60,7 @@ LEET = {
 }
 
 # Costs of the channel, in natural logarithms.
-SUBSTITUTE, UNREAD, DROPPED, REPEATED, APART = 0.7, 9.0, 2.5, 1.0, 1.0
+SUBSTITUTE, UNREAD, DROPPED, REPEATED, APART = 0.7, 30.0, 2.5, 1.0, 1.0
 
 _MIXED = re.compile(r"[^\W\d_][^\w\s]*[" + re.escape("".join(LEET)) + r"]+|[" + re.escape("".join(LEET)) + r"]+[^\W\d_]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
@@ -225,17 +226,21 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         counts: dict[str, list[int]] = {}
-        total = [0, 0]
-        for batch in batches:
+
+        def flush() -> pa.RecordBatch:
+            names, pairs = list(counts), list(counts.values())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[1] for n in pairs], pa.int64()), pa.array([n[0] for n in pairs], pa.int64())], names=["stem", "bad", "good"])
+
+        for batch in slices(batches, "text", 1 << 20):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                total[toxic] += 1
+                counts.setdefault("*", [0, 0])[toxic] += 1  # the texts themselves; no stem begins like this
                 for s in marks_of(reader.restore(text).split()):
                     counts.setdefault(s, [0, 0])[toxic] += 1
-        counts["*"] = total  # no stem begins like this
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.string()), pa.array([n[1] for n in counts.values()], pa.int64()), pa.array([n[0] for n in counts.values()], pa.int64())],
-            names=["stem", "bad", "good"],
-        )
+                if len(counts) > HELD:
+                    yield flush()
+        if counts:
+            yield flush()
 
     sample = texts.select("key", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     found = sample.mapInArrow(run, "stem string, bad long, good long")
@@ -252,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> dict:
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, known = Reader(shared.value), chosen_stems.value
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 20):
             out = [sorted({known[s] for s in marks_of(reader.restore(t).split()) if s in known}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["stems"])
 
@@ -307,7 +312,7 @@ class Scorer:
         for mark, weight in model["stems"].items():
             times, stem = mark.split(" ", 1)
             self.marks.setdefault(stem, []).append((int(times), weight))
-        self.stems = Recent(lambda token: self.known(self.reader.words_of(token)), 300_000)
+        self.stems = Recent(lambda token: self.known(self.reader.words_of(token)), 150_000)
 
     def known(self, found: list[str] | tuple[str, ...]) -> tuple[str, ...]:
         marks = self.marks
@@ -349,7 +354,7 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(batch.column("text")))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
