@@ -66,7 +66,7 @@ def numbers_and_dates(text: Column) -> Column:
 
 def quoted_phrases(text: Column) -> Column:
     """Phrases in double quotes, trimmed, in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), lambda p: F.trim(p))
 
 
 def is_keyword(token: Column) -> Column:
