@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import bpe, lines, ngram_lm, secrets, shard_tree, simhash, substring, templates, toxicity, winnowing
+from sparkquarry.llm import bpe, lines, ngram_lm, secrets, shard_tree, simhash, sql, substring, templates, toxicity, winnowing
 from sparkquarry.llm.common import load
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -70,4 +70,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Hashes that SQL lacks, learned models and the tokenizer leave these two; the rest is tested against brute force."""
+    return {"op4_template_leaks": sql.OP4, "op9_substring_rlz": sql.OP9}
