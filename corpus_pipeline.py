@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.llm import bpe, lines, simhash, templates, toxicity
-from sparkquarry.llm.common import load, staged
+from sparkquarry.llm.common import load, sized, staged
 from sparkquarry.llm.queries import tokenizer_file
 
 
@@ -35,14 +35,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the first document stays."""
-    first = simhash.similar_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    later = staged(simhash.similar_groups(docs).filter("doc_id <> component_id").select("doc_id"), "pipeline-later")
+    return docs.join(sized(later), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     found = templates.leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized(staged(found, "pipeline-leaks")), "doc_id", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

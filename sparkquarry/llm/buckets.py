@@ -7,13 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.common import staged
+from sparkquarry.llm.common import sized, staged
+from sparkquarry.llm.components import connected_components
 
-DENSE = 64  # rows of a bucket that meet pairwise at most
-BROADCAST_ROWS = 1_000_000  # shared buckets (16 bytes each) that are broadcast at most
-ROUNDS = 4  # centres that a crowded bucket tries before the rest meets all
-
-_OPEN, _MAIN, _DONE = 0, 1, 2
+DENSE = 1_024  # rows of a bucket beyond which it is dealt anew by finer keys
 
 
 def links_in_buckets(
@@ -28,53 +25,38 @@ def links_in_buckets(
 
     ``keyed(bucket, id, sim)`` may hold a row in many buckets.  Pairs have to pass the
     condition ``close`` on ``a_sim`` and ``b_sim`` and then ``verify``, which gets and returns
-    ``(u, v)``.  Rows of a bucket of at most ``dense`` meet pairwise.
-
-    Rows of larger ones are dealt to finer buckets by ``refine(rows(id, sim))`` first, if it is
-    given; it has to keep every close pair together somewhere.  A bucket that is still
-    crowded compares a centre with all its rows: what is linked to the centre is one component
-    with it and needs no pairs of its own.  Further centres come from the rest; if one is
-    linked to the main component, what is linked to it joins that too.  Rows that are in no
-    component with the centres after ``ROUNDS`` rounds meet all others.
+    ``(u, v)``.
+
+    First each bucket's least row, its centre, is compared with the others, and components
+    are formed over all buckets.  Rows in the component of their bucket's centre need no pairs among
+    themselves.  Only rows outside of it are compared with the rest of the bucket, where the
+    components still differ.  In a crowd of near copies that leaves a pair for a row.
+    Rows of buckets of more than ``dense`` are dealt to finer ones by ``refine(rows(id, sim))``, if
+    it is given; it has to keep every close pair together somewhere.
     """
     dense = DENSE if dense is None else dense
-    shared = staged(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-shared")
-    if shared.count() <= BROADCAST_ROWS:  # else both sides are shuffled
-        shared = F.broadcast(shared)
-    met = staged(keyed.join(shared, "bucket"), f"{name}-met")
-
-    def side(rows: DataFrame, own: str, sim: str, *more: str) -> DataFrame:
-        return rows.select("bucket", F.col("id").alias(own), F.col("sim").alias(sim), *more)
-
-    few = met.filter(f"n <= {dense}")
-    pairs = side(few, "u", "a_sim").join(side(few, "v", "b_sim"), "bucket").filter("u < v").filter(close).select("u", "v").distinct()
-    out = staged(verify(staged(pairs, f"{name}-pairs")).select("u", "v"), f"{name}-links")
-    crowd = met.filter(f"n > {dense}")
-    if not crowd.take(1):
-        return out
+    shared = staged(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "sim")).alias("c")).filter("n > 1"), f"{name}-shared")
+    met = keyed.join(sized(shared), "bucket").select("bucket", "id", "sim", "n", F.col("c.id").alias("centre"), F.col("c.sim").alias("a_sim"))
+    met = staged(met, f"{name}-met")
+    out = None
     if refine is not None:
-        rows = staged(crowd.select("id", "sim").distinct(), f"{name}-crowd")
-        return out.union(links_in_buckets(refine(rows), close, verify, f"{name}-fine", None, dense))
-    state = crowd.select("bucket", "id", "sim", F.lit(_OPEN).alias("state"))
-    for _ in range(ROUNDS):
-        rest = state.filter(F.col("state") == _OPEN)
-        if not rest.take(1):
-            break
-        first = rest.groupBy("bucket").agg(F.min(F.struct("id", "sim")).alias("c"))
-        centre = first.select("bucket", F.col("c.id").alias("u"), F.col("c.sim").alias("a_sim"))
-        tried = staged(side(state, "v", "b_sim", "state").join(centre, "bucket").filter("u <> v").filter(close), f"{name}-tried")
-        sure = verify(tried.select("u", "v").distinct()).select("u", "v")
-        linked = staged(tried.join(sure, ["u", "v"]).select("bucket", "u", "v", "state"), f"{name}-linked")
-        out = out.union(linked.select("u", "v"))
-        # The first centre founds the main component; later ones may or may not reach it.
-        main = state.filter(F.col("state") == _MAIN).select("bucket").distinct().withColumn("founded", F.lit(True))
-        reach = linked.groupBy("bucket").agg(F.max((F.col("state") == _MAIN).cast("int")).alias("hit"))
-        verdict = centre.select("bucket", "u").join(main, "bucket", "left").join(reach, "bucket", "left")
-        verdict = verdict.select("bucket", "u", (F.col("founded").isNull() | (F.coalesce("hit", F.lit(0)) == 1)).alias("joins"))
-        new = verdict.select("bucket", F.col("u").alias("id"), F.when(F.col("joins"), _MAIN).otherwise(_DONE).alias("now"))
-        new = new.union(linked.filter(F.col("state") == _OPEN).join(verdict.filter("joins").select("bucket"), "bucket").select("bucket", F.col("v").alias("id"), F.lit(_MAIN).alias("now")))
-        state = staged(state.join(new, ["bucket", "id"], "left").select("bucket", "id", "sim", F.coalesce("now", "state").alias("state")), f"{name}-state")
-    rest = side(state.filter(F.col("state") == _OPEN), "u", "a_sim")
-    others = side(state.filter(F.col("state") != _DONE), "v", "b_sim", "state")
-    pairs = rest.join(others, "bucket").filter(f"u < v or (u <> v and state <> {_OPEN})").filter(close).select("u", "v").distinct()
-    return out.union(verify(staged(pairs, f"{name}-rest")).select("u", "v"))
+        crowd = met.filter(f"n > {dense}").select("id", "sim").distinct()
+        if crowd.take(1):
+            out = links_in_buckets(refine(staged(crowd, f"{name}-crowd")), close, verify, f"{name}-fine", None, dense)
+            met = met.filter(f"n <= {dense}")
+    to_centre = met.filter("id <> centre").withColumnRenamed("sim", "b_sim").filter(close).select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
+    to_centre = staged(to_centre, f"{name}-centres")
+    links = staged(verify(to_centre).select("u", "v"), f"{name}-links")
+    known = connected_components(links if out is None else links.union(out), f"{name}-known")
+    known = sized(staged(known, f"{name}-parts"))
+    of = lambda rows, own, part: rows.join(known.select(F.col("node").alias(own), F.col("component").alias(f"_{part}")), own, "left").withColumn(part, F.coalesce(f"_{part}", own)).drop(f"_{part}")
+    rows = staged(of(of(met.select("bucket", "id", "sim", "centre"), "id", "part"), "centre", "main"), f"{name}-rows")
+    away = rows.filter("part <> main and id <> centre").select("bucket", F.col("id").alias("u"), F.col("sim").alias("a_sim"), F.col("part").alias("a"))
+    away = staged(away, f"{name}-away")
+    # Only buckets with such rows; a pair of them is compared once.
+    others = rows.filter("id <> centre").join(sized(staged(away.select("bucket").distinct(), f"{name}-open")), "bucket", "left_semi")
+    others = others.select("bucket", F.col("id").alias("v"), F.col("sim").alias("b_sim"), F.col("part").alias("b"), (F.col("part") != F.col("main")).alias("outside"))
+    rest = away.join(others, "bucket").filter("a <> b and (u < v or not outside)").filter(close).select("u", "v").distinct()
+    more = verify(staged(rest, f"{name}-rest")).select("u", "v")
+    links = links.union(staged(more, f"{name}-more"))
+    return links if out is None else links.union(out)

@@ -1,23 +1,23 @@
 """Fuzzy line dedup, in DataFrame expressions only.
 
-Lines (between line feeds) are normalised: lower case, no ASCII punctuation, one space
-between words.  Equal normalised lines are one line by 128 bits of hash.  Distinct ones
+Lines (between line feeds) are normalised: lower case, no ASCII punctuation, no blanks
+at the ends.  Equal normalised lines are one line by 128 bits of hash.  Distinct ones
 get a 64-bit SimHash of their words of more than four letters (shorter ones are much the
 same in all lines and would make unlike lines meet); lines at most three bits
 apart agree in all but three of m blocks of the hash (pigeonhole), so they meet in a
 join on those blocks; m grows with the logarithm of the number of lines, which changes
 the cost of the join and not its result.  Pairs that meet are compared in full: three
-bits at most, then edit similarity.  Connected lines form a group, of which the first
+bits at most, then edit similarity, counted in words.  Connected lines form a group, of which the first
 occurrence (least doc_id, then line number) stays.
 
-Lines of a block value that more than ``DENSE`` share do not meet pairwise: they are dealt
-anew by more bits (nine of twelve blocks), and where many still agree a few centres
-gather what is similar to them (see ``buckets``).
+Lines of one block value do not all meet pairwise: a centre gathers what is similar to it, and
+only what is not in its group meets the others (see ``buckets``).  Values that over a
+thousand lines share are dealt anew by more bits (nine of twelve blocks).
 
 Defined results: null texts stay null and have no lines; lines of fewer than
 ``SHORTEST`` normalised characters are never removed; a text whose lines all go becomes
 empty and its row stays; doc_id has to be unique; lines without words of more than four
-letters are compared for equality alone; a line of over 65,535 words has a SimHash for each such
+letters are compared for equality alone; a line of over 16,383 words has a SimHash for each such
 block and meets others by any of them; extra columns pass through unless their names
 begin with an underscore; an empty table gives no rows.
 """
@@ -31,21 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.buckets import links_in_buckets
-from sparkquarry.llm.common import let, staged
+from sparkquarry.llm.common import let, sized, staged
 from sparkquarry.llm.components import connected_components
 
 SHORTEST = 20  # normalised characters
 RADIUS = 3  # bits
-ALIKE = 0.8  # edit similarity: 1 - distance / longer length
-DENSE = 64
-
-#: Most candidate documents whose ids are broadcast to fetch their lines (16 bytes each).
-BROADCAST_ROWS = 1_000_000
+ALIKE = 0.8  # edit similarity: 1 - distance / longer length, in words
 
 CONTENT = 4  # letters that a word has to exceed to count in the SimHash
 
 _LANES = 16  # counters of 16 bits, four to a long
-_BLOCK = 65_535  # words that they can count
+_BLOCK = 0x3FFF  # words that they count
 
 
 def _split(text: Column) -> Column:
@@ -53,8 +49,8 @@ def _split(text: Column) -> Column:
 
 
 def _clean(text: Column) -> Column:
-    """Lower case without ASCII punctuation; one blank for each run of blanks."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", ""), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    """Lower case without ASCII punctuation."""
+    return F.regexp_replace(F.lower(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", "")
 
 
 def normalised(line: Column) -> Column:
@@ -62,15 +58,14 @@ def normalised(line: Column) -> Column:
 
 
 def _bits() -> Column:
-    """SimHash from the packed counters ``s0 .. s15`` of ``n`` words."""
+    """SimHash from the packed counters ``s0 .. s15`` of ``n`` words: bit 14 of a counter
+    is set after adding what it lacks if it counts more than half of them."""
+    lanes = F.lit(0x0001000100010001)
+    lack = (F.lit(_BLOCK) - F.expr("n div 2")) * lanes
     out = None
     for k in range(_LANES):
-        for lane in range(4):
-            bit = k + 16 * lane
-            value = F.lit(1 << bit if bit < 63 else -(1 << 63))
-            count = F.shiftrightunsigned(F.col(f"s{k}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            term = F.when(count * 2 > F.col("n"), value).otherwise(F.lit(0).cast("long"))
-            out = term if out is None else out.bitwiseOR(term)
+        term = F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + lack, 14).bitwiseAND(lanes), k)
+        out = term if out is None else out.bitwiseOR(term)
     return out
 
 
@@ -90,7 +85,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         "doc_id", "line", "key1", "key2", F.expr(f"at div {_BLOCK}").cast("int").alias("block"), F.when(content, F.xxhash64("word")).alias("h")
     )
     lane = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lane)).alias(f"s{k}") for k in range(_LANES)]
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lane)).alias(f"s{k}") for k in range(_LANES)]  # null without content words
     blocks = each.groupBy("doc_id", "line", "key1", "key2", "block").agg(F.count("h").alias("n"), *sums)
     return blocks.select("doc_id", "line", "key1", "key2", "block", "n", _bits().alias("sim"))
 
@@ -108,15 +103,20 @@ def block_masks(lines: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
+def _as_letters(line: Column) -> Column:
+    """A line with one letter for each word, by a hash of it: distances then count words."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD600)) + 0x100), 4, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-16BE")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(key1, norm)`` of the lines that ``wanted(key1, doc_id, line)`` names."""
+    """``(key1, spelled)`` of the lines that ``wanted(key1, doc_id, line)`` names."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key1")).alias("_lines"))
-    if wanted.count() <= BROADCAST_ROWS:
-        per_doc = F.broadcast(per_doc)
+    per_doc = sized(staged(per_doc, "lines-fetch"), "size(_lines)")
     got = docs.select("doc_id", "text").join(per_doc, "doc_id")
     pick = let(_split(F.col("text")), lambda own: F.transform("_lines", lambda x: F.struct(x["key1"].alias("key1"), F.get(own, x["line"]).alias("own"))))
     got = got.select(F.explode(pick).alias("x"))
-    return got.select("x.key1", normalised(F.col("x.own")).alias("norm"))
+    return got.select("x.key1", _as_letters(normalised(F.col("x.own"))).alias("spelled"))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -129,15 +129,15 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("key1")).union(pairs.select("v")).distinct()
         texts = staged(_texts(docs, staged(distinct.join(ids, "key1").select("key1", "doc_id", "line"), "lines-wanted")), "lines-text")
-        left = texts.select(F.col("key1").alias("u"), F.col("norm").alias("_a"))
-        right = texts.select(F.col("key1").alias("v"), F.col("norm").alias("_b"))
+        left = texts.select(F.col("key1").alias("u"), F.col("spelled").alias("_a"))
+        right = texts.select(F.col("key1").alias("v"), F.col("spelled").alias("_b"))
         longer = F.greatest(F.length("_a"), F.length("_b"))
         both = pairs.join(left, "u").join(right, "v").withColumn("_most", F.floor(longer * (1 - ALIKE) + 1e-9).cast("int"))
         return both.filter("abs(length(_a) - length(_b)) <= _most and levenshtein(_a, _b, _most) >= 0")
 
     rows = distinct.select(F.col("key1").alias("id"), "sim")
     wide, narrow = block_masks(distinct.count()), block_masks(1 << 62)
-    return links_in_buckets(keyed(rows, wide), f"bit_count(a_sim ^ b_sim) <= {RADIUS}", verify, "lines", lambda crowd: keyed(crowd, narrow), DENSE)
+    return links_in_buckets(keyed(rows, wide), f"bit_count(a_sim ^ b_sim) <= {RADIUS}", verify, "lines", lambda crowd: keyed(crowd, narrow))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated lines cut out of ``text``; adds ``_lines`` and ``_dropped``, their numbers."""
     drop = staged(dropped_lines(docs), "lines-drop").select("doc_id", F.col("drop").alias("_drop"))
-    both = docs.join(drop, "doc_id", "left")
+    both = docs.join(sized(drop, "size(_drop)"), "doc_id", "left")
     rest = F.array_join(F.filter(_split(F.col("text")), lambda x, i: ~F.array_contains("_drop", i)), "\n")
     out = both.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text")))).cast("long"))
     out = out.withColumn("_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))

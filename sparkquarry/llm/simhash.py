@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.buckets import links_in_buckets
-from sparkquarry.llm.common import mix, slices, staged, words
+from sparkquarry.llm.common import mix, sized, slices, staged, words
 from sparkquarry.llm.components import connected_components
 
 RADIUS = 3
@@ -251,7 +251,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        sets = docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", _shingles("text", shingle).alias("s"))
+        sets = docs.join(sized(staged(ids, "similar-ids")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", _shingles("text", shingle).alias("s"))
         sets = staged(sets, "similar-sets")
         both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("_a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("_b")), "v")
         common = F.size(F.array_intersect("_a", "_b"))
