@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, routing
+from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, reports, routing, samples
 from sparkquarry.plans import agent
 from sparkquarry.sources import corpus as src
 from sparkquarry.streaming import scoring
@@ -275,9 +275,15 @@ def graph_title_links(spark, sf_dir):
     return graph.title_links(src.documents_as_corpus(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_GRAPH}, deg AS (SELECT entity, count(*) AS degree FROM doc_entity GROUP BY entity),
+  sent_edges AS (SELECT len(list_distinct(list_filter(list_concat(list_filter({_ents('s')}, lambda e: NOT regexp_full_match(e, '[0-9]+')), {_nums('s')}), lambda e: len(e) >= 3))) AS n FROM sents),
+  dn AS (SELECT doc_id, {_norm('title')} AS tn, {_norm('text')} AS xn FROM corpus), tt AS (SELECT tn, min(doc_id) AS target FROM dn WHERE len(tn) >= 4 GROUP BY tn),
+  ln AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tt.tn) AS k FROM dn JOIN tt ON contains(xn, tt.tn) AND target <> doc_id)
+  SELECT (SELECT count(*) FROM corpus) AS documents, (SELECT count(*) FROM sents) AS sentences, (SELECT CAST(sum(n) AS BIGINT) FROM sent_edges) AS sentence_entity_edges, (SELECT count(*) FROM deg) AS entities,
+  (SELECT CAST(sum(degree) AS BIGINT) FROM deg) AS document_entity_edges, (SELECT max(degree) FROM deg) AS max_entity_degree, (SELECT round(avg(degree), 6) FROM deg) AS mean_entity_degree,
+  (SELECT count(*) FROM ln WHERE k <= 6) AS title_links, (SELECT count(DISTINCT doc_id) FROM ln) AS documents_with_links""")
 def graph_statistics(spark, sf_dir):
-    return graph.graph_stats(graph.build(src.documents_as_corpus(spark, sf_dir)))
+    return graph.graph_stats(graph.build(src.documents_as_corpus(spark, sf_dir))).withColumn("mean_entity_degree", F.round("mean_entity_degree", 6))
 
 
 @query()
@@ -439,6 +445,60 @@ def minmax_scaled(spark, sf_dir):
     return scaled.select("method", F.round("evidence_recall", 6).alias("evidence_recall"), F.round("latency_ms", 6).alias("latency_ms"))
 
 
+@query(f"""WITH {_EVAL}, m AS (SELECT method, task_type, avg(evidence_recall) AS value FROM ev WHERE k = 5 GROUP BY ALL)
+  SELECT method, task_type, round(value, 6) AS value, round(max(value) OVER (PARTITION BY task_type) - value, 6) AS gap FROM m""")
+def oracle_gap(spark, sf_dir):
+    rows = reports.gap_to_best(_log_evaluation(spark, sf_dir).filter("k = 5"), "evidence_recall")
+    return rows.select("method", "task_type", F.round("value", 6).alias("value"), F.round("gap", 6).alias("gap"))
+
+
+@query(f"""WITH {_EVAL} SELECT method, round(avg(mrr) FILTER (task_type = 'task0'), 6) AS task0, round(avg(mrr) FILTER (task_type = 'task1'), 6) AS task1, round(avg(mrr) FILTER (task_type = 'task2'), 6) AS task2 FROM ev WHERE k = 5 GROUP BY method""")
+def method_pivot(spark, sf_dir):
+    rows = reports.by_task(_log_evaluation(spark, sf_dir).filter("k = 5"), "mrr", ["task0", "task1", "task2"])
+    return rows.select("method", *[F.round(t, 6).alias(t) for t in ("task0", "task1", "task2")])
+
+
+@query(f"""WITH {_EVAL}, f AS (SELECT * FROM ev WHERE k = 5), t AS (SELECT method, task_type, avg(complete_recall) AS c FROM f GROUP BY ALL), w AS (SELECT method, min(c) AS worst FROM t GROUP BY ALL)
+  SELECT method, round(1000 * avg(complete_recall) / avg(tokens_read), 6) AS complete_per_kilotoken, round(1 - avg(complete_recall), 6) AS failure_rate, round(avg(evidence_recall) - avg(complete_recall), 6) AS evidence_gap,
+  round(any_value(worst), 6) AS worst_task FROM f JOIN w USING (method) GROUP BY method""")
+def cost_ratios(spark, sf_dir):
+    rows = reports.cost_ratios(_log_evaluation(spark, sf_dir).filter("k = 5"))
+    return rows.select("method", *[F.round(c, 6).alias(c) for c in ("complete_per_kilotoken", "failure_rate", "evidence_gap", "worst_task")])
+
+
+@query(f"""WITH {_FTS}, g AS (SELECT question_id, d.doc_id, c.title FROM questions q JOIN documents d ON contains(d.text, q.question) JOIN corpus c ON c.doc_id = d.doc_id), top AS (SELECT * FROM rk WHERE rank <= 5),
+  r AS (SELECT question_id, string_agg(title, ' | ' ORDER BY rank) AS retrieved_titles FROM top GROUP BY question_id),
+  m AS (SELECT g.question_id, count(*) AS gold_count, string_agg(g.title, ' | ' ORDER BY g.doc_id) AS gold_titles, string_agg(g.title, ' | ' ORDER BY g.doc_id) FILTER (top.doc_id IS NULL) AS missed_titles
+    FROM g LEFT JOIN top ON top.question_id = g.question_id AND top.doc_id = g.doc_id GROUP BY g.question_id)
+  SELECT question_id, 'file_fts' AS method, CAST(gold_count AS INT) AS gold_count, gold_titles, missed_titles, retrieved_titles FROM m JOIN r USING (question_id) WHERE missed_titles IS NOT NULL""")
+def failure_cases(spark, sf_dir):
+    questions, corpus = src.benchmark_as_questions(spark, sf_dir), src.documents_as_corpus(spark, sf_dir)
+    found = fts.search(questions, corpus).select("question_id", "rank", "doc_id").withColumn("method", F.lit("file_fts"))
+    return reports.failure_cases(found, src.gold_by_containment(questions, corpus), corpus.select("doc_id", "title"))
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT question_id, count(DISTINCT method) AS n FROM log GROUP BY ALL) SELECT question_id FROM c WHERE n = (SELECT count(DISTINCT method) FROM log)""")
+def shared_questions(spark, sf_dir):
+    rows = _ranked_log(spark, sf_dir)
+    return fusion.shared_questions(rows, rows.select("method").distinct().count())
+
+
+@query(f"""WITH {_CORPUS}, s AS (SELECT doc_id, unnest(sentences) AS sentence, generate_subscripts(sentences, 1) - 1 AS sent_id FROM corpus)
+  SELECT doc_id, CAST(sent_id AS BIGINT) AS sent_id FROM s WHERE length(trim(sentence)) BETWEEN 60 AND 260 AND NOT regexp_matches(sentence, '[\\[\\]{{}}]') AND len(list_filter(regexp_split_to_array(trim(sentence), '\\s+'), lambda w: w <> '')) >= 8""")
+def clean_sentences(spark, sf_dir):
+    rows = src.documents_as_corpus(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("sent_id", "sentence"))
+    return rows.filter(samples.is_clean_sentence(F.col("sentence"))).select("doc_id", F.col("sent_id").cast("long"))
+
+
+@query("SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.turn = c.turn + 1)")
+def resume_unanswered(spark, sf_dir):
+    turns = src.table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    key = F.concat_ws("_", "conv_id", F.col("turn"))
+    asked = turns.filter("role = 'user'").select(key.alias("question_id"), "conv_id", "turn")
+    answered = turns.select(F.concat_ws("_", "conv_id", (F.col("turn") - 1).cast("string")).alias("question_id")).distinct()
+    return samples.unanswered(asked, answered).select("conv_id", "turn")
+
+
 @query("SELECT event_type AS method, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY event_type")
 def latency_p95(spark, sf_dir):
     rows = src.table(spark, sf_dir, "events", "event_type", "value")
