@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.common import slices
+from sparkquarry.llm.common import held, slices
 
 #: Words and pre-tokens remembered by a worker in each of two generations.
-CACHE = 200_000
+CACHE = 150_000
 
 END = "\x00"  # stands for the mark of a word's end; never a mapped byte
 
@@ -90,7 +90,7 @@ class Tokenizer:
         known = {t: i for i, t in self.text.items()}
         for i, t in self.text.items():
             self.shorter[i] = next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1)
-        self.fits = Recent(self._fits, 1_000_000)
+        self.fits = Recent(self._fits, 250_000)
         self.word_ids = Recent(self._encode_word)
         self.raw_ids = Recent(self._encode_raw)
         names = {**vocab, **self.special}
@@ -221,16 +221,9 @@ class Offsets:
         return self.data[np.arange(bounds[-1]) + shift], bounds
 
 
-_LOADED: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(source: str) -> Tokenizer:
     """One tokenizer a Python worker, kept between tasks."""
-    key = hash(source)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer(source)
-    return _LOADED[key]
+    return held(("bpe", hash(source)), lambda: Tokenizer(source))
 
 
 def _read(path: str) -> str:

@@ -35,8 +35,8 @@ def links_in_buckets(
     it is given; it has to keep every close pair together somewhere.
     """
     dense = DENSE if dense is None else dense
-    shared = staged(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "sim")).alias("c")).filter("n > 1"), f"{name}-shared")
-    met = keyed.join(sized(shared), "bucket").select("bucket", "id", "sim", "n", F.col("c.id").alias("centre"), F.col("c.sim").alias("a_sim"))
+    shared = staged(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.min_by("sim", "id").alias("a_sim")).filter("n > 1"), f"{name}-shared")
+    met = keyed.join(sized(shared), "bucket").select("bucket", "id", "sim", "n", "centre", "a_sim")
     met = staged(met, f"{name}-met")
     out = None
     if refine is not None:

@@ -81,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cut = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -108,6 +109,22 @@ def joined(flat: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ")
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one object that a Python worker keeps between tasks.
+
+    Workers serve one operator after the other; what an earlier one kept (a tokenizer and its
+    words, a mapped model) goes when another asks.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

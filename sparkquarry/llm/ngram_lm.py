@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.common import local_path, mix, new_path, slices, word_hashes, words
+from sparkquarry.llm.common import held, local_path, mix, new_path, slices, word_hashes, words
 
 #: Order of the registered query's model.
 ORDER = 2
@@ -161,24 +161,24 @@ def _count(order: int, parts: int):
     """Task that counts n-grams of ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        parts_held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            held.clear()
+            columns = [np.concatenate(c) for c in zip(*parts_held, strict=True)]
+            parts_held.clear()
             full, columns, (n,) = _summed(columns, [np.ones(len(columns[0]), np.uint64)])
             for row in _pack(f"grams{order}", full, columns, [n], parts):
                 yield _batch([row])
 
         for batch in slices(batches, "text", 4 << 20):
             tokens, ends = _tokens(batch.column("text"))
-            held.append([*(_behind(tokens, ends, k) for k in range(order - 1, 0, -1)), tokens])
+            parts_held.append([*(_behind(tokens, ends, k) for k in range(order - 1, 0, -1)), tokens])
             size += len(tokens)
             if size >= FLUSH:
                 yield from flush()
                 size = 0
-        if held:
+        if parts_held:
             yield from flush()
 
     return run
@@ -338,9 +338,6 @@ class Model:
         }
 
 
-_OPEN: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: dict, keep: dict[str, Column] | None = None) -> DataFrame:
     """``(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score)`` of every document."""
     keep = keep or {}
@@ -349,11 +346,9 @@ def score(docs: DataFrame, model: dict, keep: dict[str, Column] | None = None) -
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model["path"] not in _OPEN:
-            _OPEN.clear()
-            _OPEN[model["path"]] = Model(model)
+        mapped = held(("ngram", model["path"]), lambda: Model(model))
         for batch in slices(batches, "text", 4 << 20):
-            found = _OPEN[model["path"]].score(batch.column("text"))
+            found = mapped.score(batch.column("text"))
             own = [batch.column(n) for n in passed]
             total = pa.array(np.full(len(batch), model["tokens"], np.int64))
             values = [pa.array(found["n_tokens"]), pa.array(found["n_known"]), total, pa.array(found["base_score"]), pa.array(found["score"])]

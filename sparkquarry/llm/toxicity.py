@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquarry.llm.bpe import Recent
-from sparkquarry.llm.common import slices, staged, words
+from sparkquarry.llm.common import held, slices, staged, words
 
 LABELLED = 20_000  # most labelled rows that stems are learned from
 STEMS = 3_000  # most candidate stems
@@ -81,6 +82,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     table[ord("a") : ord("z") + 1] = table[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("trigrams", dict)
         total = np.zeros(SIGNS**3, np.int64)
         for batch in slices(batches, "text", 4 << 20):
             whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pc.fill_null(batch.column("text"), "")), "\n\n")[0]
@@ -221,10 +223,10 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> dict:
     chosen = F.broadcast(_sample(labels.select("doc_id", "toxic"), allowed))  # LABELLED rows at most
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(chosen, "doc_id")
     texts = texts.groupBy(F.xxhash64("text").alias("key"), F.xxhash64("text", F.lit("b")).alias("key2")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast(costs)
+    shared, token = docs.sparkSession.sparkContext.broadcast(costs), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = held(("stems", token), lambda: Reader(shared.value))
         counts: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
@@ -256,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> dict:
     chosen_stems = docs.sparkSession.sparkContext.broadcast({s: i for i, s in enumerate(names)})
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known = Reader(shared.value), chosen_stems.value
+        reader, known = held(("stems", token), lambda: Reader(shared.value)), chosen_stems.value
         for batch in slices(batches, "text", 1 << 20):
             out = [sorted({known[s] for s in marks_of(reader.restore(t).split()) if s in known}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["stems"])
@@ -349,11 +351,11 @@ class Scorer:
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """The rows of ``docs`` with their score in a new column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = held(("toxicity", token), lambda: Scorer(shared.value))
         for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(batch.column("text")))], names=[*batch.schema.names, name])
 

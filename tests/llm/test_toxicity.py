@@ -13,7 +13,7 @@ BAD = ["idiot", "scum", "moron", "grumble"]
 
 def corpus():
     rng = random.Random(11)
-    syllables = ["an", "the", "er", "tion", "is", "of", "re", "ble", "ing", "st", "id", "io", "ot", "mo", "ro", "um", "sc"]
+    syllables = ["an", "the", "er", "tion", "is", "of", "re", "ble", "ing", "st", "id", "io", "mo", "ro", "um", "ta"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
     rows, labels = [], []
     for i in range(600):
