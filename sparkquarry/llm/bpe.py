@@ -30,6 +30,17 @@ from sparkquarry.llm.common import held, slices
 #: Words and pre-tokens remembered by a worker in each of two generations.
 CACHE = 150_000
 
+# Letters and numbers that the tokenizer library's patterns (Unicode 16) do not know yet,
+# and lower-case forms that it knows and this Python (Unicode 15.1) does not.
+TOO_NEW = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
 END = "\x00"  # stands for the mark of a word's end; never a mapped byte
 
 
@@ -72,7 +83,10 @@ class Tokenizer:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-        self.pieces = regex.compile(pattern).findall
+        new = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in TOO_NEW.split())
+        known = lambda kind: rf"[\p{{{kind}}}--[{new}]]"
+        exact = pattern.replace(r"[\p{L}]+", known("L") + "+").replace(r"|[\p{N}]|", "|" + known("N") + "|").replace(r"\p{L}\p{N}]", known("L") + known("N") + "]")
+        self.pieces, self.exact_pieces, self.is_new = regex.compile(pattern).findall, regex.compile("(?V1)" + exact).findall, regex.compile(f"[{new}]").search
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.bytes = str.maketrans(dict(enumerate(_byte_alphabet())))
         spell = lambda t: t[: -len(self.suffix)] + END if t.endswith(self.suffix) else t
@@ -156,8 +170,8 @@ class Tokenizer:
         if text.isascii():
             text = text.lower()
         else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        found = self.pieces(text)
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text).translate(LOWER))
+        found = self.pieces(text) if text.isascii() or not self.is_new(text) else self.exact_pieces(text)
         if len(found) == 1:
             return self.word_ids[found[0]]
         return tuple(i for piece in found for i in self.word_ids[piece])
