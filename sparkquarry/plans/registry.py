@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, reports, routing, samples
+from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples
 from sparkquarry.plans import agent
 from sparkquarry.sources import corpus as src
 from sparkquarry.streaming import scoring
@@ -547,11 +547,15 @@ def validate_dataset(spark, sf_dir):
     return dataset.validation(corpus, questions, src.gold_by_containment(questions, corpus))
 
 
-@query(f"""WITH {_ASKED} SELECT question_id, array_to_string(list_filter([CASE WHEN trim(question) = '' THEN 'empty' END, CASE WHEN regexp_matches(lower(trim(question)), '^(rewrite|write|generate)') THEN 'instruction' END,
-  CASE WHEN contains(question, chr(10)) THEN 'line_break' END, CASE WHEN NOT ends_with(trim(question), '?') THEN 'missing_question_mark' END, CASE WHEN length(trim(question)) > 240 THEN 'too_long' END,
-  CASE WHEN length(trim(question)) < 25 THEN 'too_short' END], lambda c: c IS NOT NULL), '|') AS issues FROM asked""")
+_FORBIDDEN = " OR ".join(f"regexp_matches(lower(question), '\\b{w}\\b')" for w in questions.HOP_FORBIDDEN)
+
+
+@query(f"""WITH {_ASKED} SELECT question_id, CASE WHEN trim(question) = '' THEN 'empty_question' ELSE array_to_string(list_filter([CASE WHEN {_FORBIDDEN} THEN 'contains_file_or_evidence_language' END,
+  CASE WHEN contains(trim(question), chr(10)) OR contains(trim(question), chr(13)) THEN 'contains_newline' END, CASE WHEN regexp_matches(lower(trim(question)), '^(rewrite|write|generate) ') THEN 'instruction_like_question' END,
+  CASE WHEN NOT ends_with(trim(question), '?') THEN 'missing_question_mark' END, CASE WHEN length(trim(question)) > 240 THEN 'question_too_long' END,
+  CASE WHEN length(trim(question)) < 25 THEN 'question_too_short' END], lambda c: c IS NOT NULL), '|') END AS issues FROM asked""")
 def question_issues(spark, sf_dir):
-    return dataset.question_issues(_template_questions(spark, sf_dir)).select("question_id", _joined(F.col("issues")).alias("issues"))
+    return _template_questions(spark, sf_dir).select("question_id", _joined(questions.basic(F.col("question"))).alias("issues"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_valid(props)")
