@@ -19,7 +19,8 @@ no neighbour (pigeonhole) and emit nothing.  Copies collapse to one fingerprint
 Texts that share four fifths of their shingles differ in about every seventh bit, so
 it cuts independent fingerprints into bands, hashes a ball of one flip in each band and
 compares the shingles of what meets.  Band width follows the number of texts, which
-keeps chance meetings few, and the number of bands the wanted recall.
+keeps chance meetings few, and the number of bands the wanted recall.  Texts that share
+none of four minima of their shingles' hashes with another text are spared the balls.
 
 Defined results: a null text counts as empty; a text without words has fingerprint
 zero; fewer words than a shingle form one shingle; repeated rows share a fingerprint;
@@ -104,15 +105,20 @@ def xxh64(data: bytes | np.ndarray, start: np.ndarray, size: np.ndarray, seed: i
 
 
 def simhash(text: pa.Array, shingle: int = SHINGLE, codes: int = 1) -> np.ndarray:
-    """The fingerprints of an array of texts: a row each, ``codes`` independent ones beside each other.
+    """The fingerprints of an array of texts: a row each, ``codes`` independent ones beside each other."""
+    return sketches(text, shingle, codes, 0)[0]
 
-    The first takes the shingles' own hashes, the others scrambled ones.
+
+def sketches(text: pa.Array, shingle: int, codes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints, and ``least`` minima over the shingles' hashes in as many orders, a row for each text.
+
+    The first fingerprint takes the shingles' own hashes, the others scrambled ones.
     """
     flat, offsets = words(text, lower=True)
     count = np.diff(offsets)
-    out = np.zeros((len(text), codes), np.uint64)
+    out, low = np.zeros((len(text), codes), np.uint64), np.zeros((len(text), least), np.uint64)
     if not len(flat):
-        return out
+        return out, low
     size = pc.binary_length(flat).to_numpy().astype(np.int64)
     begin = np.cumsum(size + 1) - size - 1
     data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")[0].as_buffer()
@@ -124,7 +130,9 @@ def simhash(text: pa.Array, shingle: int = SHINGLE, codes: int = 1) -> np.ndarra
     full = np.flatnonzero(grams)
     for k in range(codes):
         out[full, k] = _majority(mix(hashes + np.uint64(k) * _P1) if k else hashes, bounds[full], grams[full])
-    return out
+    for k in range(least):
+        low[full, k] = np.minimum.reduceat(mix(hashes + np.uint64(k) * _P2), bounds[full])
+    return out, low
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -214,6 +222,10 @@ def report(docs: DataFrame) -> DataFrame:
 RECALL = 0.92
 
 
+#: Minima of shingle hashes of which similar texts share one, except for (1 - similarity) ** MINIMA of them.
+MINIMA = 4
+
+
 def _bands(texts: int, similarity: float) -> tuple[int, int]:
     """Width and number of bands."""
     width = min(32, max(16, math.ceil(math.log2(max(texts, 2))) + 7))
@@ -238,15 +250,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            made = simhash(batch.column("text"), shingle, codes).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * codes), pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "codes"])
-
-    prints = staged(docs.mapInArrow(run, "doc_id long, codes array<long>"), "similar-codes")
-    nodes = staged(prints.groupBy("codes").agg(F.min("doc_id").alias("node")), "similar-nodes")
+            made = sketches(batch.column("text"), shingle, codes, MINIMA)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.view(np.int64).ravel())) for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "codes", "minima"])
+
+    prints = staged(docs.mapInArrow(run, "doc_id long, codes array<long>, minima array<long>"), "similar-codes")
+    nodes = staged(prints.groupBy("codes").agg(F.min("doc_id").alias("node"), F.first("minima").alias("minima")), "similar-nodes")
+    least = nodes.select("node", F.posexplode("minima").alias("at", "low"))
+    shared = least.groupBy("at", "low").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("at", "low")
+    company = least.join(sized(staged(shared, "similar-shared")), ["at", "low"], "left_semi").select("node").distinct()
+    near = staged(nodes.join(company, "node", "left_semi").select("node", "codes"), "similar-near")
     bands = [f"(shiftrightunsigned(codes[{k // per_code}], {k % per_code * width}) & {(1 << width) - 1}L) | {k << width}L" for k in range(count)]
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    keyed = nodes.select("node", F.col("codes")[0].alias("sim"), F.explode(F.expr(f"array({', '.join(bands)})")).alias("band"))
+    keyed = near.select("node", F.col("codes")[0].alias("sim"), F.explode(F.expr(f"array({', '.join(bands)})")).alias("band"))
     keyed = keyed.select(F.col("node").alias("id"), "sim", F.col("band"), F.explode(flips).alias("flip")).select(F.expr("band ^ flip").alias("bucket"), "id", "sim")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -263,4 +279,4 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     found = links_in_buckets(keyed, f"bit_count(a_sim ^ b_sim) <= {most}", verify, "similar")
     groups = connected_components(found, "similar-links")
     label = nodes.join(groups, "node", "left").select("codes", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(label, "codes").select("doc_id", "component_id")
+    return prints.select("doc_id", "codes").join(label, "codes").select("doc_id", "component_id")
