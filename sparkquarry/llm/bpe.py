@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkquarry.llm.common import held, slices
 
 #: Words and pre-tokens remembered by a worker in each of two generations.
-CACHE = 150_000
+CACHE = 280_000
 
 # Letters and numbers that the tokenizer library's patterns (Unicode 16) do not know yet,
 # and lower-case forms that it knows and this Python (Unicode 15.1) does not.
@@ -104,7 +104,7 @@ class Tokenizer:
         known = {t: i for i, t in self.text.items()}
         for i, t in self.text.items():
             self.shorter[i] = next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1)
-        self.fits = Recent(self._fits, 250_000)
+        self.fits = Recent(self._fits, 800_000)
         self.word_ids = Recent(self._encode_word)
         self.raw_ids = Recent(self._encode_raw)
         names = {**vocab, **self.special}
@@ -113,13 +113,13 @@ class Tokenizer:
             table[i] = t.encode()
         self.names = Offsets(table, b" ")
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """Whether merging by rank leaves the two tokens side by side.
 
         Every merge across the border is looked for along the right edge of the left
         token's tree and the left edge of the right one's, later merges undone first.
         """
-        left, right = pair
+        left, right = pair >> 20, pair & 0xFFFFF
         rank, split = self.rank, self.split
         bound = len(rank) + 1
         while True:
@@ -153,7 +153,7 @@ class Tokenizer:
             last = out[-1] if out else -1
             while token >= 0:
                 stop = at + size[token]
-                if open_at[stop] and (last < 0 or fits[last, token]):
+                if open_at[stop] and (last < 0 or fits[last << 20 | token]):
                     break
                 token = shorter[token]
             if token >= 0:
