@@ -15,6 +15,10 @@ from sparkquarry.llm.common import load, sized, staged
 from sparkquarry.llm.queries import tokenizer_file
 
 
+#: Words that a tokenizing worker remembers; fewer than by default, as the stages share the executors' memory.
+REMEMBERED = 70_000
+
+
 def _like(frame: DataFrame, docs: DataFrame) -> DataFrame:
     """Only the columns of ``docs``, with ``n_chars`` as long as the text now is."""
     if "n_chars" in docs.columns:
@@ -47,7 +51,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of what they decode to."""
-    coded = bpe.encode(docs, tokenizer_file(), with_decoded=True)
+    coded = bpe.encode(docs, tokenizer_file(), with_decoded=True, remembered=REMEMBERED)
     return coded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -73,7 +73,7 @@ class Recent(dict):
 class Tokenizer:
     """Encoder and decoder of a tokenizer file with a BPE model that marks word ends."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, remembered: int = CACHE):
         import ahocorasick
         import regex
 
@@ -104,9 +104,9 @@ class Tokenizer:
         known = {t: i for i, t in self.text.items()}
         for i, t in self.text.items():
             self.shorter[i] = next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1)
-        self.fits = Recent(self._fits, 800_000)
-        self.word_ids = Recent(self._encode_word)
-        self.raw_ids = Recent(self._encode_raw)
+        self.fits = Recent(self._fits, 3 * remembered)
+        self.word_ids = Recent(self._encode_word, remembered)
+        self.raw_ids = Recent(self._encode_raw, remembered)
         names = {**vocab, **self.special}
         table = [b""] * (max(names.values()) + 1)
         for t, i in names.items():
@@ -235,9 +235,9 @@ class Offsets:
         return self.data[np.arange(bounds[-1]) + shift], bounds
 
 
-def _tokenizer(source: str) -> Tokenizer:
+def _tokenizer(source: str, remembered: int = CACHE) -> Tokenizer:
     """One tokenizer a Python worker, kept between tasks."""
-    return held(("bpe", hash(source)), lambda: Tokenizer(source))
+    return held(("bpe", hash(source), remembered), lambda: Tokenizer(source, remembered))
 
 
 def _read(path: str) -> str:
@@ -245,10 +245,10 @@ def _read(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False, remembered: int = CACHE) -> DataFrame:
     """``(id, ids array<int>)``, and with ``with_decoded`` also the ``decoded`` text.
 
-    The tokenizer file (a few MB, whatever the corpus) is sent once as a broadcast value.
+    ``remembered`` words (up to a kilobyte each with all tables) are kept by a worker.  The tokenizer file (a few MB, whatever the corpus) is sent once as a broadcast value.
     """
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(_read(tokenizer_path))
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * with_decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(source.value)
+        tok = _tokenizer(source.value, remembered)
         for batch in slices(batches, "text", 2 << 20):
             ids, ends = tok.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
