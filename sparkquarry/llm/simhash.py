@@ -15,12 +15,13 @@ loses no link's component, and a variant gathers 65 + 992 fingerprints at most,
 whatever the data.  Fingerprints that share no three of six blocks with any other have
 no neighbour (pigeonhole) and emit nothing.  Copies collapse to one fingerprint first.
 
-``similar_groups`` serves a similarity of word shingles in place of a number of bits.
-Texts that share four fifths of their shingles differ in about every seventh bit, so
-it cuts independent fingerprints into bands, hashes a ball of one flip in each band and
-compares the shingles of what meets.  Band width follows the number of texts, which
-keeps chance meetings few, and the number of bands the wanted recall.  Texts that share
-none of four minima of their shingles' hashes with another text are spared the balls.
+``similar_groups`` serves a similarity of word shingles in place of a number of bits, out
+of reach of such a radius.  It is exact: of two sets with Jaccard similarity s or more, put
+in one common order, the first n - ceil(s n) + 1 elements of each share one (prefix
+filter).  Texts meet in a join on those shingles, and the sets of what meets are
+compared.  The order is by hash, with shingles that a sample of documents shows to be common at
+the end; the sample changes the cost and not the result.  Only texts with equal sets
+of shingles collapse.
 
 Defined results: a null text counts as empty; a text without words has fingerprint
 zero; fewer words than a shingle form one shingle; repeated rows share a fingerprint;
@@ -29,7 +30,6 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -104,35 +104,43 @@ def xxh64(data: bytes | np.ndarray, start: np.ndarray, size: np.ndarray, seed: i
         return h ^ (h >> np.uint64(32))
 
 
-def simhash(text: pa.Array, shingle: int = SHINGLE, codes: int = 1) -> np.ndarray:
-    """The fingerprints of an array of texts: a row each, ``codes`` independent ones beside each other."""
-    return sketches(text, shingle, codes, 0)[0]
+def simhash(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprints of an array of texts, a row of one each."""
+    hashes, grams = _hashes(text, shingle)
+    out, full = np.zeros(len(text), np.uint64), np.flatnonzero(grams)
+    if len(full):
+        out[full] = _majority(hashes, (np.cumsum(grams) - grams)[full], grams[full])
+    return out[:, None]
 
 
-def sketches(text: pa.Array, shingle: int, codes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, and ``least`` minima over the shingles' hashes in as many orders, a row for each text.
-
-    The first fingerprint takes the shingles' own hashes, the others scrambled ones.
-    """
+def _hashes(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, one text after the other, and their number in each text."""
     flat, offsets = words(text, lower=True)
     count = np.diff(offsets)
-    out, low = np.zeros((len(text), codes), np.uint64), np.zeros((len(text), least), np.uint64)
+    grams = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     if not len(flat):
-        return out, low
+        return np.empty(0, np.uint64), grams
     size = pc.binary_length(flat).to_numpy().astype(np.int64)
     begin = np.cumsum(size + 1) - size - 1
     data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")[0].as_buffer()
-    grams = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     bounds = np.concatenate([[0], np.cumsum(grams)])
     first = np.arange(bounds[-1]) + np.repeat(offsets[:-1] - bounds[:-1], grams)
     last = np.minimum(first + shingle - 1, np.repeat(offsets[1:] - 1, grams))
-    hashes = xxh64(data, begin[first], begin[last] + size[last] - begin[first])
-    full = np.flatnonzero(grams)
-    for k in range(codes):
-        out[full, k] = _majority(mix(hashes + np.uint64(k) * _P1) if k else hashes, bounds[full], grams[full])
-    for k in range(least):
-        low[full, k] = np.minimum.reduceat(mix(hashes + np.uint64(k) * _P2), bounds[full])
-    return out, low
+    return xxh64(data, begin[first], begin[last] + size[last] - begin[first]), grams
+
+
+def shingle_sets(text: pa.Array, shingle: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's shingles and their number; those in ``common`` (sorted) come last, else they ascend."""
+    hashes, grams = _hashes(text, shingle)
+    row = np.repeat(np.arange(len(grams)), grams)
+    hashes = hashes[np.lexsort((hashes, row))]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    hashes, row = hashes[new], row[new]
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = hashes[np.lexsort((late, row))]
+    return hashes, np.bincount(row, minlength=len(grams))
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -218,20 +226,21 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Share of pairs at the least similarity that the bands of ``similar_groups`` bring together.
-RECALL = 0.92
+#: A shingle is common if that many documents of the sample (one in ``SAMPLED``) have it; so many are known at most.
+COMMON, SAMPLED, KNOWN = 8, 16, 100_000
 
 
-#: Minima of shingle hashes of which similar texts share one, except for (1 - similarity) ** MINIMA of them.
-MINIMA = 4
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that are better compared last."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            hashes, _ = shingle_sets(batch.column("text"), shingle, np.empty(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
 
-def _bands(texts: int, similarity: float) -> tuple[int, int]:
-    """Width and number of bands."""
-    width = min(32, max(16, math.ceil(math.log2(max(texts, 2))) + 7))
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    meet = sum(math.comb(width, k) * flip**k * (1 - flip) ** (width - k) for k in range(3))
-    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
+    found = some.groupBy("h").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}").orderBy(F.desc("n"), "h").limit(KNOWN)
+    return np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
 
 
 def _shingles(text: str, shingle: int):
@@ -243,27 +252,30 @@ def _shingles(text: str, shingle: int):
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: components over pairs whose sets of word shingles have that Jaccard similarity."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    width, count = _bands(docs.count(), similarity)
-    per_code = 64 // width
-    codes = math.ceil(count / per_code)
+    docs = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
+    common = _common(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            made = sketches(batch.column("text"), shingle, codes, MINIMA)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.view(np.int64).ravel())) for m in made]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "codes", "minima"])
-
-    prints = staged(docs.mapInArrow(run, "doc_id long, codes array<long>, minima array<long>"), "similar-codes")
-    nodes = staged(prints.groupBy("codes").agg(F.min("doc_id").alias("node"), F.first("minima").alias("minima")), "similar-nodes")
-    least = nodes.select("node", F.posexplode("minima").alias("at", "low"))
-    shared = least.groupBy("at", "low").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("at", "low")
-    company = least.join(sized(staged(shared, "similar-shared")), ["at", "low"], "left_semi").select("node").distinct()
-    near = staged(nodes.join(company, "node", "left_semi").select("node", "codes"), "similar-near")
-    bands = [f"(shiftrightunsigned(codes[{k // per_code}], {k % per_code * width}) & {(1 << width) - 1}L) | {k << width}L" for k in range(count)]
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    keyed = near.select("node", F.col("codes")[0].alias("sim"), F.explode(F.expr(f"array({', '.join(bands)})")).alias("band"))
-    keyed = keyed.select(F.col("node").alias("id"), "sim", F.col("band"), F.explode(flips).alias("flip")).select(F.expr("band ^ flip").alias("bucket"), "id", "sim")
+            hashes, n = shingle_sets(batch.column("text"), shingle, common)
+            start = np.cumsum(n) - n
+            full = np.flatnonzero(n)
+            keys = np.zeros((2, len(n)), np.uint64)
+            for k, salt in enumerate((_P1, _P2)):
+                if len(full):
+                    keys[k, full] = np.add.reduceat(mix(hashes ^ salt), start[full])
+            size = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            ends = np.cumsum(size)
+            prefix = hashes[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n.astype(np.int32)), lists], names=["doc_id", "key1", "key2", "n", "prefix"])
+
+    prints = staged(docs.mapInArrow(run, "doc_id long, key1 long, key2 long, n int, prefix array<long>"), "similar-sets-of")
+    key = ["key1", "key2", "n"]
+    nodes = staged(prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "similar-nodes")
+    copies = prints.select("doc_id", *key).join(sized(staged(nodes.filter("rows > 1"), "similar-copied")), key).filter("doc_id <> node").select("doc_id")
+    near = prints.join(sized(staged(copies, "similar-copies")), "doc_id", "left_anti")
+    keyed = near.select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").alias("sim"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
@@ -273,10 +285,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         common = F.size(F.array_intersect("_a", "_b"))
         return both.filter(common >= similarity * (F.size("_a") + F.size("_b") - common) - 1e-9)
 
-    # Pairs at the least similarity differ in this many of 64 bits once in a few thousand cases.
-    mean = 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.ceil(mean + 3.5 * math.sqrt(mean * (1 - mean / 64)))
-    found = links_in_buckets(keyed, f"bit_count(a_sim ^ b_sim) <= {most}", verify, "similar")
+    found = links_in_buckets(keyed, f"least(a_sim, b_sim) >= {similarity} * greatest(a_sim, b_sim) - 1e-9", verify, "similar")
     groups = connected_components(found, "similar-links")
-    label = nodes.join(groups, "node", "left").select("codes", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "codes").join(label, "codes").select("doc_id", "component_id")
+    label = nodes.join(groups, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", *key).join(label, key).select("doc_id", "component_id")

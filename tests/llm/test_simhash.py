@@ -111,3 +111,36 @@ def test_similar_groups(spark, monkeypatch, dense):
 def test_repeated_words_beyond_a_slice():
     text = "a b c " * 400_000
     assert int(simhash.simhash(pa.array([text, "x"]))[0, 0]) == brute_print(text)
+
+
+def groups_as_wanted(spark, rows):
+    text = dict(rows)
+    want = brute_groups(text, lambda a, b: jaccard(text[a], text[b]) >= 0.8)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("dense, sampled", [(64, 16), (3, 1)])
+def test_every_pair_at_the_least_similarity_is_found(spark, monkeypatch, dense, sampled):
+    monkeypatch.setattr("sparkquarry.llm.buckets.DENSE", dense)
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    monkeypatch.setattr(simhash, "COMMON", 2)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared, rows = " ".join(word() for _ in range(40)), []
+    for _ in range(120):
+        base = [word() for _ in range(94)]  # 90 shingles, ten of them replaced: 80 of 100 are common
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:84], *(word() for _ in range(10))]))]
+    rows += [(1_000 + i, f"{shared} {' '.join(word() for _ in range(30))}") for i in range(30)]  # a passage that unlike texts share
+    passage = " ".join(word() for _ in range(60))
+    rows += [(2_000, f"{passage} {shared}"), (2_001, f"{passage} " + f"{shared} " * 30)]  # one repeats a part many times
+    assert sum(k != v for k, v in groups_as_wanted(spark, rows).items()) == 121
+
+
+def test_equal_simhash_is_no_equal_text(spark):
+    """A phrase repeated so often that it decides every bit, before tails of their own."""
+    rng = random.Random(8)
+    phrase = " ".join(f"phrase{i}" for i in range(9))
+    rows = [(i, f"{phrase} " * 200 + " ".join(f"w{rng.randrange(10**9)}" for _ in range(150))) for i in range(6)]
+    assert len({int(p) for p in simhash.simhash(pa.array([t for _, t in rows]), 5)[:, 0]}) < len(rows)
+    assert all(k == v for k, v in groups_as_wanted(spark, rows).items())
