@@ -1,13 +1,13 @@
 """Fuzzy line dedup, in DataFrame expressions only.
 
-Lines (between line feeds) are normalised: lower case, no ASCII punctuation, no blanks
-at the ends.  Equal normalised lines are one line by 128 bits of hash.  Distinct ones
+Lines (between line feeds) are normalised: lower case, no ASCII punctuation, one space for
+a run of white space (space, 0x09, 0x0B-0x0D), none at the ends.  Equal normalised lines are one line by 128 bits of hash.  Distinct ones
 get a 64-bit SimHash of their words of more than four letters (shorter ones are much the
 same in all lines and would make unlike lines meet); lines at most three bits
 apart agree in all but three of m blocks of the hash (pigeonhole), so they meet in a
 join on those blocks; m grows with the logarithm of the number of lines, which changes
 the cost of the join and not its result.  Pairs that meet are compared in full: three
-bits at most, then edit similarity, counted in words.  Connected lines form a group, of which the first
+bits at most, then edit similarity, counted in words (in characters where words allow no edit).  Connected lines form a group, of which the first
 occurrence (least doc_id, then line number) stays.
 
 Lines of one block value do not all meet pairwise: a centre gathers what is similar to it, and
@@ -37,6 +37,7 @@ from sparkquarry.llm.components import connected_components
 SHORTEST = 20  # normalised characters
 RADIUS = 3  # bits
 ALIKE = 0.8  # edit similarity: 1 - distance / longer length, in words
+FEW = 4  # words of which ALIKE lets none differ; such lines are compared by characters
 
 CONTENT = 4  # letters that a word has to exceed to count in the SimHash
 
@@ -49,8 +50,9 @@ def _split(text: Column) -> Column:
 
 
 def _clean(text: Column) -> Column:
-    """Lower case without ASCII punctuation."""
-    return F.regexp_replace(F.lower(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", "")
+    """Lower case without ASCII punctuation, runs of white space inside a line as one space."""
+    bare = F.regexp_replace(F.lower(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", "")
+    return F.regexp_replace(bare, r"\x20[\x20\x09\x0B-\x0D]+|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*", " ")
 
 
 def normalised(line: Column) -> Column:
@@ -110,13 +112,14 @@ def _as_letters(line: Column) -> Column:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(key1, spelled)`` of the lines that ``wanted(key1, doc_id, line)`` names."""
+    """``(key1, spelled, short)`` of the lines that ``wanted(key1, doc_id, line)`` names."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key1")).alias("_lines"))
     per_doc = sized(staged(per_doc, "lines-fetch"), "size(_lines)")
     got = docs.select("doc_id", "text").join(per_doc, "doc_id")
     pick = let(_split(F.col("text")), lambda own: F.transform("_lines", lambda x: F.struct(x["key1"].alias("key1"), F.get(own, x["line"]).alias("own"))))
     got = got.select(F.explode(pick).alias("x"))
-    return got.select("x.key1", _as_letters(normalised(F.col("x.own"))).alias("spelled"))
+    got = got.select("x.key1", normalised(F.col("x.own")).alias("norm"))
+    return got.select("key1", _as_letters(F.col("norm")).alias("spelled"), F.when(F.size(F.split("norm", " ")) <= FEW, F.col("norm")).alias("short"))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -129,10 +132,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("key1")).union(pairs.select("v")).distinct()
         texts = staged(_texts(docs, staged(distinct.join(ids, "key1").select("key1", "doc_id", "line"), "lines-wanted")), "lines-text")
-        left = texts.select(F.col("key1").alias("u"), F.col("spelled").alias("_a"))
-        right = texts.select(F.col("key1").alias("v"), F.col("spelled").alias("_b"))
-        longer = F.greatest(F.length("_a"), F.length("_b"))
-        both = pairs.join(left, "u").join(right, "v").withColumn("_most", F.floor(longer * (1 - ALIKE) + 1e-9).cast("int"))
+        left = texts.select(F.col("key1").alias("u"), F.col("spelled").alias("_a"), F.col("short").alias("_c"))
+        right = texts.select(F.col("key1").alias("v"), F.col("spelled").alias("_b"), F.col("short").alias("_d"))
+        both = pairs.join(left, "u").join(right, "v")
+        few = F.col("_c").isNotNull() & F.col("_d").isNotNull()
+        both = both.select("u", "v", F.when(few, F.col("_c")).otherwise(F.col("_a")).alias("_a"), F.when(few, F.col("_d")).otherwise(F.col("_b")).alias("_b"))
+        both = both.withColumn("_most", F.floor(F.greatest(F.length("_a"), F.length("_b")) * (1 - ALIKE) + 1e-9).cast("int"))
         return both.filter("abs(length(_a) - length(_b)) <= _most and levenshtein(_a, _b, _most) >= 0")
 
     rows = distinct.select(F.col("key1").alias("id"), "sim")

@@ -104,3 +104,14 @@ def test_masks_cover_three_flips():
         for _ in range(200):
             flips = sum(1 << b for b in rng.sample(range(64), 3))
             assert any(m & flips == 0 for m in [m % (1 << 64) for m in masks])
+
+
+def test_white_space_does_not_tell_lines_apart(spark):
+    line = "seven ordinary words stand within this sentence"
+    docs = [(0, line), (1, f"{line}\r\nother"), (2, line.replace(" ", "\t")), (3, line.replace(" ", "  ")), (4, f"\x0b {line} \x0c"), (5, line.replace(" ", " - "))]
+    assert {i: n for i, (_, n, _) in run(spark, docs).items()} == {0: 0, **dict.fromkeys(range(1, 6), 1)}
+
+
+def test_short_lines_are_compared_by_characters(spark):
+    docs = [(0, "this extraordinary advertisement"), (1, "thus extraordinary advertisement"), (2, "with advertisement extraordinary")]
+    assert {i: n for i, (_, n, _) in run(spark, docs).items()} == {0: 0, 1: 1, 2: 0}
