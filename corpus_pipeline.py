@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    found = templates.leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
+    found = templates.leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text"), verbatim=True).select("doc_id").distinct()
     return docs.join(sized(staged(found, "pipeline-leaks")), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -10,7 +10,9 @@ way round.  So a question with other numbers or names is caught, a chance frame
 
 The benchmark's windows are broadcast if there are few (``common.sized``); beyond that
 both sides are shuffled.  Placeholders are bounded: a window needs at least half
-its tokens to be literal words.
+its tokens to be literal words.  With ``verbatim`` every window is joined on its plain words
+(lower case, no surrounding punctuation) as well, so one that is mostly placeholders counts
+where its values are the same.  The query keeps to its SQL, which has no such windows; the pipeline uses them.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST``
 tokens are never matched (they would be found everywhere); items shorter than a window
@@ -70,6 +72,11 @@ def canonical(raw: Column) -> Column:
     return let(raw, lambda own: F.transform(own, lambda w, i: token(own, w, i)))
 
 
+def plain(raw: Column) -> Column:
+    """The words in lower case without surrounding punctuation."""
+    return F.transform(raw, lambda w: F.lower(F.btrim(w, F.lit(_EDGE))))
+
+
 def windows(tokens: Column, span: int) -> Column:
     """Hash of every run of ``span`` tokens."""
 
@@ -90,11 +97,11 @@ def _prepared(items: DataFrame) -> DataFrame:
     return split.filter(F.size("tokens") >= LEAST)
 
 
-def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVER) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVER, verbatim: bool = False) -> DataFrame:
     """``(doc_id, item_id, item_words, covered, n_slots, exact)`` of every leaked item of every document.
 
     ``covered`` are the item's words under matching windows of the best alignment, ``exact`` says that
-    no slot was given another value.
+    no slot was given another value.  ``verbatim`` also joins on plain words (see above).
     """
     items = staged(_prepared(items.select("item_id", "text").dropDuplicates(["item_id"])), "template-items")
     sizes = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(span)).alias("n")).distinct().collect()]  # at most span numbers
@@ -102,12 +109,18 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
     hits = None
     for n in sizes or [span]:
         own = items if n == span else items.filter(F.size("tokens") == n)
-        own = own.select("item_id", F.posexplode(windows(F.col("tokens"), n)).alias("item_pos", "window"), "tokens")
-        own = own.filter(_literal(F.slice("tokens", F.col("item_pos") + 1, n)) * 2 >= n).select("window", "item_id", "item_pos")
+        typed = lambda t: own.select("item_id", F.posexplode(windows(t, n)).alias("item_pos", "window"), t.alias("t")).filter(_literal(F.slice("t", F.col("item_pos") + 1, n)) * 2 >= n).select("window", "item_id", "item_pos")  # noqa: B023, E731
+        as_words = own.select("item_id", F.posexplode(windows(plain(F.col("raw")), n)).alias("item_pos", "window")).select("window", "item_id", "item_pos")
+        own = typed(F.col("tokens")).union(as_words).distinct() if verbatim else typed(F.col("tokens"))
         own = staged(own, "template-windows")
         own = sized(own)
         tokens = docs.select("doc_id", canonical(raw_words(F.col("text"))).alias("tokens"))
-        ours = tokens.select("doc_id", F.posexplode(windows(F.col("tokens"), n)).alias("pos", "window"))
+        if verbatim:
+            both = docs.select("doc_id", raw_words(F.col("text")).alias("raw")).select("doc_id", windows(canonical(F.col("raw")), n).alias("typed"), windows(plain(F.col("raw")), n).alias("plain"))
+            same = lambda w, i: F.when(w == F.get("plain", i), F.array(w)).otherwise(F.array(w, F.get("plain", i)))
+            ours = both.select("doc_id", F.posexplode(F.transform("typed", same)).alias("pos", "each")).select("doc_id", "pos", F.explode("each").alias("window"))
+        else:
+            ours = tokens.select("doc_id", F.posexplode(windows(F.col("tokens"), n)).alias("pos", "window"))
         found = ours.join(own, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.lit(n).alias("span"))
         hits = found if hits is None else hits.union(found)
     lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.min("item_pos").alias("first"), F.max(F.col("item_pos") + F.col("span")).alias("stop"), F.max("span").alias("span"))

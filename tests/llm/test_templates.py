@@ -99,3 +99,11 @@ def test_empty_tables(spark):
     assert templates.leaks(frame(spark, []), bench).count() == 0
     assert templates.leaks(frame(spark), bench.limit(0)).count() == 0
     assert templates.leaks(frame(spark), bench).count() == 0
+
+
+def test_verbatim_items_without_enough_literal_words(spark):
+    items = [(1, "sum 12 7 19 19 4 15 3 8"), (2, "Anna Bob Carla Dora Emil Franz Gerd"), (3, "Tom has 5 red apples in the house"), (4, "What does he say to Tom Ann Bob Eve Zoe Max")]
+    docs = [(i, f"we write {t} today") for i, t in items] + [(11, "we write sum 13 8 20 20 5 16 4 9 today")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.covered == r.item_words, r.exact) for r in templates.leaks(frame(spark, docs), bench, verbatim=True).collect()}
+    assert got == {(i, i, True, True) for i, _ in items}
