@@ -12,7 +12,8 @@ The benchmark's windows are broadcast if there are few (``common.sized``); beyon
 both sides are shuffled.  Placeholders are bounded: a window needs at least half
 its tokens to be literal words.  With ``verbatim`` every window is joined on its plain words
 (lower case, no surrounding punctuation) as well, so one that is mostly placeholders counts
-where its values are the same.  The query keeps to its SQL, which has no such windows; the pipeline uses them.
+where its values are the same, and an item's first word may be a name inside the
+document's sentence.  The query keeps to its SQL, which has neither; the pipeline uses both.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST``
 tokens are never matched (they would be found everywhere); items shorter than a window
@@ -77,6 +78,11 @@ def plain(raw: Column) -> Column:
     return F.transform(raw, lambda w: F.lower(F.btrim(w, F.lit(_EDGE))))
 
 
+def _inside(raw: Column) -> Column:
+    """Typed tokens as of words that follow others in a sentence."""
+    return let(canonical(F.concat(F.array(F.lit("x")), raw)), lambda t: F.slice(t, F.lit(2), F.size(t) - 1))
+
+
 def windows(tokens: Column, span: int) -> Column:
     """Hash of every run of ``span`` tokens."""
 
@@ -94,7 +100,7 @@ def _literal(tokens: Column) -> Column:
 def _prepared(items: DataFrame) -> DataFrame:
     split = items.select("item_id", raw_words(F.col("text").cast("string")).alias("raw"))
     split = split.select("item_id", "raw", canonical(F.col("raw")).alias("tokens"))
-    return split.filter(F.size("tokens") >= LEAST)
+    return split.filter(F.size("tokens") >= LEAST).withColumn("inside", _inside(F.col("raw"))[0])
 
 
 def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVER, verbatim: bool = False) -> DataFrame:
@@ -111,7 +117,8 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
         own = items if n == span else items.filter(F.size("tokens") == n)
         typed = lambda t: own.select("item_id", F.posexplode(windows(t, n)).alias("item_pos", "window"), t.alias("t")).filter(_literal(F.slice("t", F.col("item_pos") + 1, n)) * 2 >= n).select("window", "item_id", "item_pos")  # noqa: B023, E731
         as_words = own.select("item_id", F.posexplode(windows(plain(F.col("raw")), n)).alias("item_pos", "window")).select("window", "item_id", "item_pos")
-        own = typed(F.col("tokens")).union(as_words).distinct() if verbatim else typed(F.col("tokens"))
+        own_inside = F.concat(F.array("inside"), F.slice("tokens", F.lit(2), F.size("tokens") - 1))
+        own = typed(F.col("tokens")).union(as_words).union(typed(own_inside)).distinct() if verbatim else typed(F.col("tokens"))
         own = staged(own, "template-windows")
         own = sized(own)
         tokens = docs.select("doc_id", canonical(raw_words(F.col("text"))).alias("tokens"))
@@ -144,12 +151,15 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
             )
         ).alias("x"),
     )
-    cut = cut.select("doc_id", "x.*").join(items.select("item_id", F.col("raw").alias("item_raw"), F.col("tokens").alias("item_tokens")), "item_id")
+    cut = cut.select("doc_id", "x.*").join(items.select("item_id", F.col("raw").alias("item_raw"), F.col("tokens").alias("item_tokens"), "inside"), "item_id")
+    kind_of = lambda j: F.get("item_tokens", F.col("first") + j)
+    if verbatim:
+        kind_of = lambda j: F.when((F.col("first") + j == 0) & (F.get("tokens", j) == F.col("inside")), F.col("inside")).otherwise(F.get("item_tokens", F.col("first") + j))
     pairs = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.size("tokens") - 1),
             lambda j: F.struct(
-                F.get("tokens", j).alias("kind"), F.get("item_tokens", F.col("first") + j).alias("item_kind"),
+                F.get("tokens", j).alias("kind"), kind_of(j).alias("item_kind"),
                 F.btrim(F.get("item_raw", F.col("first") + j), F.lit(_EDGE)).alias("a"), F.btrim(F.get("raw", j), F.lit(_EDGE)).alias("b"),
             ),
         ),

@@ -107,3 +107,11 @@ def test_verbatim_items_without_enough_literal_words(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.covered == r.item_words, r.exact) for r in templates.leaks(frame(spark, docs), bench, verbatim=True).collect()}
     assert got == {(i, i, True, True) for i, _ in items}
+
+
+def test_first_word_of_an_item_may_be_a_name_in_the_document(spark):
+    bench = spark.createDataFrame([(1, "Tom has 5 red apples in the house of Tom")], "item_id long, text string")
+    docs = [(1, "so, Tom has 5 red apples in the house of Tom"), (2, "Q) Bob has 7 red apples in the house of Bob"), (3, "Heading\nTom has 6 red apples in the house of Tom"),
+            (4, "Q) Bob has 7 red apples in the house of Tim"), (5, "Look. Tom has 7 red apples in the house of Tom")]
+    got = {r.doc_id: r.exact for r in templates.leaks(frame(spark, docs), bench, verbatim=True).collect()}
+    assert got == {1: True, 2: False, 3: False, 5: False}
