@@ -1,30 +1,31 @@
 """Fuzzy line dedup, in DataFrame expressions only.
 
 Lines (between line feeds) are normalised: lower case, no ASCII punctuation, one space for
-a run of white space (space, 0x09, 0x0B-0x0D), none at the ends.  Equal normalised lines are one line by 128 bits of hash.  Distinct ones
-get a 64-bit SimHash of their words of more than four letters (shorter ones are much the
-same in all lines and would make unlike lines meet); lines at most three bits
-apart agree in all but three of m blocks of the hash (pigeonhole), so they meet in a
-join on those blocks; m grows with the logarithm of the number of lines, which changes
-the cost of the join and not its result.  Pairs that meet are compared in full: three
-bits at most, then edit similarity, counted in words (in characters where words allow no edit).  Connected lines form a group, of which the first
+a run of white space (space, 0x09, 0x0B-0x0D), none at the ends.  Equal normalised lines
+are one line by 128 bits of hash.  Distinct ones get a 64-bit SimHash of all their words; a
+word of up to ``CONTENT`` letters enters together with the word after it, since alone it is
+much the same in all lines.  Lines at most three bits apart agree outside some four of
+eight blocks of the hash (pigeonhole over a quadruple system, see ``block_masks``), so they
+meet in a join on the rest.  Pairs that meet are compared in full: three bits at most,
+then edit similarity in characters.  Connected lines form a group, of which the first
 occurrence (least doc_id, then line number) stays.
 
 Lines of one block value do not all meet pairwise: a centre gathers what is similar to it, and
 only what is not in its group meets the others (see ``buckets``).  Values that over a
-thousand lines share are dealt anew by more bits (nine of twelve blocks).
+thousand lines share are dealt anew by 48 bits in place of 32.
 
 Defined results: null texts stay null and have no lines; lines of fewer than
 ``SHORTEST`` normalised characters are never removed; a text whose lines all go becomes
-empty and its row stays; doc_id has to be unique; lines without words of more than four
-letters are compared for equality alone; a line of over 16,383 words has a SimHash for each such
-block and meets others by any of them; extra columns pass through unless their names
-begin with an underscore; an empty table gives no rows.
+empty and its row stays; rows with one doc_id and unlike texts are documents of their own
+in an order by hash, rows alike in both are one document and lose the same lines; a null doc_id
+comes before all others; a line of over 16,256 words has a SimHash for each such
+block and meets others by any of them; extra columns pass through unless they are called
+``_lines``, ``_dropped``, ``_drop`` or ``_row``, which raises ValueError; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -36,135 +37,177 @@ from sparkquarry.llm.components import connected_components
 
 SHORTEST = 20  # normalised characters
 RADIUS = 3  # bits
-ALIKE = 0.8  # edit similarity: 1 - distance / longer length, in words
-FEW = 4  # words of which ALIKE lets none differ; such lines are compared by characters
+ALIKE = 0.8  # edit similarity: 1 - distance / longer length, in characters
+CONTENT = 4  # letters that a word has to exceed to enter the SimHash by itself
+SOON = 64  # edits that are tried before the whole allowance
 
-CONTENT = 4  # letters that a word has to exceed to count in the SimHash
-
-_LANES = 16  # counters of 16 bits, four to a long
-_BLOCK = 0x3FFF  # words that they count
+_FEW = 127  # words that counters of 8 bits hold
+_BLOCKS = 128  # blocks of _FEW words that counters of 16 bits hold
+_KEPT = ("_lines", "_dropped", "_drop", "_row")
 
 
 def _split(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _clean(text: Column) -> Column:
-    """Lower case without ASCII punctuation, runs of white space inside a line as one space."""
-    bare = F.regexp_replace(F.lower(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", "")
-    return F.regexp_replace(bare, r"\x20[\x20\x09\x0B-\x0D]+|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*", " ")
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"\p{Punct}+", "")  # the ASCII marks
+
+
+def _spaced(line: Column) -> Column:
+    """One space for each run of white space; most lines need nothing done."""
+    needs = F.contains(line, F.lit("  "))
+    for mark in "\t\x0b\x0c\r":
+        needs = needs | F.contains(line, F.lit(mark))
+    return F.trim(F.when(needs, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(_clean(line))
+    return _spaced(_bare(line))
 
 
-def _bits() -> Column:
-    """SimHash from the packed counters ``s0 .. s15`` of ``n`` words: bit 14 of a counter
-    is set after adding what it lacks if it counts more than half of them."""
-    lanes = F.lit(0x0001000100010001)
-    lack = (F.lit(_BLOCK) - F.expr("n div 2")) * lanes
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _majority(sums: list[Column], width: int) -> Column:
+    """SimHash from packed counters of ``n`` words: lane j of ``sums[k]`` counts bit ``width * j + k``.
+
+    Adding what half of the words lack sets bit ``top`` of a counter if it counts more than half of them.
+    """
+    half, top = F.expr("n div 2"), 7 if width == 8 else 14  # no sum reaches the sign of the long
     out = None
-    for k in range(_LANES):
-        term = F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + lack, 14).bitwiseAND(lanes), k)
-        out = term if out is None else out.bitwiseOR(term)
+    lanes = F.lit(0x0001000100010001)
+    for k, s in enumerate(sums):
+        for shift in range(0, 16, width):  # counters in lanes of 16 bits, so that sums do not run over
+            lane = F.shiftrightunsigned(s, shift).bitwiseAND(F.lit((1 << width) - 1) * lanes) if width < 16 else s
+            bit = F.shiftrightunsigned(lane + (F.lit((1 << top) - 1) - half) * lanes, top).bitwiseAND(lanes)
+            term = F.shiftleft(bit, shift + k)
+            out = term if out is None else out.bitwiseOR(term)
     return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line, key1, key2, block, n, sim)`` of every line that is long enough.
+    """``(doc_id, row, line, key1, key2, block, n, sim)`` of every line that is long enough.
 
-    The line is named by 128 bits of its normalised text.  ``sim`` is the SimHash of the ``n`` content
-    words of one block of the line; only lines over ``_BLOCK`` words have blocks after 0.
+    The line is named by 128 bits of its normalised text.  ``sim`` is the SimHash of the ``n`` words
+    of one block of the line; only lines over ``_FEW * _BLOCKS`` words have blocks after 0.
     """
-    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(_split(_clean(F.col("text")))).alias("line", "own"))
-    norm = F.trim("own")
-    keyed = lines.filter(F.length("own") >= SHORTEST).select("doc_id", "line", norm.alias("norm")).filter(F.length("norm") >= SHORTEST)
-    keyed = keyed.select("doc_id", "line", F.xxhash64("norm").alias("key1"), F.xxhash64("norm", F.lit("second")).alias("key2"), F.split("norm", " ").alias("words"))
-    each = keyed.select("doc_id", "line", "key1", "key2", F.posexplode("words").alias("at", "word"))
-    content = F.length("word") > CONTENT
-    each = each.filter((F.col("at") == 0) | content).select(
-        "doc_id", "line", "key1", "key2", F.expr(f"at div {_BLOCK}").cast("int").alias("block"), F.when(content, F.xxhash64("word")).alias("h")
-    )
-    lane = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lane)).alias(f"s{k}") for k in range(_LANES)]  # null without content words
-    blocks = each.groupBy("doc_id", "line", "key1", "key2", "block").agg(F.count("h").alias("n"), *sums)
-    return blocks.select("doc_id", "line", "key1", "key2", "block", "n", _bits().alias("sim"))
-
-
-def block_masks(lines: int) -> list[int]:
-    """Masks of the parts in which near lines agree: all but three of m blocks.
-
-    m is the least for which those parts have three bits more than the logarithm of the number of lines.
+    split = docs.filter(F.col("text").isNotNull()).select("doc_id", _row_key().alias("row"), F.posexplode(_split(_bare(F.col("text")))).alias("line", "own"))
+    norm = split.filter(F.length("own") >= SHORTEST).select("doc_id", "row", "line", _spaced(F.col("own")).alias("norm")).filter(F.length("norm") >= SHORTEST)
+    keyed = norm.select("doc_id", "row", "line", F.xxhash64("norm").alias("key1"), F.xxhash64("norm", F.lit("second")).alias("key2"), F.split("norm", " ").alias("words"))
+    place = ["doc_id", "row", "line", "key1", "key2"]
+    each = keyed.select(*place, "words", F.size("words").alias("total"), F.posexplode("words").alias("at", "word"))
+    after = F.get("words", F.col("at") + 1)
+    h = F.when((F.length("word") > CONTENT) | after.isNull(), F.xxhash64("word")).otherwise(F.xxhash64("word", after))
+    each = each.select(*place, "total", F.expr(f"at div {_FEW}").cast("int").alias("block"), h.alias("h"))
+    lanes = F.lit(0x0101010101010101)
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(8)]
+    parts = each.groupBy(*place, "total", "block").agg(F.count("*").alias("n"), *sums)
+    long = F.col("total") > _FEW
+    packed = F.when(long, F.array(*[f"s{k}" for k in range(8)]))
+    parts = staged(parts.select(*place, "block", "n", F.when(~long, _majority([F.col(f"s{k}") for k in range(8)], 8)).alias("sim"), packed.alias("sums")), "lines-parts")
+    wide, mask = [None] * 16, F.lit(0x00FF00FF00FF00FF)
+    for k in range(8):  # the even and the odd counters of eight bits become two of sixteen
+        s = F.get("sums", F.lit(k))
+        wide[k], wide[k + 8] = s.bitwiseAND(mask), F.shiftrightunsigned(s, 8).bitwiseAND(mask)
+    more = parts.filter("sums is not null").withColumn("block", F.expr(f"block div {_BLOCKS}").cast("int"))
+    more = more.groupBy(*place, "block").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"w{k}") for k, c in enumerate(wide)])
+    more = more.select(*place, "block", "n", _majority([F.col(f"w{k}") for k in range(16)], 16).alias("sim"))
+    return parts.filter("sums is null").select(*place, "block", "n", "sim").union(more)
+
+
+def block_masks(power: int) -> list[int]:
+    """Masks of which at least one leaves out any three bits.
+
+    The 64 bits are cut into ``2**power`` blocks.  The quadruples of block numbers whose exclusive or is zero
+    hold every three blocks in exactly one of them; a mask leaves out the four of one: 14 masks of 32 bits for
+    eight blocks, 140 of 48 bits for sixteen.
     """
-    want = math.log2(max(lines, 2)) + 3
-    m = next((m for m in range(RADIUS + 1, 12) if 64 * (m - RADIUS) / m >= want), 12)
-    edge = [64 * i // m for i in range(m + 1)]
-    part = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(m)]
-    masks = [sum(part[i] for i in kept) for kept in combinations(range(m), m - RADIUS)]
+    blocks = 1 << power
+    size = 64 // blocks
+    quads = [q for q in combinations(range(blocks), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
+    masks = [(1 << 64) - 1 - sum(((1 << size) - 1) << size * b for b in q) for q in quads]
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
-def _as_letters(line: Column) -> Column:
-    """A line with one letter for each word, by a hash of it: distances then count words."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD600)) + 0x100), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-16BE")
-
-
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(key1, spelled, short)`` of the lines that ``wanted(key1, doc_id, line)`` names."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key1")).alias("_lines"))
+    """``(key1, norm)`` of the lines that ``wanted(key1, doc_id, row, line)`` names."""
+    per_doc = wanted.groupBy("row").agg(F.collect_list(F.struct("line", "key1")).alias("_lines"))
     per_doc = sized(staged(per_doc, "lines-fetch"), "size(_lines)")
-    got = docs.select("doc_id", "text").join(per_doc, "doc_id")
+    got = docs.select(_row_key().alias("row"), "text").join(per_doc, "row")
     pick = let(_split(F.col("text")), lambda own: F.transform("_lines", lambda x: F.struct(x["key1"].alias("key1"), F.get(own, x["line"]).alias("own"))))
-    got = got.select(F.explode(pick).alias("x"))
-    got = got.select("x.key1", normalised(F.col("x.own")).alias("norm"))
-    return got.select("key1", _as_letters(F.col("norm")).alias("spelled"), F.when(F.size(F.split("norm", " ")) <= FEW, F.col("norm")).alias("short"))
+    got = got.select(F.explode(pick).alias("x")).select("x.key1", normalised(F.col("x.own")).alias("norm"))
+    return got.filter(F.xxhash64("norm") == F.col("key1")).dropDuplicates(["key1"])
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    """The pairs of lines ``_a`` and ``_b`` that are within the edit distance allowed.
+
+    The words that both begin and end with are left out first.  Every word counts with the space
+    behind it, which changes no distance.
+    """
+    first = "cast(array_position(zip_with({0}, {1}, (p, q) -> coalesce(p = q, false)), false) as int)"
+    rest = "reverse(slice({0}, {1}, greatest(size({0}) - {1} + 1, 0)))"
+    spelled = "array_join(transform(" + rest + ", w -> concat(w, ' ')), '')"
+    steps = [
+        {"_most": f"cast(floor(greatest(length(_a), length(_b)) * {round(1 - ALIKE, 6)} + 1e-9) as int)", "_x": "split(_a, ' ')", "_y": "split(_b, ' ')"},
+        {"_n": first.format("_x", "_y")},
+        {"_x": rest.format("_x", "_n"), "_y": rest.format("_y", "_n")},
+        {"_n": "coalesce(nullif(" + first.format("_x", "_y") + ", 0), 1)"},
+        {"_x": spelled.format("_x", "_n"), "_y": spelled.format("_y", "_n")},
+    ]
+    pairs, done = pairs.filter(F.col("_a") != F.col("_b")), ()
+    for step in steps:  # each in a generator of its own, or the optimizer would put one step into the other, over and over
+        kept = [c for c in ("u", "v", "_a", "_b", "_most", "_x", "_y", "_n") if c in pairs.columns and c not in step and c not in done]
+        pairs = pairs.select(*kept, F.explode(F.array(F.struct(*[F.expr(e).alias(k) for k, e in step.items()]))).alias("_s")).select(*kept, "_s.*")
+        done = ("_a", "_b")
+    close = f"abs(length(_x) - length(_y)) <= _most and (levenshtein(_x, _y, least(_most, {SOON})) >= 0 or _most > {SOON} and levenshtein(_x, _y, _most) >= 0)"
+    return pairs.filter(close).select("u", "v")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``(u, v)`` links between near lines; ``distinct(key1, doc_id, line, sim)`` has each line once."""
+    """``(u, v)`` links between near lines; ``distinct(key1, doc_id, row, line, sim)`` has each line once."""
 
-    def keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
-        each = rows.select("id", "sim", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
+    def keyed(rows: DataFrame, power: int) -> DataFrame:
+        each = rows.select("id", "sim", F.posexplode(F.array(*[F.lit(m) for m in block_masks(power)])).alias("choice", "mask"))
         return each.select(F.xxhash64("choice", F.expr("sim & mask")).alias("bucket"), "id", "sim")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("key1")).union(pairs.select("v")).distinct()
-        texts = staged(_texts(docs, staged(distinct.join(ids, "key1").select("key1", "doc_id", "line"), "lines-wanted")), "lines-text")
-        left = texts.select(F.col("key1").alias("u"), F.col("spelled").alias("_a"), F.col("short").alias("_c"))
-        right = texts.select(F.col("key1").alias("v"), F.col("spelled").alias("_b"), F.col("short").alias("_d"))
-        both = pairs.join(left, "u").join(right, "v")
-        few = F.col("_c").isNotNull() & F.col("_d").isNotNull()
-        both = both.select("u", "v", F.when(few, F.col("_c")).otherwise(F.col("_a")).alias("_a"), F.when(few, F.col("_d")).otherwise(F.col("_b")).alias("_b"))
-        both = both.withColumn("_most", F.floor(F.greatest(F.length("_a"), F.length("_b")) * (1 - ALIKE) + 1e-9).cast("int"))
-        return both.filter("abs(length(_a) - length(_b)) <= _most and levenshtein(_a, _b, _most) >= 0")
+        ids = staged(pairs.select(F.col("u").alias("key1")).union(pairs.select("v")).distinct(), "lines-ids")
+        wanted = staged(distinct.join(sized(ids), "key1").select("key1", "row", "line").dropDuplicates(["key1"]), "lines-wanted")
+        texts = sized(staged(_texts(docs, wanted), "lines-text"), "1 + length(norm) div 64")
+        both = pairs.join(texts.select(F.col("key1").alias("u"), F.col("norm").alias("_a")), "u").join(texts.select(F.col("key1").alias("v"), F.col("norm").alias("_b")), "v")
+        return _similar(both)
 
     rows = distinct.select(F.col("key1").alias("id"), "sim")
-    wide, narrow = block_masks(distinct.count()), block_masks(1 << 62)
-    return links_in_buckets(keyed(rows, wide), f"bit_count(a_sim ^ b_sim) <= {RADIUS}", verify, "lines", lambda crowd: keyed(crowd, narrow))
+    power = 3 if distinct.count() <= 1 << 28 else 4  # what meets by chance stays a small share; the result is the same
+    return links_in_buckets(keyed(rows, power), f"bit_count(a_sim ^ b_sim) <= {RADIUS}", verify, "lines", lambda crowd: keyed(crowd, 4))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, drop array<int>)``: the numbers of the lines to remove, from 0."""
+    """``(row, drop array<int>)``: the numbers of the lines to remove, from 0, of the documents named by ``row``."""
     lines = staged(line_table(docs), "lines")
-    found = lines.groupBy("key1", "key2", "block").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.max("n").alias("words"))
+    found = lines.groupBy("key1", "key2", "block").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
     found = staged(found, "lines-distinct")
     groups = found.filter("block = 0").select("key1", "key2", "first", "n")
-    links = near_lines(docs, found.filter("words > 0").select("key1", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "sim"))
-    parts = connected_components(links, "lines-groups").select(F.col("node").alias("key1"), "component")
-    near = groups.join(parts, "key1").select("key1", "key2", "component", "first")
-    keep = near.groupBy("component").agg(F.min("first").alias("keep"))
-    near = near.join(keep, "component").select("key1", "key2", "keep")
+    links = near_lines(docs, found.select("key1", "first.doc_id", "first.row", "first.line", "sim"))
+    parts = staged(connected_components(links, "lines-groups").select(F.col("node").alias("key1"), "component"), "lines-members")
+    near = staged(groups.join(sized(parts), "key1").select("key1", "key2", "component", "first"), "lines-near")
+    keep = staged(near.groupBy("component").agg(F.min("first").alias("keep")), "lines-first")
+    near = near.join(sized(keep), "component").select("key1", "key2", "keep")
     again = groups.filter("n > 1").join(near.select("key1", "key2"), ["key1", "key2"], "left_anti").select("key1", "key2", F.col("first").alias("keep"))
-    gone = lines.filter("block = 0").join(staged(near.union(again), "lines-keep"), ["key1", "key2"]).filter("doc_id <> keep.doc_id or line <> keep.line")
-    return gone.groupBy("doc_id").agg(F.collect_list("line").alias("drop"))
+    gone = lines.filter("block = 0").join(sized(staged(near.union(again), "lines-keep")), ["key1", "key2"]).filter("row <> keep.row or line <> keep.line")
+    return gone.groupBy("row").agg(F.collect_set("line").alias("drop"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated lines cut out of ``text``; adds ``_lines`` and ``_dropped``, their numbers."""
-    drop = staged(dropped_lines(docs), "lines-drop").select("doc_id", F.col("drop").alias("_drop"))
-    both = docs.join(sized(drop, "size(_drop)"), "doc_id", "left")
+    if taken := {c.lower() for c in docs.columns} & set(_KEPT):
+        raise ValueError(f"columns {sorted(taken)} are named like this operator's own")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    drop = staged(dropped_lines(docs.select("doc_id", "text")), "lines-drop").select(F.col("row").alias("_row"), F.col("drop").alias("_drop"))
+    both = docs.withColumn("_row", _row_key()).join(sized(drop, "size(_drop)"), "_row", "left").drop("_row")
     rest = F.array_join(F.filter(_split(F.col("text")), lambda x, i: ~F.array_contains("_drop", i)), "\n")
     out = both.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text")))).cast("long"))
     out = out.withColumn("_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
