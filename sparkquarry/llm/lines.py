@@ -18,7 +18,7 @@ Defined results: null texts stay null and have no lines; lines of fewer than
 ``SHORTEST`` normalised characters are never removed; a text whose lines all go becomes
 empty and its row stays; rows with one doc_id and unlike texts are documents of their own
 in an order by hash, rows alike in both are one document and lose the same lines; a null doc_id
-comes before all others; a line of over 16,256 words has a SimHash for each such
+comes before all others; a line of over 16,128 words has a SimHash for each such
 block and meets others by any of them; extra columns pass through unless they are called
 ``_lines``, ``_dropped``, ``_drop`` or ``_row``, which raises ValueError; an empty table
 gives no rows.
@@ -39,9 +39,10 @@ SHORTEST = 20  # normalised characters
 RADIUS = 3  # bits
 ALIKE = 0.8  # edit similarity: 1 - distance / longer length, in characters
 CONTENT = 4  # letters that a word has to exceed to enter the SimHash by itself
-SOON = 64  # edits that are tried before the whole allowance
+SOON = 32  # edits that are tried first
 
-_FEW = 127  # words that counters of 8 bits hold
+_SEVEN = 7  # words that are added up at once
+_FEW = 126  # words that counters of 8 bits hold
 _BLOCKS = 128  # blocks of _FEW words that counters of 16 bits hold
 _KEPT = ("_lines", "_dropped", "_drop", "_row")
 
@@ -93,17 +94,26 @@ def line_table(docs: DataFrame) -> DataFrame:
     The line is named by 128 bits of its normalised text.  ``sim`` is the SimHash of the ``n`` words
     of one block of the line; only lines over ``_FEW * _BLOCKS`` words have blocks after 0.
     """
-    split = docs.filter(F.col("text").isNotNull()).select("doc_id", _row_key().alias("row"), F.posexplode(_split(_bare(F.col("text")))).alias("line", "own"))
-    norm = split.filter(F.length("own") >= SHORTEST).select("doc_id", "row", "line", _spaced(F.col("own")).alias("norm")).filter(F.length("norm") >= SHORTEST)
+    named = docs.filter(F.col("text").isNotNull()).select("doc_id", _row_key().alias("row"), _bare(F.col("text")).alias("text"))
+    split = named.select("doc_id", "row", F.posexplode(_split(F.col("text"))).alias("line", "own")).filter(F.length("own") >= SHORTEST)
+    # From a generator, so that the filter on it does not work it out once more.
+    norm = split.select("doc_id", "row", "line", F.explode(F.array(_spaced(F.col("own")))).alias("norm")).filter(F.length("norm") >= SHORTEST)
     keyed = norm.select("doc_id", "row", "line", F.xxhash64("norm").alias("key1"), F.xxhash64("norm", F.lit("second")).alias("key2"), F.split("norm", " ").alias("words"))
     place = ["doc_id", "row", "line", "key1", "key2"]
-    each = keyed.select(*place, "words", F.size("words").alias("total"), F.posexplode("words").alias("at", "word"))
-    after = F.get("words", F.col("at") + 1)
-    h = F.when((F.length("word") > CONTENT) | after.isNull(), F.xxhash64("word")).otherwise(F.xxhash64("word", after))
-    each = each.select(*place, "total", F.expr(f"at div {_FEW}").cast("int").alias("block"), h.alias("h"))
+    seven = keyed.select(*place, "words", F.size("words").alias("total"), F.explode(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {_SEVEN}"))).alias("part"))
+    word = lambda j: F.get("words", F.col("part") * _SEVEN + j)
+    alone = lambda j: (F.length(word(j)) > CONTENT) | word(j + 1).isNull()
+    hashed = [F.when(word(j).isNull(), F.lit(0).cast("long")).when(alone(j), F.xxhash64(word(j))).otherwise(F.xxhash64(word(j), word(j + 1))).alias(f"h{j}") for j in range(_SEVEN)]
+    each = seven.select(*place, "total", F.expr(f"part div {_FEW // _SEVEN}").cast("int").alias("block"), F.expr(f"least({_SEVEN}, total - {_SEVEN} * part)").alias("m"), *hashed)
+    # Each bit of seven hashes is added up by full adders: a count in three bits, in ones, twos and fours.
+    each = _add(each, ("h0", "h1", "h2"), "a", "ca")
+    each = _add(each, ("h3", "h4", "h5"), "b", "cb")
+    each = _add(each, ("a", "b", "h6"), "ones", "cc")
+    each = _add(each, ("ca", "cb", "cc"), "twos", "fours")
     lanes = F.lit(0x0101010101010101)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(8)]
-    parts = each.groupBy(*place, "total", "block").agg(F.count("*").alias("n"), *sums)
+    lane = lambda c, k: F.shiftrightunsigned(c, k).bitwiseAND(lanes)
+    sums = [F.sum(lane("ones", k) + 2 * lane("twos", k) + 4 * lane("fours", k)).alias(f"s{k}") for k in range(8)]
+    parts = each.groupBy(*place, "total", "block").agg(F.sum("m").alias("n"), *sums)
     long = F.col("total") > _FEW
     packed = F.when(long, F.array(*[f"s{k}" for k in range(8)]))
     parts = staged(parts.select(*place, "block", "n", F.when(~long, _majority([F.col(f"s{k}") for k in range(8)], 8)).alias("sim"), packed.alias("sums")), "lines-parts")
@@ -113,10 +123,18 @@ def line_table(docs: DataFrame) -> DataFrame:
         wide[k], wide[k + 8] = s.bitwiseAND(mask), F.shiftrightunsigned(s, 8).bitwiseAND(mask)
     more = parts.filter("sums is not null").withColumn("block", F.expr(f"block div {_BLOCKS}").cast("int"))
     more = more.groupBy(*place, "block").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"w{k}") for k, c in enumerate(wide)])
-    more = more.select(*place, "block", "n", _majority([F.col(f"w{k}") for k in range(16)], 16).alias("sim"))
+    more = staged(more.select(*place, "block", "n", _majority([F.col(f"w{k}") for k in range(16)], 16).alias("sim")), "lines-long")
     return parts.filter("sums is null").select(*place, "block", "n", "sim").union(more)
 
 
+def _add(frame: DataFrame, three: tuple[str, str, str], total: str, carry: str) -> DataFrame:
+    """A full adder on every bit of three columns, which are replaced by their sum and carry."""
+    a, b, c = (F.col(x) for x in three)
+    both = frame.withColumn("_x", a.bitwiseXOR(b))
+    both = both.withColumns({carry: a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(F.col("_x"))), total: F.col("_x").bitwiseXOR(c)})
+    return both.drop("_x", *three)
+
+
 def block_masks(power: int) -> list[int]:
     """Masks of which at least one leaves out any three bits.
 
@@ -162,8 +180,12 @@ def _similar(pairs: DataFrame) -> DataFrame:
         kept = [c for c in ("u", "v", "_a", "_b", "_most", "_x", "_y", "_n") if c in pairs.columns and c not in step and c not in done]
         pairs = pairs.select(*kept, F.explode(F.array(F.struct(*[F.expr(e).alias(k) for k, e in step.items()]))).alias("_s")).select(*kept, "_s.*")
         done = ("_a", "_b")
-    close = f"abs(length(_x) - length(_y)) <= _most and (levenshtein(_x, _y, least(_most, {SOON})) >= 0 or _most > {SOON} and levenshtein(_x, _y, _most) >= 0)"
-    return pairs.filter(close).select("u", "v")
+    # A larger allowance costs more, so most pairs are settled by a small one.
+    tries = [f"levenshtein(_x, _y, least(_most, {SOON * 8**k})) >= 0" for k in range(3)] + ["levenshtein(_x, _y, _most) >= 0"]
+    close = tries[-1]
+    for k in (2, 1, 0):
+        close = f"{tries[k]} or _most > {SOON * 8**k} and ({close})"
+    return pairs.filter(f"abs(length(_x) - length(_y)) <= _most and ({close})").select("u", "v")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -187,7 +209,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(row, drop array<int>)``: the numbers of the lines to remove, from 0, of the documents named by ``row``."""
-    lines = staged(line_table(docs), "lines")
+    lines = line_table(docs)
     found = lines.groupBy("key1", "key2", "block").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
     found = staged(found, "lines-distinct")
     groups = found.filter("block = 0").select("key1", "key2", "first", "n")

@@ -131,11 +131,11 @@ def test_distances_after_cutting_common_words(spark):
 
 def test_long_lines_use_wide_counters(spark):
     rng = random.Random(4)
-    for n in (126, 127, 128, 255, 700, 17_000):
+    for n in (6, 7, 8, 125, 126, 127, 128, 255, 700, 17_000):
         text = " ".join("w%d" % rng.randint(0, 10**6) for _ in range(n))
         rows = lines.line_table(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block").collect()
-        blocks = [text] if n < 16_256 else None
-        assert len(rows) == (1 if n <= 16_256 else 2)
+        blocks = [text] if n <= 16_128 else None
+        assert len(rows) == (1 if n <= 16_128 else 2)
         assert sum(r.n for r in rows) == n
         if blocks:
             assert rows[0].sim % (1 << 64) == simhash(text)
