@@ -5,10 +5,12 @@ Strong kinds stand on their own: ``assign`` (a secret-like name with a value), `
 alone: an ``id`` (a user, client or account name given a value, or a mail address), a
 ``secret`` (a long mixed-case token with digits), an ``endpoint`` (a URL or an address
 with a port).  Parts become intervals widened by a scope of characters and are joined
-where intervals overlap, by one sweep over a document's parts in order of position.
-A weak id is reported only with a secret part in its scope, a weak secret only with an
-identifier, an endpoint only with both.  Access keys count as identifiers, assignments
-and hexadecimal runs as secrets.
+where intervals overlap, by searches in the sorted ends of a document's parts (the join never leaves
+the document, so it needs no shuffle).  A weak id is reported only with a secret part in its scope, a
+weak secret only with an identifier, an endpoint only with one of each.  Access keys count
+as identifiers, assignments and hexadecimal runs as secrets.  No part stands for another: what
+completes a part lies outside of it, an endpoint's two lie outside of each other, and of
+weak parts that overlap only the first counts (endpoints before ids before secrets, then by place).
 
 Texts are scanned whole, as UTF-8 bytes; positions are code points, ends exclusive.
 
@@ -19,7 +21,7 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,8 +78,8 @@ def find_parts(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
 def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """The weak parts that have complementary parts within ``scope``.
 
-    A part is in scope if it begins at most ``scope`` after this one's end and ends at
-    most ``scope`` before its start.  A weak part that lies inside a base span says
+    A part is in scope if it begins at or after this one's end and at most ``scope`` later, or ends at or before
+    its start and at most ``scope`` earlier.  A weak part that lies inside a base span says
     nothing new: it is neither reported nor counted.
     """
     begins = sorted((a, b) for a, b, _ in base)
@@ -91,24 +93,46 @@ def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], s
         at = bisect_left(starts, a + 1) - 1
         return at >= 0 and reach[at] >= b
 
-    weak = [p for p in weak if not inside(p[0], p[1])]
+    weak = _apart([p for p in weak if not inside(p[0], p[1])])
     roles = {"assign": "secret", "hex": "secret", "access": "id"}
-    spots: dict[str, tuple[list[int], list[int]]] = {}
-    for role in ("id", "secret"):
-        own = sorted((a, b) for a, b, k in [*base, *weak] if roles.get(k, k) == role)
-        ends, top = [], -1
-        for _, b in own:
-            top = max(top, b)
-            ends.append(top)
-        spots[role] = ([a for a, _ in own], ends)
-
-    def near(role: str, a: int, b: int) -> bool:
-        first, ends = spots[role]
-        at = bisect_left(first, b + scope + 1) - 1
-        return at >= 0 and ends[at] >= a - scope
-
-    needs = {"id": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}
-    return [p for p in weak if all(near(role, p[0], p[1]) for role in needs[p[2]])]
+    by_start: dict[str, list[tuple[int, int]]] = {"id": [], "secret": []}
+    for a, b, k in [*base, *weak]:
+        if (role := roles.get(k, k)) in by_start:
+            by_start[role].append((a, b))
+    by_end = {role: sorted((b, a) for a, b in own) for role, own in by_start.items()}
+    for own in by_start.values():
+        own.sort()
+
+    def near(role: str, a: int, b: int) -> list[tuple[int, int]]:
+        own, ends = by_start[role], by_end[role]
+        behind = own[bisect_left(own, (b, -1)) : bisect_left(own, (b + scope + 1, -1))]
+        before = ends[bisect_left(ends, (a - scope, -1)) : bisect_left(ends, (a + 1, -1))]
+        return [*((x, y) for y, x in before), *behind]
+
+    def complete(p: tuple[int, int, str]) -> bool:
+        a, b, kind = p
+        if kind != "endpoint":
+            return bool(near("secret" if kind == "id" else "id", a, b))
+        ids, secrets = near("id", a, b), near("secret", a, b)
+        if not ids or not secrets:
+            return False
+        return min(y for _, y in ids) <= max(x for x, _ in secrets) or min(y for _, y in secrets) <= max(x for x, _ in ids)
+
+    return [p for p in weak if complete(p)]
+
+
+def _apart(weak: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Without weak parts that overlap a preferred one."""
+    order = {"endpoint": 0, "id": 1, "secret": 2}
+    kept: list[tuple[int, int]] = []
+    out = []
+    for p in sorted(dict.fromkeys(weak), key=lambda p: (order[p[2]], p[0], -p[1])):
+        at = bisect_left(kept, (p[1], -1))
+        if at and kept[at - 1][1] > p[0]:
+            continue
+        insort(kept, (p[0], p[1]))
+        out.append(p)
+    return sorted(out)
 
 
 def _points(text: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
