@@ -17,7 +17,9 @@ zero without a stem.
 
 Labels are read from a sample of at most ``LABELLED`` rows, the least by a hash of
 doc_id; everything else covers all documents.  The model is a table of 28**3 numbers and
-at most ``STEMS`` stems, the candidates of highest weight.
+the chosen stems.  Every stem of the sample that has a weight over ``THRESHOLD`` is a candidate; there are no
+more of them than the sample's toxic texts have stems that several of them share, so the sample bounds
+what the driver holds.
 
 Defined results: null and empty texts have no stem and get the score of texts without
 one; texts are scored whole; rows are independent; a doc_id with several labels counts
@@ -27,7 +29,6 @@ stem and all scores are 0; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -44,7 +45,6 @@ from sparkquarry.llm.bpe import Recent
 from sparkquarry.llm.common import held, slices, staged, words
 
 LABELLED = 20_000  # most labelled rows that stems are learned from
-STEMS = 3_000  # most candidate stems
 SURE = 0.8  # weight with which a stem stays although others cover its texts
 TIMES = (1, 2, 4)  # a stem counts anew where a text has it as often
 Z = 4.0
@@ -250,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> dict:
     n, p = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     rated = found.filter("bad > 0 and stem <> '*'").withColumn("weight", low).filter(F.col("weight") >= THRESHOLD)
-    top = rated.orderBy(F.desc("weight"), F.desc(F.length("stem")), "stem").limit(STEMS).collect()
+    top = rated.orderBy(F.desc("weight"), F.desc(F.length("stem")), "stem").collect()  # of a bounded sample
     total = found.filter("stem = '*'").collect()
     texts_seen = sum(r.bad + r.good for r in total)
     top = _narrowest(top)
@@ -260,19 +260,19 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> dict:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, known = held(("stems", token), lambda: Reader(shared.value)), chosen_stems.value
         for batch in slices(batches, "text", 1 << 20):
-            out = [sorted({known[s] for s in marks_of(reader.restore(t).split()) if s in known}) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["stems"])
+            out = [np.array(sorted({known[s] for s in marks_of(reader.restore(t).split()) if s in known}), "<i4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["stems"])
 
-    # Toxic texts of the sample, LABELLED at most, with STEMS numbers at most each.
-    bad_texts = sample.filter("toxic = 1").select("text").mapInArrow(hits, "stems array<int>").collect() if names else []
-    return {"costs": costs, "stems": _cover(top, [set(r.stems) for r in bad_texts]), "rest": min(THRESHOLD / 3, 1 / (texts_seen + 2)) if texts_seen else 0.0}
+    # The toxic texts of the sample, four bytes for each candidate in them.
+    bad_texts = sample.filter("toxic = 1").select("text").mapInArrow(hits, "stems binary").collect() if names else []
+    return {"costs": costs, "stems": _cover(top, [np.frombuffer(r.stems, "<i4") for r in bad_texts]), "rest": min(THRESHOLD / 3, 1 / (texts_seen + 2)) if texts_seen else 0.0}
 
 
-def wilson(bad: int, good: int) -> float:
+def wilson(bad: np.ndarray | int, good: np.ndarray | int) -> np.ndarray | float:
     """Lower bound of the share ``bad / (bad + good)``."""
     n = bad + good
     p = bad / n
-    return (p + Z * Z / (2 * n) - Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return (p + Z * Z / (2 * n) - Z * np.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
 
 
 def _narrowest(rated: list) -> list:
@@ -287,23 +287,24 @@ def _narrowest(rated: list) -> list:
     return [r for r in rated if "=" in r.stem or most.get(r.stem, 0) < 0.9 * r.bad]
 
 
-def _cover(rated: list, texts: list[set[int]]) -> dict[str, float]:
+def _cover(rated: list, texts: list[np.ndarray]) -> dict[str, float]:
     """Stems chosen greedily for the toxic texts that they add; of equals the longer one."""
-    open_texts: dict[int, set[int]] = {}
-    for t, own in enumerate(texts):
-        for s in own:
-            open_texts.setdefault(s, set()).add(t)
     out = {r.stem: float(r.weight) for r in rated if r.weight >= SURE}
-    while open_texts:
-        gain = {s: wilson(len(t), rated[s].good) for s, t in open_texts.items() if t}
-        if not gain:
-            break
-        best = max(gain, key=lambda s: (gain[s], len(rated[s].stem), rated[s].stem))
+    if not rated:
+        return out
+    good = np.array([r.good for r in rated])
+    stem = np.concatenate(texts) if texts else np.empty(0, np.int32)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    while len(stem):
+        left = np.bincount(stem, minlength=len(rated))
+        gain = np.where(left > 0, wilson(np.maximum(left, 1), good), -1.0)
+        best = max(np.flatnonzero(gain == gain.max()), key=lambda s: (len(rated[s].stem), rated[s].stem))
         if gain[best] < THRESHOLD:
             break
         out[rated[best].stem] = float(rated[best].weight)
-        done = open_texts.pop(best)
-        open_texts = {s: left for s, t in open_texts.items() if (left := t - done)}
+        open_ = np.ones(len(texts), bool)
+        open_[text[stem == best]] = False
+        stem, text = stem[open_[text]], text[open_[text]]
     return out
 
 
@@ -350,7 +351,9 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """The rows of ``docs`` with their score in a new column."""
+    """The rows of ``docs`` with their score in a new column; a column of that name raises ValueError."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name} already")
     shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 

@@ -128,6 +128,74 @@ def test_trigrams_are_those_of_all_texts(spark):
     assert np.array_equal(got, want)
 
 
+def test_stems_and_scores_against_counting(spark, monkeypatch):
+    """The stems chosen and every score, counted text by text."""
+    monkeypatch.setattr(toxicity, "Z", 1.0)
+    rng = random.Random(3)
+    mild, bad = [f"{c}word{c}" for c in "abcdefghijklm"], ["vilethug", "vilethings", "grubbler", "snotface"]
+    rows, labels = [], []
+    for i in range(240):
+        text = [rng.choice(mild) for _ in range(rng.randint(3, 12))]
+        toxic = i % 4 == 0
+        if toxic:
+            text.insert(rng.randrange(len(text)), rng.choice(bad))
+        if toxic and i % 8 == 0:
+            text += [bad[i % 3].replace("e", "3"), "s n o t f a c e"]
+        if i % 30 == 1:
+            text.append("grubbler")  # now and then in a clean text
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, known, F.lit(True))
+    reader = toxicity.Reader(model["costs"])
+    toxic_of = {}
+    for (_, t), (_, y) in zip(rows, labels, strict=True):
+        toxic_of[t] = max(y, toxic_of.get(t, 0))
+    marks = {t: set(toxicity.marks_of(reader.restore(t).split())) for t in toxic_of}
+
+    def low(b, g):
+        n, p = b + g, b / (b + g)
+        return (p + 1 / (2 * n) - (p * (1 - p) / n + 1 / (4 * n * n)) ** 0.5) / (1 + 1 / n)
+
+    counts = {}
+    for t, own in marks.items():
+        for m in own:
+            counts.setdefault(m, [0, 0])[toxic_of[t]] += 1
+    rated = {m: low(b, g) for m, (g, b) in counts.items() if b and low(b, g) >= toxicity.THRESHOLD}
+    word = lambda m: m.split(" ", 1)[1]
+    for m in list(rated):
+        times, w = m.split(" ", 1)
+        if not w.startswith("="):
+            longer = [n for n in counts if n in rated and n.split(" ", 1)[0] == times and word(n) != w and word(n).removeprefix("=").startswith(w)]
+            if any(counts[n][1] >= 0.9 * counts[m][1] for n in longer):
+                rated[m] = -1.0
+    rated = {m: w for m, w in rated.items() if w >= 0}
+    want = {m: w for m, w in rated.items() if w >= toxicity.SURE}
+    left = [t for t in marks if toxic_of[t]]
+    while left:
+        gain = {m: low(n, counts[m][0]) for m in rated if (n := sum(m in marks[t] for t in left))}
+        if not gain:
+            break
+        best = max(gain, key=lambda m: (round(gain[m], 12), len(m), m))
+        if gain[best] < toxicity.THRESHOLD:
+            break
+        want[best] = rated[best]
+        left = [t for t in left if best not in marks[t]]
+    assert model["stems"] == pytest.approx(want) and want
+    rest = min(toxicity.THRESHOLD / 3, 1 / (len(marks) + 2))
+    for r in toxicity.score(docs, model).collect():
+        assert r.score == pytest.approx(max([rest, *(w for m, w in want.items() if m in marks[r.text])])), r.text
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", 0.5, "x")], "doc_id long, text string, stem string, toxic string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True))
+    assert toxicity.score(docs, model, "s").columns == ["doc_id", "text", "stem", "toxic", "s"]
+    with pytest.raises(ValueError):
+        toxicity.score(docs, model, "toxic")
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
