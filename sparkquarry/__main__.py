@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from sparkquarry.plans import stage_queries  # noqa: F401  adds its queries
 from sparkquarry.plans.registry import QUERIES
 from sparkquarry.sources.corpus import write_jsonl
 

@@ -102,6 +102,7 @@ def preflight(rows: DataFrame) -> Column:
     return _codes({"anchor_leaks_gold_title": leaks})
 
 
-def repair_status(issues: Column, verified: Column, attempts: Column, most: int = 3) -> Column:
-    """Status of a question in the repair loop: accepted, retried, or left for review."""
-    return F.when((F.size(issues) == 0) & verified, "accepted").when(attempts < most, "retry").otherwise("needs_review")
+def repair_status(issues: Column, verified: Column, attempts: Column, most: int = 3, hopeless: Column | None = None) -> Column:
+    """Status of a question in the repair loop: accepted, dropped (nothing to repair it from), retried, or left for review."""
+    drop = F.lit(False) if hopeless is None else hopeless
+    return F.when(drop, "drop").when((F.size(issues) == 0) & verified, "accepted").when(attempts < most, "retry").otherwise("needs_review")

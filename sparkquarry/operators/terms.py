@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Only where all runs in one process (tests) is one made up; a cluster without the setting raises RuntimeError.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="quarry-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Checkpoint in the folder that the cluster names, so that lineage ends and survives lost executors."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+    shared_dir(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples
+from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples, store
+from sparkquarry.operators.terms import shared_dir
 from sparkquarry.plans import agent
 from sparkquarry.sources import corpus as src
 from sparkquarry.streaming import scoring
@@ -154,6 +155,24 @@ def truncate_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tx.truncate_words(F.col("text"), 100)).alias("short"))
 
 
+# ---- indexes, built once a session and source -----------------------------------------------------------------------
+
+
+def _fts_index(spark: SparkSession, sf_dir: str) -> fts.Index:
+    def made():
+        return fts.build(src.documents_as_corpus(spark, sf_dir)).tables(), {}
+
+    return fts.Index(**store.built_once(spark, "fts-index", sf_dir, made)[0])
+
+
+def _graph_index(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    def made():
+        built = graph.build(src.documents_as_corpus(spark, sf_dir))
+        return built.tables(), {"n_docs": built.n_docs}
+
+    return graph.from_tables(*store.built_once(spark, "graph-index", sf_dir, made))
+
+
 # ---- full-text index and search -------------------------------------------------------------------------------------
 
 _CHUNKS = f"""{_CORPUS}, starts AS (SELECT doc_id, title, sentences, len(sentences) AS n, unnest(generate_series(0, len(sentences) - 1, 2)) AS st FROM corpus WHERE len(sentences) > 0),
@@ -167,7 +186,7 @@ def fts_chunks(spark, sf_dir):
 
 
 _WHOLE = "title || '. ' || body"
-_ITOK = "regexp_extract_all(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+_ITOK = "regexp_extract_all(translate(lower({0}), '" + fts.ACCENTED + "', '" + fts.PLAIN + "'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 _FIELDS = f"""{_CHUNKS}, fields AS (SELECT doc_id, chunk_no, {_ITOK.format('title')} AS t, {_ITOK.format('body')} AS b,
    {_ITOK.format(f"array_to_string({_ents(_WHOLE)}, ' ')")} AS e, {_ITOK.format(f"array_to_string({_nums(_WHOLE)}, ' ')")} AS m FROM chunks),
   post AS (SELECT term, doc_id, chunk_no, sum(w) AS wtf FROM (
@@ -191,8 +210,7 @@ _BM25 = f"""{_FIELDS}, {_QUESTIONS}, size AS (SELECT doc_id, chunk_no, len(t) +
 
 @query(f"WITH {_BM25} SELECT question_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, round(bm25, 6) AS bm25, CAST(chunk_rank AS BIGINT) AS chunk_rank FROM hits WHERE chunk_rank <= 400")
 def fts_bm25_hits(spark, sf_dir):
-    rows = fts.fields(fts.chunks(src.documents_as_corpus(spark, sf_dir)))
-    hits = fts.chunk_hits(src.benchmark_as_questions(spark, sf_dir), rows)
+    hits = fts.chunk_hits(src.benchmark_as_questions(spark, sf_dir), _fts_index(spark, sf_dir))
     return hits.select("question_id", "doc_id", F.col("chunk_no").cast("long"), F.round("bm25", 6).alias("bm25"), F.col("chunk_rank").cast("long"))
 
 
@@ -211,7 +229,7 @@ _FTS = f"""{_BM25}, best AS (SELECT *, row_number() OVER (PARTITION BY question_
 
 @query(f"WITH {_FTS} SELECT question_id, CAST(rank AS BIGINT) AS rank, doc_id, title, round(score, 6) AS score FROM rk WHERE rank <= 5")
 def fts_search(spark, sf_dir):
-    rows = fts.search(src.benchmark_as_questions(spark, sf_dir), src.documents_as_corpus(spark, sf_dir))
+    rows = fts.search(src.benchmark_as_questions(spark, sf_dir), _fts_index(spark, sf_dir))
     return rows.select("question_id", F.col("rank").cast("long"), "doc_id", "title", F.round("score", 6).alias("score"))
 
 
@@ -236,7 +254,7 @@ _EVAL_FTS = f"""{_FTS}, g AS (SELECT question_id, doc_id FROM questions q JOIN d
   round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS mrr FROM e""")
 def fts_evaluation(spark, sf_dir):
     questions, corpus = src.benchmark_as_questions(spark, sf_dir), src.documents_as_corpus(spark, sf_dir)
-    found = fts.search(questions, corpus).withColumns({"method": F.lit("file_fts"), "latency_ms": F.lit(0.0)})
+    found = fts.search(questions, _fts_index(spark, sf_dir)).withColumns({"method": F.lit("file_fts"), "latency_ms": F.lit(0.0)})
     rows = metrics.evaluate(found, src.gold_by_containment(questions, corpus), questions)
     return rows.select("question_id", "task_type", *[F.col(c).cast("long") for c in ("k", "gold_count", "matched")], *[F.round(c, 6).alias(c) for c in ("evidence_recall", "complete_recall", "mrr")])
 
@@ -264,7 +282,7 @@ _GRAPH = f"""{_CORPUS}, sents AS (SELECT doc_id, unnest(CASE WHEN len(sentences)
 
 @query(f"WITH {_GRAPH} SELECT entity, count(*) AS degree, round(ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0, 6) AS idf FROM doc_entity CROSS JOIN nd GROUP BY entity")
 def graph_entities(spark, sf_dir):
-    return graph.build(src.documents_as_corpus(spark, sf_dir)).entities.select("entity", "degree", F.round("idf", 6).alias("idf"))
+    return _graph_index(spark, sf_dir).entities.select("entity", "degree", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {_CORPUS}, d AS (SELECT doc_id, {_norm('title')} AS tn, {_norm('text')} AS xn FROM corpus),
@@ -283,12 +301,12 @@ def graph_title_links(spark, sf_dir):
   (SELECT CAST(sum(degree) AS BIGINT) FROM deg) AS document_entity_edges, (SELECT max(degree) FROM deg) AS max_entity_degree, (SELECT round(avg(degree), 6) FROM deg) AS mean_entity_degree,
   (SELECT count(*) FROM ln WHERE k <= 6) AS title_links, (SELECT count(DISTINCT doc_id) FROM ln) AS documents_with_links""")
 def graph_statistics(spark, sf_dir):
-    return graph.graph_stats(graph.build(src.documents_as_corpus(spark, sf_dir))).withColumn("mean_entity_degree", F.round("mean_entity_degree", 6))
+    return graph.graph_stats(_graph_index(spark, sf_dir)).withColumn("mean_entity_degree", F.round("mean_entity_degree", 6))
 
 
 @query()
 def graph_search(spark, sf_dir):
-    rows = graph.search(src.benchmark_as_questions(spark, sf_dir), graph.build(src.documents_as_corpus(spark, sf_dir)))
+    rows = graph.search(src.benchmark_as_questions(spark, sf_dir), _graph_index(spark, sf_dir))
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -336,18 +354,16 @@ def _lookup_questions(spark, sf_dir) -> DataFrame:
 
 @query()
 def judge_decisions(spark, sf_dir):
-    corpus = src.documents_as_corpus(spark, sf_dir)
     routed = routing.route(_lookup_questions(spark, sf_dir))
-    judged = routing.judge(routed, fts.search(routed, corpus))
+    judged = routing.judge(routed, fts.search(routed, _fts_index(spark, sf_dir)))
     return judged.select("question_id", "tool", "sufficient", "next_tool", "confidence", "protect", "overlap", F.round("coverage", 6).alias("coverage"))
 
 
 @query()
 def agent_predictions(spark, sf_dir):
-    corpus = src.documents_as_corpus(spark, sf_dir)
-    built = graph.build(corpus)
+    words, built = _fts_index(spark, sf_dir), _graph_index(spark, sf_dir)
     as_text = lambda rows: rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    tools = {"file_fts": lambda q: as_text(fts.search(q, corpus)), "graph_path": lambda q: graph.search(q, built)}
+    tools = {"file_fts": lambda q: as_text(fts.search(q, words)), "graph_path": lambda q: graph.search(q, built)}
     return agent.run(_lookup_questions(spark, sf_dir), tools).withColumn("score", F.round("score", 9))
 
 
@@ -466,15 +482,15 @@ def cost_ratios(spark, sf_dir):
     return rows.select("method", *[F.round(c, 6).alias(c) for c in ("complete_per_kilotoken", "failure_rate", "evidence_gap", "worst_task")])
 
 
-@query(f"""WITH {_FTS}, g AS (SELECT question_id, d.doc_id, c.title FROM questions q JOIN documents d ON contains(d.text, q.question) JOIN corpus c ON c.doc_id = d.doc_id), top AS (SELECT * FROM rk WHERE rank <= 5),
+@query(f"""WITH {_FTS}, g AS (SELECT question_id, d.doc_id, c.title FROM questions q JOIN documents d ON contains(d.text, q.question) JOIN corpus c ON c.doc_id = d.doc_id), top AS (SELECT * FROM rk WHERE rank <= 1),
   r AS (SELECT question_id, string_agg(title, ' | ' ORDER BY rank) AS retrieved_titles FROM top GROUP BY question_id),
   m AS (SELECT g.question_id, count(*) AS gold_count, string_agg(g.title, ' | ' ORDER BY g.doc_id) AS gold_titles, string_agg(g.title, ' | ' ORDER BY g.doc_id) FILTER (top.doc_id IS NULL) AS missed_titles
     FROM g LEFT JOIN top ON top.question_id = g.question_id AND top.doc_id = g.doc_id GROUP BY g.question_id)
   SELECT question_id, 'file_fts' AS method, CAST(gold_count AS INT) AS gold_count, gold_titles, missed_titles, retrieved_titles FROM m JOIN r USING (question_id) WHERE missed_titles IS NOT NULL""")
 def failure_cases(spark, sf_dir):
     questions, corpus = src.benchmark_as_questions(spark, sf_dir), src.documents_as_corpus(spark, sf_dir)
-    found = fts.search(questions, corpus).select("question_id", "rank", "doc_id").withColumn("method", F.lit("file_fts"))
-    return reports.failure_cases(found, src.gold_by_containment(questions, corpus), corpus.select("doc_id", "title"))
+    found = fts.search(questions, _fts_index(spark, sf_dir)).select("question_id", "rank", "doc_id").withColumn("method", F.lit("file_fts"))
+    return reports.failure_cases(found, src.gold_by_containment(questions, corpus), corpus.select("doc_id", "title"), top_k=1)
 
 
 @query(f"""WITH {_LOG}, c AS (SELECT question_id, count(DISTINCT method) AS n FROM log GROUP BY ALL) SELECT question_id FROM c WHERE n = (SELECT count(DISTINCT method) FROM log)""")
@@ -505,10 +521,16 @@ def latency_p95(spark, sf_dir):
     return rows.groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(metrics.percentile("value", 0.95), 4).alias("p95"))
 
 
-@query()
+_TIMES = " + ".join(f"CASE WHEN u >= {p} THEN 1 ELSE 0 END" for p in metrics._POISSON)
+
+
+@query(f"""WITH {_EVAL}, dr AS (SELECT method, complete_recall AS v, CAST('0x' || substr(md5('42:' || s || ':' || question_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u, s FROM ev CROSS JOIN (SELECT unnest(generate_series(1, 1000)) AS s) WHERE k = 5),
+  m AS (SELECT method, s, sum(({_TIMES}) * v) / sum({_TIMES}) AS m FROM dr GROUP BY ALL HAVING sum({_TIMES}) > 0), l AS (SELECT method, list_sort(list(m)) AS ms FROM m GROUP BY ALL)
+  SELECT method, round(ms[26], 6) AS low, round(ms[975], 6) AS high FROM l""")
 def bootstrap_ci(spark, sf_dir):
     rows = _log_evaluation(spark, sf_dir).filter("k = 5")
-    return metrics.bootstrap_ci(rows, "method", "complete_recall")
+    found = metrics.bootstrap_ci(rows, "method", "complete_recall", "question_id")
+    return found.select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 # ---- dataset construction -------------------------------------------------------------------------------------------
@@ -572,7 +594,7 @@ def streaming_latency_windows(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = scoring.read_stream(spark, sf_dir, schema, "events.parquet")
     name = f"latency_{abs(hash(sf_dir)) % 10**8}"
-    rows = scoring.run_available(_daily(stream), name, tempfile.mkdtemp(prefix="quarry-stream-"))
+    rows = scoring.run_available(_daily(stream), name, f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
 
 

@@ -1,5 +1,6 @@
 import pytest
 
+from sparkquarry.plans import stage_queries  # noqa: F401  adds its queries
 from sparkquarry.plans.registry import QUERIES, SQL
 from tests.twins import compare
 
