@@ -32,20 +32,38 @@ def _tokens(w: str) -> str:
 
 _HELD = f"['{templates.NUM}', '{templates.UNIT}', '{templates.NAME}']"
 _PAIRS = "list_distinct(list_transform(s, lambda x: {0}))"
+_BARE = f"list_transform(w, lambda x: trim(x, {_EDGE}))"
+
+
+def _merged(source: str, columns: str, words: str = "w") -> str:
+    """Runs of names as one token: tokens ``t`` and their words ``v`` from typed words ``u``."""
+    starts = f"list_filter(generate_series(1, len(u)), lambda i: NOT (u[i] = '{templates.NAME}' AND i > 1 AND u[i - 1] = '{templates.NAME}'))"
+    return f"""SELECT {columns}, list_transform(at, lambda i: u[i]) AS t, list_transform(at, lambda i, j: array_to_string(list_transform(list_slice({words}, i, coalesce(at[j + 1], len(u) + 1) - 1), lambda x: trim(x, {_EDGE})), ' ')) AS v
+      FROM (SELECT *, {starts} AS at FROM ({source}))"""
+
 
 OP4 = f"""
-WITH di AS (SELECT item_id, w, {_tokens('w')} AS t FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark)),
-dd AS (SELECT doc_id, w, {_tokens('w')} AS t FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)),
-items AS (SELECT *, least(len(t), {templates.SPAN}) AS n FROM di WHERE len(t) >= {templates.LEAST}),
-wi AS (SELECT item_id, n, p, array_to_string(list_slice(t, p, p + n - 1), ' ') AS win, len(list_filter(list_slice(t, p, p + n - 1), lambda x: NOT list_contains({_HELD}, x))) AS lit
-       FROM (SELECT item_id, n, t, unnest(generate_series(1, len(t) - n + 1)) AS p FROM items)),
-sizes AS (SELECT DISTINCT n FROM wi),
-wd AS (SELECT doc_id, n, p, array_to_string(list_slice(t, p, p + n - 1), ' ') AS win FROM (SELECT doc_id, n, t, unnest(generate_series(1, len(t) - n + 1)) AS p FROM dd JOIN sizes ON len(t) >= n)),
-hits AS (SELECT wd.doc_id, wi.item_id, wd.p - wi.p AS shift, wi.p AS p, wi.n FROM wd JOIN wi ON wd.win = wi.win AND wd.n = wi.n WHERE lit * 2 >= wi.n),
-cov AS (SELECT doc_id, item_id, shift, count(DISTINCT k) AS covered, min(k) AS first, max(k) AS last FROM (SELECT *, unnest(generate_series(p, p + n - 1)) AS k FROM hits) GROUP BY ALL),
-lines AS (SELECT c.*, len(i.t) AS item_words, list_filter(list_transform(generate_series(first, last), lambda j: {{'kind': i.t[j], 'other': d.t[j + shift], 'a': trim(i.w[j], {_EDGE}), 'b': trim(d.w[j + shift], {_EDGE})}}),
-          lambda x: x.kind = x.other AND list_contains({_HELD}, x.kind)) AS s
-          FROM cov c JOIN items i USING (item_id) JOIN dd d USING (doc_id) WHERE covered >= least({templates.COVER}, len(i.t))),
+WITH bi AS (SELECT item_id, w FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) WHERE len(w) >= {templates.LEAST}),
+ri AS ({_merged(f"SELECT item_id, w, 0 AS reading, {_tokens('w')} AS u FROM bi", "item_id, w, reading")}
+  UNION ALL {_merged(f"SELECT item_id, w, 1 AS reading, list_slice({_tokens('xw')}, 2, len(xw)) AS u FROM (SELECT item_id, w, list_prepend('x', w) AS xw FROM bi)", "item_id, w, reading")}),
+led AS (SELECT * REPLACE (CASE WHEN runs THEN list_prepend(substr(v[1], len(trim(w[1], {_EDGE})) + 2), list_slice(v, 2, len(v))) ELSE v END AS v), CASE WHEN runs THEN trim(w[1], {_EDGE}) END AS lead
+  FROM (SELECT *, reading = 1 AND v[1] <> trim(w[1], {_EDGE}) AS runs FROM ri)),
+spans AS (SELECT *, least(len(t), {templates.SPAN}) AS n FROM led),
+typed AS (SELECT * FROM spans WHERE len(t) >= {templates.LEAST}),
+needy AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, w, n, t, unnest(generate_series(1, len(t) - n + 1)) AS p FROM spans)
+  WHERE len(t) < {templates.LEAST} OR len(list_filter(list_slice(t, p, p + n - 1), lambda x: NOT list_contains({_HELD}, x))) * 2 < n OR list_contains({_UNITS}, lower(trim(w[1], {_EDGE})))),
+items AS (SELECT item_id, w, reading, lead, t, v, n FROM typed UNION ALL SELECT item_id, w, 2, NULL, list_transform({_BARE}, lambda x: lower(x)), {_BARE}, least(len(w), {templates.SPAN}) FROM needy),
+bd AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+dd AS ({_merged(f"SELECT doc_id, w, {_tokens('w')} AS u FROM bd", "doc_id, false AS plain")} UNION ALL SELECT doc_id, true, list_transform({_BARE}, lambda x: lower(x)), {_BARE} FROM bd),
+wi AS (SELECT item_id, reading, reading = 2 AS plain, n, p, array_to_string(list_slice(t, p, p + n - 1), ' ') AS win, len(list_filter(list_slice(t, p, p + n - 1), lambda x: NOT list_contains({_HELD}, x))) AS lit
+       FROM (SELECT item_id, reading, n, t, unnest(generate_series(1, len(t) - n + 1)) AS p FROM items)),
+sizes AS (SELECT DISTINCT n, plain FROM wi),
+wd AS (SELECT doc_id, plain, n, p, array_to_string(list_slice(t, p, p + n - 1), ' ') AS win FROM (SELECT doc_id, plain, n, t, unnest(generate_series(1, len(t) - n + 1)) AS p FROM dd JOIN sizes USING (plain) WHERE len(t) >= n)),
+hits AS (SELECT wd.doc_id, wi.item_id, wi.reading, wd.p - wi.p AS shift, wi.p AS p, wi.n FROM wd JOIN wi ON wd.win = wi.win AND wd.n = wi.n AND wd.plain = wi.plain WHERE wi.plain OR lit * 2 >= wi.n),
+cov AS (SELECT doc_id, item_id, reading, shift, count(DISTINCT k) AS covered, min(k) AS first, max(k) AS last FROM (SELECT *, unnest(generate_series(p, p + n - 1)) AS k FROM hits) GROUP BY ALL),
+lines AS (SELECT c.*, len(i.w) AS item_words, CASE WHEN c.reading = 2 THEN [] ELSE list_filter(list_transform(generate_series(first, last), lambda j: {{'kind': i.t[j], 'other': d.t[j + shift], 'a': i.v[j], 'b': CASE WHEN j = 1 AND i.lead IS NOT NULL THEN substr(d.v[j + shift], len(i.lead) + 2) ELSE d.v[j + shift] END}}),
+          lambda x: x.kind = x.other AND list_contains({_HELD}, x.kind)) END AS s
+          FROM cov c JOIN items i USING (item_id, reading) JOIN dd d ON d.doc_id = c.doc_id AND d.plain = (c.reading = 2) WHERE covered >= least({templates.COVER}, len(i.t)) AND (i.lead IS NULL OR first > 1 OR starts_with(d.v[first + shift], i.lead || ' '))),
 steady AS (SELECT * FROM lines WHERE len({_PAIRS.format("{'k': x.kind, 'a': x.a, 'b': x.b}")}) = len({_PAIRS.format("{'k': x.kind, 'a': x.a}")})
            AND len({_PAIRS.format("{'k': x.kind, 'a': x.a, 'b': x.b}")}) = len({_PAIRS.format("{'k': x.kind, 'b': x.b}")})),
 best AS (SELECT *, len(s) AS n_slots, len(list_filter(s, lambda x: x.a <> x.b)) = 0 AS exact FROM steady)

@@ -1,23 +1,27 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
 Words become typed tokens: numbers, units after a number, and names (capitalised words
-inside a sentence) turn into placeholders, all else into lower case without surrounding
-punctuation.  Windows of tokens of every document are joined by hash with those of the
-benchmark.  Matches are gathered into alignments of a document and an item, and an
-alignment counts if enough of the item's words are covered and its slots are consistent:
+inside a sentence, of which a run is one name) turn into placeholders, all else into lower case
+without surrounding punctuation.  Windows of tokens of every document are joined by hash with those
+of the benchmark.  Matches are gathered into alignments of a document and an item, and an
+alignment counts if enough of the item is covered and its slots are consistent:
 a value of the item always stands against the same value of the document and the other
 way round.  So a question with other numbers or names is caught, a chance frame is not.
 
-The benchmark's windows are broadcast if there are few (``common.sized``); beyond that
-both sides are shuffled.  Placeholders are bounded: a window needs at least half
-its tokens to be literal words.  With ``verbatim`` every window is joined on its plain words
-(lower case, no surrounding punctuation) as well, so one that is mostly placeholders counts
-where its values are the same, and an item's first word may be a name inside the
-document's sentence.  The query keeps to its SQL, which has neither; the pipeline uses both.
+An item is read in up to three ways: as it stands; with its first word inside a sentence, where a
+capital makes it a name, as a copy behind a comma, a mark or a heading has it (where it runs into another name, as
+"If Tom" does, it has to be the same word in the document and is no part of the slot); and word by word, without
+placeholders, for items of which some window has fewer than half literal words or all has fewer than ``LEAST`` tokens (such
+are found in too many texts, so they count only where the words are the same) or that begin with a unit.
+
+Items that read alike but for the values of their slots are one template, joined once; its items part where
+the slots are compared.  The benchmark's windows are broadcast if there are few (``common.sized``); beyond that
+both sides are shuffled.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST``
-tokens are never matched (they would be found everywhere); items shorter than a window
-are one window of their own length; repeated rows with one doc_id count once; an empty
+words are never matched (they would be found everywhere); items shorter than a window
+are one window of their own length; rows that share a doc_id or an item_id count as
+texts of their own of which the best match is reported; null ids are ids; an empty
 table on either side gives no rows; extra columns are ignored.
 """
 
@@ -73,6 +77,13 @@ def canonical(raw: Column) -> Column:
     return let(raw, lambda own: F.transform(own, lambda w, i: token(own, w, i)))
 
 
+def merged(tokens: Column) -> Column:
+    """Where the tokens begin when each run of names is one."""
+    after_name = lambda i: (F.get(tokens, i) == NAME) & (i > 0) & (F.get(tokens, i - 1) == NAME)
+    every = F.sequence(F.lit(0), F.size(tokens) - 1)
+    return F.when(F.size(tokens) > 0, F.filter(every, lambda i: ~after_name(i))).otherwise(F.array().cast("array<int>"))
+
+
 def plain(raw: Column) -> Column:
     """The words in lower case without surrounding punctuation."""
     return F.transform(raw, lambda w: F.lower(F.btrim(w, F.lit(_EDGE))))
@@ -83,94 +94,119 @@ def _inside(raw: Column) -> Column:
     return let(canonical(F.concat(F.array(F.lit("x")), raw)), lambda t: F.slice(t, F.lit(2), F.size(t) - 1))
 
 
-def windows(tokens: Column, span: int) -> Column:
-    """Hash of every run of ``span`` tokens."""
+def _spelled(raw: Column, tokens: Column) -> Column:
+    """``(t, v)`` of every merged token: the token and its words."""
+    words = lambda a, b: F.array_join(F.transform(F.slice(raw, a + 1, b - a), lambda w: F.btrim(w, F.lit(_EDGE))), " ")
+    end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(tokens))
+    return let(merged(tokens), lambda starts: F.transform(starts, lambda i, j: F.struct(F.get(tokens, i).alias("t"), words(i, end(starts, j)).alias("v"))))
+
+
+def _hashes(tokens: Column) -> Column:
+    """A hash for each merged token; a run of equal names is one name's hash."""
+    name = F.xxhash64(F.lit(NAME))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.filter(h, lambda x, i: (x != name) | (i == 0) | (F.get(h, i - 1) != name)))
+
+
+def windows(hashes: Column, span: int, salt: str | None = None) -> Column:
+    """Hash of every run of ``span`` hashes."""
+    seed = [] if salt is None else [F.lit(salt)]
 
     def roll(h: Column) -> Column:
-        at = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(span)])
+        at = lambda i: F.xxhash64(*seed, *[F.get(h, i + k) for k in range(span)])
         return F.when(F.size(h) >= span, F.transform(F.sequence(F.lit(0), F.size(h) - span), at)).otherwise(F.array().cast("array<long>"))
 
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), roll)
+    return let(hashes, roll)
 
 
 def _literal(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: ~t.isin(NUM, UNIT, NAME)))
 
 
-def _prepared(items: DataFrame) -> DataFrame:
-    split = items.select("item_id", raw_words(F.col("text").cast("string")).alias("raw"))
-    split = split.select("item_id", "raw", canonical(F.col("raw")).alias("tokens"))
-    return split.filter(F.size("tokens") >= LEAST).withColumn("inside", _inside(F.col("raw"))[0])
+_PLAIN = "plain"
+
 
+def _readings(items: DataFrame, span: int) -> DataFrame:
+    """``(item, item_id, item_words, reading, lead, own array<t, v>, n)``: the ways to read each item, windows being ``n`` tokens.
 
-def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVER, verbatim: bool = False) -> DataFrame:
+    ``lead`` is the word that the first name of an item inside a sentence has to begin with, if any.
+    """
+    split = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    split = split.select(F.xxhash64("item_id", "text").alias("item"), "item_id", raw_words(F.col("text")).alias("raw"))
+    split = split.filter(F.size("raw") >= LEAST).withColumn("item_words", F.size("raw"))
+    typed = split.select("*", F.lit("typed").alias("reading"), canonical(F.col("raw")).alias("u"))
+    inside = split.select("*", F.lit("inside").alias("reading"), _inside(F.col("raw")).alias("u"))
+    both = typed.union(inside).withColumn("own", _spelled(F.col("raw"), F.col("u")))
+    runs_on = (F.col("reading") == "inside") & (F.get("u", F.lit(0)) == NAME) & (F.get("u", F.lit(1)) == NAME)
+    both = both.withColumn("lead", F.when(runs_on, F.btrim(F.get("raw", F.lit(0)), F.lit(_EDGE))))
+    shorter = F.transform("own", lambda x, i: F.struct(x["t"].alias("t"), F.when((i == 0) & F.col("lead").isNotNull(), F.substr(x["v"], F.length("lead") + 2)).otherwise(x["v"]).alias("v")))
+    both = both.withColumn("own", shorter).withColumn("n", F.least(F.size("own"), F.lit(span)))
+    heavy = F.exists(F.sequence(F.lit(0), F.size("own") - F.col("n")), lambda p: _literal(F.slice(F.col("own.t"), p + 1, F.col("n"))) * 2 < F.col("n"))
+    unit = F.lower(F.btrim(F.get("raw", F.lit(0)), F.lit(_EDGE))).isin(*UNITS)
+    needy = both.filter(heavy | unit | (F.size("own") < LEAST)).dropDuplicates(["item"])
+    as_words = needy.withColumn("own", F.transform("raw", lambda w: F.struct(F.lower(F.btrim(w, F.lit(_EDGE))).alias("t"), F.btrim(w, F.lit(_EDGE)).alias("v"))))
+    as_words = as_words.withColumn("reading", F.lit(_PLAIN)).withColumn("n", F.least(F.size("own"), F.lit(span)))
+    both = both.filter(F.size("own") >= LEAST)  # fewer tokens are found everywhere
+    return both.union(as_words.select(both.columns)).select("item", "item_id", "item_words", "reading", "lead", "own", "n")
+
+
+def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVER) -> DataFrame:
     """``(doc_id, item_id, item_words, covered, n_slots, exact)`` of every leaked item of every document.
 
-    ``covered`` are the item's words under matching windows of the best alignment, ``exact`` says that
-    no slot was given another value.  ``verbatim`` also joins on plain words (see above).
+    ``covered`` are the item's tokens under matching windows of the best alignment, ``exact`` says that
+    no slot was given another value.
     """
-    items = staged(_prepared(items.select("item_id", "text").dropDuplicates(["item_id"])), "template-items")
-    sizes = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(span)).alias("n")).distinct().collect()]  # at most span numbers
+    own = _readings(items, span).withColumn("template", F.xxhash64(F.col("own.t"), F.when(F.col("reading") == _PLAIN, _PLAIN).otherwise("typed")))
+    own = staged(own.dropDuplicates(["item", "template"]), "template-items")
+    patterns = own.groupBy("template").agg(F.any_value(F.col("own.t")).alias("t"), F.any_value("n").alias("n"), F.any_value(F.col("reading") == _PLAIN).alias("words"))
+    patterns = staged(patterns, "template-patterns")
+    sizes = [(r.n, r.words) for r in patterns.select("n", "words").distinct().orderBy("n", "words").collect()]  # twice span numbers at most
+    parts = []
+    for n, words in sizes:
+        hashed = F.transform("t", lambda t: F.xxhash64(t))
+        part = patterns.filter((F.col("n") == n) & (F.col("words") == words)).select("template", "t", "n", F.posexplode(windows(hashed, n, _PLAIN if words else None)).alias("item_pos", "window"))
+        parts.append(part.filter(F.lit(words) | (_literal(F.slice("t", F.col("item_pos") + 1, n)) * 2 >= n)).select("window", "template", "item_pos", "n"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hits = None
-    for n in sizes or [span]:
-        own = items if n == span else items.filter(F.size("tokens") == n)
-        typed = lambda t: own.select("item_id", F.posexplode(windows(t, n)).alias("item_pos", "window"), t.alias("t")).filter(_literal(F.slice("t", F.col("item_pos") + 1, n)) * 2 >= n).select("window", "item_id", "item_pos")  # noqa: B023, E731
-        as_words = own.select("item_id", F.posexplode(windows(plain(F.col("raw")), n)).alias("item_pos", "window")).select("window", "item_id", "item_pos")
-        own_inside = F.concat(F.array("inside"), F.slice("tokens", F.lit(2), F.size("tokens") - 1))
-        own = typed(F.col("tokens")).union(as_words).union(typed(own_inside)).distinct() if verbatim else typed(F.col("tokens"))
-        own = staged(own, "template-windows")
-        own = sized(own)
-        tokens = docs.select("doc_id", canonical(raw_words(F.col("text"))).alias("tokens"))
-        if verbatim:
-            both = docs.select("doc_id", raw_words(F.col("text")).alias("raw")).select("doc_id", windows(canonical(F.col("raw")), n).alias("typed"), windows(plain(F.col("raw")), n).alias("plain"))
-            same = lambda w, i: F.when(w == F.get("plain", i), F.array(w)).otherwise(F.array(w, F.get("plain", i)))
-            ours = both.select("doc_id", F.posexplode(F.transform("typed", same)).alias("pos", "each")).select("doc_id", "pos", F.explode("each").alias("window"))
-        else:
-            ours = tokens.select("doc_id", F.posexplode(windows(F.col("tokens"), n)).alias("pos", "window"))
-        found = ours.join(own, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.lit(n).alias("span"))
-        hits = found if hits is None else hits.union(found)
-    lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.min("item_pos").alias("first"), F.max(F.col("item_pos") + F.col("span")).alias("stop"), F.max("span").alias("span"))
-    lines = lines.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("span") - 1))))))
-    lines = lines.join(sized(items.select("item_id", F.size("tokens").alias("item_words"))), "item_id")
-    lines = staged(lines.filter(F.col("covered") >= F.least(F.lit(cover), F.col("item_words"))).drop("at", "span"), "template-lines")
-    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "first", "stop", "covered", "item_words")).alias("lines"))
+    if not parts:
+        parts = [patterns.select(F.lit(0).cast("long").alias("window"), "template", F.lit(0).alias("item_pos"), "n")]
+    known = parts[0]
+    for part in parts[1:]:
+        known = known.union(part)
+    known = sized(staged(known, "template-windows"))
+    raw = docs.select(F.xxhash64("doc_id", "text").alias("doc"), raw_words(F.col("text")).alias("raw"))
+    # Every window length in one pass over a document; word by word only if an item asks for it.
+    of = lambda h, salt, ns: [F.transform(windows(h, n, salt), lambda w, i: F.struct(i.alias("pos"), w.alias("window"))) for n in ns]
+    typed, as_words = [n for n, w in sizes if not w], [n for n, w in sizes if w]
+    ours = let(_hashes(canonical(F.col("raw"))), lambda h: F.concat(*of(h, None, typed or [span])))
+    if as_words:
+        ours = F.concat(ours, let(F.transform(plain(F.col("raw")), lambda t: F.xxhash64(t)), lambda h: F.concat(*of(h, _PLAIN, as_words))))
+    found = raw.select("doc", F.explode(ours).alias("x")).select("doc", "x.pos", "x.window").join(known, "window")
+    hits = found.select("doc", "template", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n")
+    lines = hits.groupBy("doc", "template", "shift").agg(F.collect_set("item_pos").alias("at"), F.min("item_pos").alias("first"), F.max(F.col("item_pos") + F.col("n")).alias("stop"), F.max("n").alias("n"))
+    lines = lines.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("n") - 1))))))
+    lines = lines.join(sized(patterns.select("template", "words", F.size("t").alias("size"))), "template")
+    lines = staged(lines.filter(F.col("covered") >= F.least(F.lit(cover), F.col("size"))).select("doc", "template", "words", "shift", "first", "stop", "covered"), "template-lines")
+    by_doc = lines.groupBy("doc").agg(F.collect_list(F.struct("template", "words", "shift", "first", "stop", "covered")).alias("lines"))
     by_doc = sized(staged(by_doc, "template-docs"), "size(lines)")
-    texts = docs.join(by_doc, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "lines", raw_words(F.col("text")).alias("raw"))
-    texts = texts.select("doc_id", "lines", "raw", canonical(F.col("raw")).alias("tokens"))
-    cut = texts.select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                "lines",
-                lambda x: F.struct(
-                    x["item_id"].alias("item_id"), x["first"].alias("first"), x["stop"].alias("stop"), x["covered"].alias("covered"), x["item_words"].alias("item_words"),
-                    F.slice("raw", x["first"] + x["shift"] + 1, x["stop"] - x["first"]).alias("raw"),
-                    F.slice("tokens", x["first"] + x["shift"] + 1, x["stop"] - x["first"]).alias("tokens"),
-                ),
-            )
-        ).alias("x"),
-    )
-    cut = cut.select("doc_id", "x.*").join(items.select("item_id", F.col("raw").alias("item_raw"), F.col("tokens").alias("item_tokens"), "inside"), "item_id")
-    kind_of = lambda j: F.get("item_tokens", F.col("first") + j)
-    if verbatim:
-        kind_of = lambda j: F.when((F.col("first") + j == 0) & (F.get("tokens", j) == F.col("inside")), F.col("inside")).otherwise(F.get("item_tokens", F.col("first") + j))
-    pairs = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.size("tokens") - 1),
-            lambda j: F.struct(
-                F.get("tokens", j).alias("kind"), kind_of(j).alias("item_kind"),
-                F.btrim(F.get("item_raw", F.col("first") + j), F.lit(_EDGE)).alias("a"), F.btrim(F.get("raw", j), F.lit(_EDGE)).alias("b"),
-            ),
-        ),
-        lambda p: (p["kind"] == p["item_kind"]) & p["kind"].isin(NUM, UNIT, NAME),
-    )
-    slots = cut.withColumn("slots", pairs)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text").join(by_doc, "doc").distinct()
+    texts = texts.select("doc_id", "lines", raw_words(F.col("text")).alias("raw"))
+    texts = texts.select("doc_id", "lines", let(canonical(F.col("raw")), lambda t: _spelled(F.col("raw"), t)).alias("typed"))
+    cut = texts.select("doc_id", "typed", F.explode("lines").alias("x")).select(
+        "doc_id", "x.*", F.when(~F.col("x.words"), F.slice("typed", F.col("x.first") + F.col("x.shift") + 1, F.col("x.stop") - F.col("x.first"))).alias("ours")
+    )
+    cut = cut.join(sized(own.select("template", "item_id", "item_words", "lead", "own"), "1 + size(own)"), "template")
+    led = F.col("lead").isNotNull() & (F.col("first") == 0) & ~F.col("words")
+    begins = F.concat(F.col("lead"), F.lit(" "))
+    cut = cut.filter(~led | F.startswith(F.get("ours", F.lit(0))["v"], begins))
+    rest = F.transform("ours", lambda x, i: F.struct(x["t"].alias("t"), F.when(led & (i == 0), F.substr(x["v"], F.length("lead") + 2)).otherwise(x["v"]).alias("v")))
+    cut = cut.withColumn("ours", rest)
+    # The slots of what is typed; word by word there are none.
+    theirs = F.slice("own", F.col("first") + 1, F.col("stop") - F.col("first"))
+    pairs = F.zip_with("ours", theirs, lambda d, i: F.struct(d["t"].alias("kind"), i["t"].alias("item_kind"), i["v"].alias("a"), d["v"].alias("b")))
+    slots = cut.withColumn("slots", F.coalesce(F.filter(pairs, lambda p: (p["kind"] == p["item_kind"]) & p["kind"].isin(NUM, UNIT, NAME)), F.array()))
     distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["kind"].alias("kind"), *[p[n].alias(n) for n in names]))))
     steady = (distinct("a", "b") == distinct("a")) & (distinct("a", "b") == distinct("b"))
-    kept = slots.filter(steady).select(
+    kept = slots.filter(F.col("words") | steady).select(
         "doc_id", "item_id", "item_words", "covered", F.size("slots").alias("n_slots"), (F.size(F.filter("slots", lambda p: p["a"] != p["b"])) == 0).alias("exact")
     )
     best = F.max(F.struct("covered", "exact", "n_slots", "item_words")).alias("best")
     return kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.item_words", "best.covered", "best.n_slots", "best.exact")
-

@@ -25,26 +25,65 @@ def brute_tokens(text):
     return raw, out
 
 
+def joined_names(raw, tokens):
+    """Tokens and their words, a run of names as one."""
+    out = []
+    for w, t in zip(raw, tokens, strict=True):
+        bare = w.strip(templates._EDGE)
+        if out and t == templates.NAME == out[-1][0]:
+            out[-1] = (t, f"{out[-1][1]} {bare}")
+        else:
+            out.append((t, bare))
+    return out
+
+
 def brute(docs, items):
-    """Every document against every item at every shift."""
+    """Every document against every reading of every item at every shift."""
     found = {}
     held = (templates.NUM, templates.UNIT, templates.NAME)
+    light = lambda own: 2 * sum(t not in held for t, _ in own) >= len(own)
+    read = {}
+    for doc_id, doc in docs:
+        raw, tokens = brute_tokens(doc)
+        bare = [w.strip(templates._EDGE) for w in raw]
+        read[doc_id] = joined_names(raw, tokens), [(w.lower(), w) for w in bare]
     for item_id, text in items:
-        raw_i, tok_i = brute_tokens(text)
-        if len(tok_i) < templates.LEAST:
+        raw, tokens = brute_tokens(text)
+        if len(raw) < templates.LEAST:
             continue
-        n = min(templates.SPAN, len(tok_i))
-        for doc_id, doc in docs:
-            raw_d, tok_d = brute_tokens(doc)
-            for shift in range(-len(tok_i), len(tok_d)):
-                hit = [p for p in range(len(tok_i) - n + 1) if 0 <= p + shift <= len(tok_d) - n and tok_i[p : p + n] == tok_d[p + shift : p + shift + n]
-                       and 2 * sum(t not in held for t in tok_i[p : p + n]) >= n]
-                covered = {q for p in hit for q in range(p, p + n)}
-                if not hit or len(covered) < min(templates.COVER, len(tok_i)):
-                    continue
-                slots = {(tok_i[q], raw_i[q].strip(templates._EDGE), raw_d[q + shift].strip(templates._EDGE)) for q in range(min(covered), max(covered) + 1) if tok_i[q] in held and tok_i[q] == tok_d[q + shift]}
-                if len({s[:2] for s in slots}) == len(slots) == len({(s[0], s[2]) for s in slots}):
-                    found[doc_id, item_id] = max(found.get((doc_id, item_id), 0), len(covered))
+        inside = brute_tokens(f"x {text}")[1][1:]
+        bare = [w.strip(templates._EDGE) for w in raw]
+        typed = joined_names(raw, tokens)
+        within, lead = joined_names(raw, inside), None
+        if inside[:2] == [templates.NAME] * 2:
+            lead = bare[0] + " "
+            within[0] = (templates.NAME, within[0][1][len(lead) :])
+        readings = [(typed, 0, None), (within, 0, lead)]
+        needy = bare[0].lower() in templates.UNITS
+        for own, _, _ in readings:
+            n = min(templates.SPAN, len(own))
+            needy |= len(own) < templates.LEAST or not all(light(own[p : p + n]) for p in range(len(own) - n + 1))
+        readings = [r for r in readings if len(r[0]) >= templates.LEAST]
+        if needy:
+            readings.append(([(w.lower(), w) for w in bare], 1, None))
+        for own, k, lead in readings:
+            n = min(templates.SPAN, len(own))
+            word = [t for t, _ in own]
+            for doc_id, _ in docs:
+                other = read[doc_id][k]
+                theirs = [t for t, _ in other]
+                for shift in range(-len(own), len(other)):
+                    hit = [p for p in range(len(own) - n + 1) if 0 <= p + shift <= len(other) - n and word[p : p + n] == theirs[p + shift : p + shift + n] and (k or light(own[p : p + n]))]
+                    covered = {q for p in hit for q in range(p, p + n)}
+                    if not hit or len(covered) < min(templates.COVER, len(own)):
+                        continue
+                    first = other[shift][1] if lead and 0 in covered else None
+                    if first is not None and not first.startswith(lead):
+                        continue
+                    value = lambda q: first[len(lead) :] if q == 0 and first is not None else other[q + shift][1]  # noqa: B023, E731
+                    slots = {(own[q][0], own[q][1], value(q)) for q in range(min(covered), max(covered) + 1) if word[q] in held and word[q] == theirs[q + shift]} if not k else set()
+                    if len({s[:2] for s in slots}) == len(slots) == len({(s[0], s[2]) for s in slots}):
+                        found[doc_id, item_id] = max(found.get((doc_id, item_id), 0), len(covered))
     return found
 
 
@@ -53,13 +92,15 @@ def made():
     vocab = ["walks", "bread", "house", "gives", "many", "river", "red", "to", "the", "of", "with"]
     fill = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(i, f"{fill(6)} {rng.choice(['Tom', 'Ann'])} has {rng.randint(1, 9)} km and {fill(8)} {rng.choice(['Tom', 'Bob'])} {fill(5)}?") for i in range(8)]
-    items += [(20, "too short"), (21, None), (22, "six words that are one window"), (23, "1 2 3 4 5 6 7 8 9")]
+    items += [(20, "too short"), (21, None), (22, "six words that are one window"), (23, "1 2 3 4 5 6 7 8 9"), (24, "Paris had 40 towers"), (25, "In the year before the war Paris had 40 towers"),
+              (26, "km is what Tom Ann Bob walks to the river of 9 red"),
+              (27, "If Tom gives Ann the red house and Tom walks to Bob")]
     docs = []
     for k in range(60):
         text = rng.choice(items)[1] or ""
         if rng.random() < 0.5:
-            for old in ("Tom", "Ann", "Bob"):
-                text = text.replace(old, rng.choice(["Tom", "Eve", "Zoe"]))
+            for old in ("Tom", "Ann", "Bob", "Paris"):
+                text = text.replace(old, rng.choice(["Tom", "Eve", "Zoe", "New York", "Rio de Mar"]))
             text = "".join(str(rng.randint(1, 9)) if c.isdigit() else c for c in text)
         if rng.random() < 0.3:
             text = " ".join(text.split()[rng.randint(0, 4) : rng.randint(8, 30)])
@@ -105,13 +146,40 @@ def test_verbatim_items_without_enough_literal_words(spark):
     items = [(1, "sum 12 7 19 19 4 15 3 8"), (2, "Anna Bob Carla Dora Emil Franz Gerd"), (3, "Tom has 5 red apples in the house"), (4, "What does he say to Tom Ann Bob Eve Zoe Max")]
     docs = [(i, f"we write {t} today") for i, t in items] + [(11, "we write sum 13 8 20 20 5 16 4 9 today")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id, r.covered == r.item_words, r.exact) for r in templates.leaks(frame(spark, docs), bench, verbatim=True).collect()}
-    assert got == {(i, i, True, True) for i, _ in items}
+    got = {(r.doc_id, r.item_id, r.exact): (r.covered, r.item_words) for r in templates.leaks(frame(spark, docs), bench).collect()}
+    assert set(got) == {(i, i, True) for i, _ in items}
+    assert [got[i, i, True] for i, _ in items] == [(9, 9), (7, 7), (8, 8), (6, 11)]  # a run of names is one token
 
 
 def test_first_word_of_an_item_may_be_a_name_in_the_document(spark):
     bench = spark.createDataFrame([(1, "Tom has 5 red apples in the house of Tom")], "item_id long, text string")
     docs = [(1, "so, Tom has 5 red apples in the house of Tom"), (2, "Q) Bob has 7 red apples in the house of Bob"), (3, "Heading\nTom has 6 red apples in the house of Tom"),
             (4, "Q) Bob has 7 red apples in the house of Tim"), (5, "Look. Tom has 7 red apples in the house of Tom")]
-    got = {r.doc_id: r.exact for r in templates.leaks(frame(spark, docs), bench, verbatim=True).collect()}
+    got = {r.doc_id: r.exact for r in templates.leaks(frame(spark, docs), bench).collect()}
     assert got == {1: True, 2: False, 3: False, 5: False}
+
+
+def test_copies_of_short_items_are_found_whatever_stands_before(spark):
+    """Every item of at least five words, copied word for word: no rule of the operator is used."""
+    items = [(1, "In the year before the war Paris had 40 towers"), (2, "Paris and London have 7 bridges"), (3, "Kilometres or miles: which is 12 km longer"), (4, "12 13 14 15 16"), (5, "Tom Ann Bob Eve Zoe"), (6, "km is a unit of what"), (7, "how many towers does it have")]
+    before = ["x. ", "Some heading\n", "Q) ", "so, ", "12 ", "It said: ", "", "- ", "Anna "]
+    docs = [(100 * i + k, f"{b}{t} and more of it") for i, t in items for k, b in enumerate(before)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(frame(spark, docs), bench).collect()}
+    missed = {(100 * i + k, i) for i, _ in items for k in range(len(before))} - got
+    # Behind another name the first name of an item is one with it: the item's own first slot is cut.
+    assert missed <= {(100 * i + 8, i) for i, _ in items}
+    assert all(d // 100 == i for d, i in got)
+
+
+def test_names_of_any_length_fill_a_slot(spark):
+    bench = spark.createDataFrame([(1, "In the year before the war Paris had 40 towers")], "item_id long, text string")
+    docs = [(1, "Well: in the year before the war New York had 17 towers"), (2, "Well: in the year before the war Stratford Upon Avon had 17 towers"), (3, "Well: in the year before the war had 17 towers")]
+    assert {(r.doc_id, r.exact) for r in templates.leaks(frame(spark, docs), bench).collect()} == {(1, False), (2, False)}
+
+
+def test_rows_that_share_an_id(spark):
+    bench = spark.createDataFrame([(1, "how many red towers does the old city have"), (1, "who of them walks to the green river today"), (None, "what do they say about the bread and the house")], "item_id long, text string")
+    docs = [(1, "we ask how many red towers does the old city have"), (1, "we ask who of them walks to the green river today"), (None, "we ask what do they say about the bread and the house")]
+    got = [(r.doc_id, r.item_id) for r in templates.leaks(frame(spark, docs), bench).collect()]
+    assert sorted(got, key=str) == [(1, 1), (None, None)]
