@@ -227,11 +227,12 @@ def factors(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     copies = staged(copies.distinct(), "substring-copies")
     marks = outline.join(sized(copies.select("doc")), "doc", "left_anti").select("doc", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("doc.doc_id").alias("a"), F.max("doc.doc_id").alias("b")).filter("a < b").select("mark")
-    wanted = marks.join(sized(staged(shared, "substring-shared")), "mark").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
-    blocks = staged(_blocks(docs.join(sized(staged(wanted, "substring-marks"), "1 + size(marks)"), "doc"), window), "substring-blocks")
+    # Merged at every size: these tables grow with the corpus, and so does what is shuffled.
+    wanted = marks.join(staged(shared, "substring-shared").hint("merge"), "mark").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    blocks = staged(_blocks(docs.join(staged(wanted, "substring-marks").hint("merge"), "doc"), window), "substring-blocks")
     index = blocks.groupBy("block1", "block2").agg(F.min(F.struct("doc", "pos")).alias("place"), F.max("doc.doc_id").alias("last")).filter("place.doc.doc_id < last")
     index = staged(index.select("block1", "block2", F.col("place.doc").alias("ref"), F.col("place.pos").alias("ref_pos")), "substring-index")
-    found = blocks.join(sized(index), ["block1", "block2"]).filter("ref.doc_id < doc.doc_id").select("doc", "pos", "ref", "ref_pos").distinct()
+    found = blocks.join(index.hint("merge"), ["block1", "block2"]).filter("ref.doc_id < doc.doc_id").select("doc", "pos", "ref", "ref_pos").distinct()
     return _parsed(found, window), copies
 
 
@@ -243,7 +244,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         copies.select("doc", F.struct(F.lit(0).alias("start"), F.lit(-1).alias("length")).alias("span"))
     )
     spans = staged(spans.groupBy("doc").agg(F.collect_list("span").alias("spans")), "substring-spans")
-    cut = _named(docs).join(sized(spans, "1 + size(spans)"), "doc", "left")
+    cut = _named(docs).join(spans.hint("merge"), "doc", "left")
     cut = cut.select("doc.doc_id", "text", F.coalesce("spans.start", F.array().cast("array<int>")).alias("starts"), F.coalesce("spans.length", F.array().cast("array<int>")).alias("lengths"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
