@@ -20,6 +20,7 @@ def links_in_buckets(
     name: str,
     refine: Callable[[DataFrame], DataFrame] | None = None,
     dense: int | None = None,
+    given: DataFrame | None = None,
 ) -> DataFrame:
     """``(u, v)`` links whose components are those of all similar pairs that share a bucket.
 
@@ -33,6 +34,7 @@ def links_in_buckets(
     with the rest of the bucket, where the components still differ.  In a crowd of near copies
     that leaves a pair for a row.  Rows of buckets of more than ``dense`` are dealt to finer ones
     by ``refine(rows(id, sim))``, if it is given; it has to keep every close pair together somewhere.
+    ``given(u, v)`` are links known before: what they connect is not compared again, and they are returned as well.
     """
     dense = DENSE if dense is None else dense
     shared = staged(keyed.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-shared")
@@ -46,6 +48,11 @@ def links_in_buckets(
     centres = met.groupBy("bucket").agg(F.min(F.struct("id", "sim")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.sim").alias("a_sim"))
     met = staged(met.join(sized(staged(centres, f"{name}-centre")), "bucket"), f"{name}-rows")
     to_centre = met.filter("id <> centre").withColumnRenamed("sim", "b_sim").filter(close).select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
+    if given is not None:
+        parts = sized(staged(connected_components(given, f"{name}-given"), f"{name}-before"))
+        side = lambda key, part: parts.select(F.col("node").alias(key), F.col("component").alias(part))
+        to_centre = to_centre.join(side("u", "_p"), "u", "left").join(side("v", "_q"), "v", "left").filter("not coalesce(_p, u) <=> coalesce(_q, v)").select("u", "v")
+        out = given if out is None else out.union(given)
     links = staged(verify(staged(to_centre, f"{name}-pairs")).select("u", "v"), f"{name}-links")
     links = links if out is None else staged(links.union(out), f"{name}-both")
     open_rows = met.filter("n > 2")  # of two rows one is the centre

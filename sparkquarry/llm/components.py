@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from sparkquarry.llm.common import BROADCAST_ROWS, staged
 
 
+#: Tasks that write a round of few links.
+TASKS = 8
+
+
 def connected_components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for each node of ``links(u, v)``; the component is its smallest node.
 
@@ -32,7 +36,7 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
         large = large if few else staged(large, f"{name}-large")
         joint = large.join(least_of(large), "u")
         small = joint.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joint.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        down = staged(small, name)
+        down = staged(small.coalesce(TASKS) if few else small, name)
         now = _state(down)
         if now == seen:
             ends = down.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -44,7 +44,8 @@ SOON = 32  # edits that are tried first
 _SEVEN = 7  # words that are added up at once
 _FEW = 126  # words that counters of 8 bits hold
 _BLOCKS = 128  # blocks of _FEW words that counters of 16 bits hold
-_KEPT = ("_lines", "_dropped", "_drop", "_row")
+#: Columns of ours, which ``docs`` cannot have.
+NAMES = ("_lines", "_dropped", "_drop", "_row")
 
 
 def _split(text: Column) -> Column:
@@ -225,7 +226,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated lines cut out of ``text``; adds ``_lines`` and ``_dropped``, their numbers."""
-    if taken := {c.lower() for c in docs.columns} & set(_KEPT):
+    if taken := {c.lower() for c in docs.columns} & set(NAMES):
         raise ValueError(f"columns {sorted(taken)} are named like this operator's own")
     docs = docs.withColumn("text", F.col("text").cast("string"))
     drop = staged(dropped_lines(docs.select("doc_id", "text")), "lines-drop").select(F.col("row").alias("_row"), F.col("drop").alias("_drop"))

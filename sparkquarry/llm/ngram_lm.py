@@ -40,6 +40,9 @@ ORDER = 2
 #: Tokens that a counting task sorts at once.
 FLUSH = 2_500_000
 
+#: Bytes of text for each part of the model; a task sums one part at a time, so this bounds its memory.
+PART_BYTES = 24 << 20
+
 START, END = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,11 +232,12 @@ def _reduce(level: int, order: int, parts: int, store: Store):
 def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> dict:
     """Count ``docs`` and write the model; returns its description, a few numbers and a path.
 
-    The number of parts is the session's number of shuffle partitions, so it is the
-    setting that is raised with the input anyway.
+    The number of parts grows with the bytes of text, whatever the session's settings; it is the
+    session's number of shuffle partitions at least.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     path = new_path(spark, "ngram-model")
     store = Store(path)
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count(order, parts), _ROW)

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkquarry.llm import bpe, lines, ngram_lm, secrets, shard_tree, simhash, sql, substring, templates, toxicity, winnowing
 from sparkquarry.llm.common import load
 
-#: Where the public tokenizer files are; the environment may name another folder.
-TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
+#: The folder of the public tokenizer files; None asks the package ``public_tokenizers`` for each.
+TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -15,17 +15,20 @@ loses no link's component, and a variant gathers 65 + 992 fingerprints at most,
 whatever the data.  Fingerprints that share no three of six blocks with any other have
 no neighbour (pigeonhole) and emit nothing.  Copies collapse to one fingerprint first.
 
-``similar_groups`` serves a similarity of word shingles in place of a number of bits, out
-of reach of such a radius.  It is exact: of two sets with Jaccard similarity s or more, put
-in one common order, the first n - ceil(s n) + 1 elements of each share one (prefix
-filter).  Texts meet in a join on those shingles, and the sets of what meets are
-compared.  The order is by hash, with shingles that a sample of documents shows to be common at
-the end; the sample changes the cost and not the result.  Only texts with equal sets
-of shingles collapse.
+``similar_groups`` serves a similarity of word shingles in place of a number of bits.  Texts at similarity
+0.8 are about ten bits apart, out of reach of balls of such a radius, so it works in two steps.
+First the balls: SimHashes of the distinct shingles meet as above, and what meets is verified by its sets of shingles;
+that joins the closest copies.  Then an exact step for the rest: of two sets with Jaccard
+similarity s or more, put in one common order, the first n - ceil(s n) + 1 elements of each share
+one (prefix filter), and enough of both has to be left at the first they share (position filter).  Texts meet in
+a join on those shingles, and the sets of what meets and is not joined already are compared.  The order is by hash, with
+shingles that a sample of documents shows to be common at the end; the sample changes the cost and not the
+result.  Only texts with equal sets of shingles collapse.
 
 Defined results: a null text counts as empty; a text without words has fingerprint
 zero; fewer words than a shingle form one shingle; repeated rows share a fingerprint;
-an empty table gives no rows; extra columns are ignored.
+an empty table gives no rows; extra columns are ignored.  In ``similar_groups`` rows that share a doc_id
+are linked to what any of their texts is like, and a row without a doc_id has no component.
 """
 
 from __future__ import annotations
@@ -227,7 +230,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 #: A shingle is common if that many documents of the sample (one in ``SAMPLED``) have it; so many are known at most.
-COMMON, SAMPLED, KNOWN = 8, 16, 100_000
+COMMON, SAMPLED, KNOWN = 2, 8, 1_000_000
 
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -252,40 +255,50 @@ def _shingles(text: str, shingle: int):
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: components over pairs whose sets of word shingles have that Jaccard similarity."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
-    common = _common(docs, shingle)
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))  # KNOWN numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            hashes, n = shingle_sets(batch.column("text"), shingle, common)
+            hashes, n = shingle_sets(batch.column("text"), shingle, common.value)
             start = np.cumsum(n) - n
             full = np.flatnonzero(n)
-            keys = np.zeros((2, len(n)), np.uint64)
-            for k, salt in enumerate((_P1, _P2)):
-                if len(full):
+            keys = np.zeros((3, len(n)), np.uint64)
+            if len(full):
+                for k, salt in enumerate((_P1, _P2)):
                     keys[k, full] = np.add.reduceat(mix(hashes ^ salt), start[full])
+                keys[2, full] = _majority(hashes, start[full], n[full])
             size = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
             ends = np.cumsum(size)
             prefix = hashes[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n.astype(np.int32)), lists], names=["doc_id", "key1", "key2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n.astype(np.int32)), lists], names=["doc_id", "key1", "key2", "fp", "n", "prefix"])
 
-    prints = staged(docs.mapInArrow(run, "doc_id long, key1 long, key2 long, n int, prefix array<long>"), "similar-sets-of")
+    prints = staged(docs.mapInArrow(run, f"doc_id {kind}, key1 long, key2 long, fp long, n int, prefix array<long>"), "similar-sets-of")
     key = ["key1", "key2", "n"]
     nodes = staged(prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "similar-nodes")
-    copies = prints.select("doc_id", *key).join(sized(staged(nodes.filter("rows > 1"), "similar-copied")), key).filter("doc_id <> node").select("doc_id")
-    near = prints.join(sized(staged(copies, "similar-copies")), "doc_id", "left_anti")
-    keyed = near.select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").alias("sim"))
+    copies = prints.select("doc_id", *key).join(sized(staged(nodes.filter("rows > 1"), "similar-copied")), key).filter("doc_id <> node").select("doc_id", *key).distinct()
+    near = prints.filter("doc_id is not null").join(sized(staged(copies, "similar-copies")), ["doc_id", *key], "left_anti")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        sets = docs.join(sized(staged(ids, "similar-ids")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", _shingles("text", shingle).alias("s"))
-        sets = staged(sets, "similar-sets")
+        sets = docs.join(sized(staged(ids, "similar-ids")), "doc_id").distinct().select("doc_id", _shingles("text", shingle).alias("s"))
+        sets = sized(staged(sets, "similar-sets"), "1 + size(s) div 3")
         both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("_a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("_b")), "v")
+        both = both.filter(f"least(size(_a), size(_b)) >= {similarity} * greatest(size(_a), size(_b)) - 1e-9")
         common = F.size(F.array_intersect("_a", "_b"))
-        return both.filter(common >= similarity * (F.size("_a") + F.size("_b") - common) - 1e-9)
-
-    found = links_in_buckets(keyed, f"least(a_sim, b_sim) >= {similarity} * greatest(a_sim, b_sim) - 1e-9", verify, "similar")
+        return both.filter(common >= similarity * (F.size("_a") + F.size("_b") - common) - 1e-9).select("u", "v").distinct()
+
+    points = staged(near.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "similar-points")
+    same = near.filter("n > 0").select("doc_id", "fp").join(sized(staged(points.filter("rows > 1"), "similar-same")), "fp").filter("doc_id <> node")
+    met = staged(links(points.select("node", "fp")).union(same.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))), "similar-met")
+    close_copies = staged(verify(met), "similar-balls")
+    keyed = near.select(F.posexplode("prefix").alias("pos", "bucket"), "doc_id", "n").select("bucket", F.col("doc_id").alias("id"), F.struct("n", "pos").alias("sim"))
+    # The sets share as many as both have from the first that they share, at most; so many they need.
+    needed = f"{similarity / (1 + similarity)} * (a_sim.n + b_sim.n) - 1e-6"
+    close = f"least(a_sim.n, b_sim.n) >= {similarity} * greatest(a_sim.n, b_sim.n) - 1e-9 and least(a_sim.n - a_sim.pos, b_sim.n - b_sim.pos) >= {needed}"
+    found = links_in_buckets(keyed, close, verify, "similar", given=close_copies)
     groups = connected_components(found, "similar-links")
-    label = nodes.join(groups, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", *key).join(label, key).select("doc_id", "component_id")
+    label = nodes.join(sized(staged(groups, "similar-groups")), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", *key).join(sized(staged(label, "similar-label")), key).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
