@@ -39,3 +39,29 @@ def test_run_takes_odd_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     kept = {r.doc_id for r in out.collect()}
     assert {0, 8, 9} <= kept and 16 not in kept
+
+
+def write(spark, folder, rows, columns, labels=(), items=((1, "a question of some words that nobody answers"),)):
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_empty_documents(spark, tmp_path):
+    write(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_repeated_and_missing_ids(spark, tmp_path):
+    line = "these are the words of a line that several of the documents have in common"
+    leak = "how many red towers does the old city on the river have today"
+    rows = [(1, f"{line} and more", "a", 1, 1.0), (1, "something else altogether in this row", "b", 2, 2.0), (None, f"x. {leak}", "c", 3, 3.0), (None, "a row that has no number of its own", "d", 4, 4.0), (2, f"Heading\n{leak}", "e", 5, 5.0)]
+    write(spark, tmp_path, rows, "doc_id long, text string, _lines string, _row int, toxicity double", items=[(1, leak)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = staged(stage(spark, docs, str(tmp_path)), f"test-{name}")
+        assert after.dtypes == docs.dtypes
+        docs = after
+    assert sorted(r._lines for r in docs.collect()) == ["a", "b", "d"]
+    assert {(r._row, r.toxicity) for r in docs.collect()} == {(1, 1.0), (2, 2.0), (4, 4.0)}
+    assert staged(corpus_pipeline.encode(spark, docs, str(tmp_path)), "test-bpe").count() == 3
