@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns documents (the last one their
 tokens).  ``run`` writes each stage's rows as Parquet into the shared folder and reads
 them again for the next.
+
+Defined results: null texts stay null; rows that share a doc_id go together where one of them is a later near duplicate or
+holds a leak; a row without a doc_id is no near duplicate of any; further columns pass through, whatever their names; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +23,14 @@ from sparkquarry.llm.queries import tokenizer_file
 REMEMBERED = 70_000
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _like(frame: DataFrame, docs: DataFrame) -> DataFrame:
     """Only the columns of ``docs``, with ``n_chars`` as long as the text now is."""
     if "n_chars" in docs.columns:
@@ -29,24 +41,31 @@ def _like(frame: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores as toxic go; labels of the held-out quarter are not used."""
     model = toxicity.learn(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"), toxicity.fold(F.col("doc_id")) != 2)
-    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    name = _free("toxicity", docs)
+    return toxicity.score(docs, model, name).filter(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut; every document stays, if only with an empty text."""
-    return _like(lines.without_repeated_lines(docs), docs)
+    away = {c: _free(f"kept{c}", docs) for c in docs.columns if c.lower() in lines.NAMES}
+    docs = docs.withColumnsRenamed(away)
+    return _like(lines.without_repeated_lines(docs), docs).withColumnsRenamed({v: k for k, v in away.items()})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the first document stays."""
-    later = staged(simhash.similar_groups(docs).filter("doc_id <> component_id").select("doc_id"), "pipeline-later")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the first document stays.
+
+    Balls around SimHashes join the closest copies, an exact step those that are out of their reach.
+    """
+    later = staged(simhash.similar_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-later")
     return docs.join(sized(later), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    found = templates.leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text"), verbatim=True).select("doc_id").distinct()
-    return docs.join(sized(staged(found, "pipeline-leaks")), "doc_id", "left_anti").select(docs.columns)
+    found = templates.leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
+    found = sized(staged(found.select(F.col("doc_id").alias("_leak")), "pipeline-leaks"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
