@@ -2,9 +2,9 @@
 
 Lines (between line feeds) are normalised: lower case, no ASCII punctuation, one space for
 a run of white space (space, 0x09, 0x0B-0x0D), none at the ends.  Equal normalised lines
-are one line by 128 bits of hash.  Distinct ones get a 64-bit SimHash of all their words; a
-word of up to ``CONTENT`` letters enters together with the word after it, since alone it is
-much the same in all lines.  Lines at most three bits apart agree outside some four of
+are one line by 128 bits of hash.  Distinct ones get a 64-bit SimHash of all their words, in which
+words of more than ``CONTENT`` letters count ``WEIGHT`` times: shorter ones are much the same in all lines and would make
+unlike lines meet.  Lines at most three bits apart agree outside some four of
 eight blocks of the hash (pigeonhole over a quadruple system, see ``block_masks``), so they
 meet in a join on the rest.  Pairs that meet are compared in full: three bits at most,
 then edit similarity in characters.  Connected lines form a group, of which the first
@@ -18,7 +18,7 @@ Defined results: null texts stay null and have no lines; lines of fewer than
 ``SHORTEST`` normalised characters are never removed; a text whose lines all go becomes
 empty and its row stays; rows with one doc_id and unlike texts are documents of their own
 in an order by hash, rows alike in both are one document and lose the same lines; a null doc_id
-comes before all others; a line of over 16,128 words has a SimHash for each such
+comes before all others; a line of over 5,460 words has a SimHash for each such
 block and meets others by any of them; extra columns pass through unless they are called
 ``_lines``, ``_dropped``, ``_drop`` or ``_row``, which raises ValueError; an empty table
 gives no rows.
@@ -38,12 +38,11 @@ from sparkquarry.llm.components import connected_components
 SHORTEST = 20  # normalised characters
 RADIUS = 3  # bits
 ALIKE = 0.8  # edit similarity: 1 - distance / longer length, in characters
-CONTENT = 4  # letters that a word has to exceed to enter the SimHash by itself
+CONTENT, WEIGHT = 4, 3  # letters that a word has to exceed to count so often in the SimHash
 SOON = 32  # edits that are tried first
 
 _SEVEN = 7  # words that are added up at once
-_FEW = 126  # words that counters of 8 bits hold
-_BLOCKS = 128  # blocks of _FEW words that counters of 16 bits hold
+_MOST = 780 * _SEVEN  # words of a block: counters of 14 bits hold WEIGHT times as many
 #: Columns of ours, which ``docs`` cannot have.
 NAMES = ("_lines", "_dropped", "_drop", "_row")
 
@@ -72,28 +71,25 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _majority(sums: list[Column], width: int) -> Column:
-    """SimHash from packed counters of ``n`` words: lane j of ``sums[k]`` counts bit ``width * j + k``.
+def _majority() -> Column:
+    """SimHash from the packed counters ``s0 .. s15`` of words of weight ``n``: lane j of ``sk`` counts bit 16 j + k.
 
-    Adding what half of the words lack sets bit ``top`` of a counter if it counts more than half of them.
+    Adding what half of the weight lacks sets bit 14 of a counter if it counts more than half.
     """
-    half, top = F.expr("n div 2"), 7 if width == 8 else 14  # no sum reaches the sign of the long
-    out = None
     lanes = F.lit(0x0001000100010001)
-    for k, s in enumerate(sums):
-        for shift in range(0, 16, width):  # counters in lanes of 16 bits, so that sums do not run over
-            lane = F.shiftrightunsigned(s, shift).bitwiseAND(F.lit((1 << width) - 1) * lanes) if width < 16 else s
-            bit = F.shiftrightunsigned(lane + (F.lit((1 << top) - 1) - half) * lanes, top).bitwiseAND(lanes)
-            term = F.shiftleft(bit, shift + k)
-            out = term if out is None else out.bitwiseOR(term)
+    lack = (F.lit((1 << 14) - 1) - F.expr("n div 2")) * lanes
+    out = None
+    for k in range(16):
+        term = F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + lack, 14).bitwiseAND(lanes), k)
+        out = term if out is None else out.bitwiseOR(term)
     return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row, line, key1, key2, block, n, sim)`` of every line that is long enough.
+    """``(doc_id, row, line, key1, key2, block, sim)`` of every line that is long enough.
 
-    The line is named by 128 bits of its normalised text.  ``sim`` is the SimHash of the ``n`` words
-    of one block of the line; only lines over ``_FEW * _BLOCKS`` words have blocks after 0.
+    The line is named by 128 bits of its normalised text.  ``sim`` is the SimHash of the words
+    of one block of the line; only lines over ``_MOST`` words have blocks after 0.
     """
     named = docs.filter(F.col("text").isNotNull()).select("doc_id", _row_key().alias("row"), _bare(F.col("text")).alias("text"))
     split = named.select("doc_id", "row", F.posexplode(_split(F.col("text"))).alias("line", "own")).filter(F.length("own") >= SHORTEST)
@@ -101,31 +97,27 @@ def line_table(docs: DataFrame) -> DataFrame:
     norm = split.select("doc_id", "row", "line", F.explode(F.array(_spaced(F.col("own")))).alias("norm")).filter(F.length("norm") >= SHORTEST)
     keyed = norm.select("doc_id", "row", "line", F.xxhash64("norm").alias("key1"), F.xxhash64("norm", F.lit("second")).alias("key2"), F.split("norm", " ").alias("words"))
     place = ["doc_id", "row", "line", "key1", "key2"]
-    seven = keyed.select(*place, "words", F.size("words").alias("total"), F.explode(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {_SEVEN}"))).alias("part"))
+    seven = keyed.select(*place, "words", F.explode(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {_SEVEN}"))).alias("part"))
     word = lambda j: F.get("words", F.col("part") * _SEVEN + j)
-    alone = lambda j: (F.length(word(j)) > CONTENT) | word(j + 1).isNull()
-    hashed = [F.when(word(j).isNull(), F.lit(0).cast("long")).when(alone(j), F.xxhash64(word(j))).otherwise(F.xxhash64(word(j), word(j + 1))).alias(f"h{j}") for j in range(_SEVEN)]
-    each = seven.select(*place, "total", F.expr(f"part div {_FEW // _SEVEN}").cast("int").alias("block"), F.expr(f"least({_SEVEN}, total - {_SEVEN} * part)").alias("m"), *hashed)
+    hashed = [F.when(word(j).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(word(j))).alias(f"h{j}") for j in range(_SEVEN)]
+    long = [F.coalesce(F.length(word(j)) > CONTENT, F.lit(False)).alias(f"g{j}") for j in range(_SEVEN)]
+    block = F.expr(f"part div {_MOST // _SEVEN}").cast("int").alias("block")
+    each = seven.select(*place, block, F.expr(f"least({_SEVEN}, size(words) - {_SEVEN} * part)").alias("m"), *hashed, *long)
+    of_long = [F.when(F.col(f"g{j}"), F.col(f"h{j}")).otherwise(F.lit(0).cast("long")).alias(f"l{j}") for j in range(_SEVEN)]
+    extra = sum((F.when(F.col(f"g{j}"), WEIGHT - 1).otherwise(0) for j in range(_SEVEN)), F.col("m"))
+    each = each.select(*place, "block", extra.alias("m"), *[f"h{j}" for j in range(_SEVEN)], *of_long)
     # Each bit of seven hashes is added up by full adders: a count in three bits, in ones, twos and fours.
-    each = _add(each, ("h0", "h1", "h2"), "a", "ca")
-    each = _add(each, ("h3", "h4", "h5"), "b", "cb")
-    each = _add(each, ("a", "b", "h6"), "ones", "cc")
-    each = _add(each, ("ca", "cb", "cc"), "twos", "fours")
-    lanes = F.lit(0x0101010101010101)
+    for x in "hl":
+        each = _add(each, (f"{x}0", f"{x}1", f"{x}2"), f"{x}a", f"{x}ca")
+        each = _add(each, (f"{x}3", f"{x}4", f"{x}5"), f"{x}b", f"{x}cb")
+        each = _add(each, (f"{x}a", f"{x}b", f"{x}6"), f"{x}ones", f"{x}cc")
+        each = _add(each, (f"{x}ca", f"{x}cb", f"{x}cc"), f"{x}twos", f"{x}fours")
+    lanes = F.lit(0x0001000100010001)
     lane = lambda c, k: F.shiftrightunsigned(c, k).bitwiseAND(lanes)
-    sums = [F.sum(lane("ones", k) + 2 * lane("twos", k) + 4 * lane("fours", k)).alias(f"s{k}") for k in range(8)]
-    parts = each.groupBy(*place, "total", "block").agg(F.sum("m").alias("n"), *sums)
-    long = F.col("total") > _FEW
-    packed = F.when(long, F.array(*[f"s{k}" for k in range(8)]))
-    parts = staged(parts.select(*place, "block", "n", F.when(~long, _majority([F.col(f"s{k}") for k in range(8)], 8)).alias("sim"), packed.alias("sums")), "lines-parts")
-    wide, mask = [None] * 16, F.lit(0x00FF00FF00FF00FF)
-    for k in range(8):  # the even and the odd counters of eight bits become two of sixteen
-        s = F.get("sums", F.lit(k))
-        wide[k], wide[k + 8] = s.bitwiseAND(mask), F.shiftrightunsigned(s, 8).bitwiseAND(mask)
-    more = parts.filter("sums is not null").withColumn("block", F.expr(f"block div {_BLOCKS}").cast("int"))
-    more = more.groupBy(*place, "block").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"w{k}") for k, c in enumerate(wide)])
-    more = staged(more.select(*place, "block", "n", _majority([F.col(f"w{k}") for k in range(16)], 16).alias("sim")), "lines-long")
-    return parts.filter("sums is null").select(*place, "block", "n", "sim").union(more)
+    count = lambda x, k: lane(f"{x}ones", k) + 2 * lane(f"{x}twos", k) + 4 * lane(f"{x}fours", k)
+    sums = [F.sum(count("h", k) + (WEIGHT - 1) * count("l", k)).alias(f"s{k}") for k in range(16)]
+    found = each.groupBy(*place, "block").agg(F.sum("m").alias("n"), *sums)
+    return found.select(*place, "block", _majority().alias("sim"))
 
 
 def _add(frame: DataFrame, three: tuple[str, str, str], total: str, carry: str) -> DataFrame:
@@ -210,7 +202,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(row, drop array<int>)``: the numbers of the lines to remove, from 0, of the documents named by ``row``."""
-    lines = line_table(docs)
+    lines = staged(line_table(docs), "lines")
     found = lines.groupBy("key1", "key2", "block").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
     found = staged(found, "lines-distinct")
     groups = found.filter("block = 0").select("key1", "key2", "first", "n")

@@ -13,15 +13,14 @@ def norm(line):
 
 
 def simhash(text):
-    """Of all words; one of up to four letters together with the next."""
-    found = text.split(" ")
-    hashes = []
-    for w, after in zip(found, [*found[1:], None], strict=True):
-        h = xxhash.xxh64_intdigest(w.encode(), 42)
-        if len(w) <= 4 and after is not None:
-            h = xxhash.xxh64_intdigest(after.encode(), h)  # Spark's hash of two columns
-        hashes.append(h)
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    """Of all words; one of more than four letters counts three times."""
+    ones, total = [0] * 64, 0
+    for w in text.split(" "):
+        h, weight = xxhash.xxh64_intdigest(w.encode(), 42), 3 if len(w) > 4 else 1
+        total += weight
+        for b in range(64):
+            ones[b] += weight * (h >> b & 1)
+    return sum(1 << b for b in range(64) if 2 * ones[b] > total)
 
 
 def distance(a, b):
@@ -129,16 +128,15 @@ def test_distances_after_cutting_common_words(spark):
     assert {r.u for r in lines._similar(spark.createDataFrame(pairs, "u long, v long, _a string, _b string")).collect()} == want
 
 
-def test_long_lines_use_wide_counters(spark):
+def test_simhash_of_lines_of_any_length(spark):
     rng = random.Random(4)
-    for n in (6, 7, 8, 125, 126, 127, 128, 255, 700, 17_000):
-        text = " ".join("w%d" % rng.randint(0, 10**6) for _ in range(n))
-        rows = lines.line_table(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block").collect()
-        blocks = [text] if n <= 16_128 else None
-        assert len(rows) == (1 if n <= 16_128 else 2)
-        assert sum(r.n for r in rows) == n
-        if blocks:
-            assert rows[0].sim % (1 << 64) == simhash(text)
+    made = {n: " ".join("w%d" % rng.randint(0, 10**rng.randint(1, 6)) for _ in range(n)) for n in (6, 7, 8, 14, 126, 700, 5_460, 5_461, 17_000)}
+    rows = lines.line_table(spark.createDataFrame([(n, t) for n, t in made.items()], "doc_id long, text string")).orderBy("doc_id", "block").collect()
+    want = []
+    for n, t in made.items():
+        w = t.split(" ")
+        want += [(n, k, simhash(" ".join(w[k * 5_460 : (k + 1) * 5_460]))) for k in range(-(-n // 5_460))]
+    assert [(r.doc_id, r.block, r.sim % (1 << 64)) for r in rows] == want
 
 
 def test_odd_rows(spark):

@@ -95,3 +95,16 @@ def test_counts_above_a_byte(spark):
     model = ngram_lm.train(docs, 2)
     row = ngram_lm.score(docs.limit(1), model).first()
     assert row.score == pytest.approx(brute(["to be"] * 400, ["to be"], 2)[0][0], rel=1e-9)
+
+
+@pytest.mark.parametrize("part_bytes", [64, 24 << 20])
+def test_odd_rows_and_clashing_columns(spark, monkeypatch, part_bytes):
+    """Null, empty and very long texts, repeated rows and columns of our own names; many small parts give the same as one."""
+    from tests.llm.odd import ODD, frame
+
+    monkeypatch.setattr(ngram_lm, "PART_BYTES", part_bytes)
+    rows = [(i, t) for i, t in ODD if t is None or len(t) < 70_000] + [(3, "a"), (3, "a")]
+    got = sorted((r.doc_id, r.n_tokens, round(r.score, 9), round(r.base_score, 9)) for r in ngram_lm.report(frame(spark, rows)).collect())
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    want = brute([t for i, t in rows if not held[i]], [t for _, t in rows], 2)
+    assert got == sorted((i, w[2], round(w[0], 9), round(w[1], 9)) for (i, _), w in zip(rows, want, strict=True))
