@@ -173,6 +173,16 @@ def _graph_index(spark: SparkSession, sf_dir: str) -> graph.Graph:
     return graph.from_tables(*store.built_once(spark, "graph-index", sf_dir, made))
 
 
+def _dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents by the encoder without a model."""
+
+    def made():
+        rows = src.documents_as_corpus(spark, sf_dir).select("doc_id", tx.document_text(F.col("title"), F.col("full_text")).alias("text"))
+        return {"vectors": dense.hashed(rows, "doc_id", "text")}, {"encoder": "hashed", "components": dense.HASHED}
+
+    return store.built_once(spark, "dense-docs", sf_dir, made)[0]["vectors"]
+
+
 # ---- full-text index and search -------------------------------------------------------------------------------------
 
 _CHUNKS = f"""{_CORPUS}, starts AS (SELECT doc_id, title, sentences, len(sentences) AS n, unnest(generate_series(0, len(sentences) - 1, 2)) AS st FROM corpus WHERE len(sentences) > 0),
@@ -196,8 +206,17 @@ _FIELDS = f"""{_CHUNKS}, fields AS (SELECT doc_id, chunk_no, {_ITOK.format('titl
 
 @query(f"WITH {_FIELDS} SELECT term, count(*) AS n_chunks, sum(wtf) AS weight FROM post GROUP BY term")
 def fts_term_stats(spark, sf_dir):
-    rows = fts.fields(fts.chunks(src.documents_as_corpus(spark, sf_dir)))
-    return fts.postings(rows).groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("wtf").alias("weight"))
+    return _fts_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("wtf").alias("weight"))
+
+
+@query(f"""WITH {_FIELDS} SELECT (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM fields) AS chunks, (SELECT round(avg(len(t) + len(b) + len(e) + len(m)), 6) FROM fields) AS mean_tokens,
+  (SELECT count(*) FROM corpus) AS documents""")
+def fts_index_counts(spark, sf_dir):
+    """Sizes of the full-text index; the first use in a session builds it."""
+    index = _fts_index(spark, sf_dir)
+    stats = index.stats.select(F.col("n_chunks").alias("chunks"), F.round("mean", 6).alias("mean_tokens"))
+    counts = index.postings.agg(F.count("*").alias("postings")).join(index.docs.agg(F.count("*").alias("documents")))
+    return counts.join(stats).select("postings", "chunks", "mean_tokens", "documents")  # one row each
 
 
 _BM25 = f"""{_FIELDS}, {_QUESTIONS}, size AS (SELECT doc_id, chunk_no, len(t) + len(b) + len(e) + len(m) AS l FROM fields), st AS (SELECT count(*) AS n, avg(l) AS mean FROM size),
@@ -363,7 +382,8 @@ def judge_decisions(spark, sf_dir):
 def agent_predictions(spark, sf_dir):
     words, built = _fts_index(spark, sf_dir), _graph_index(spark, sf_dir)
     as_text = lambda rows: rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    tools = {"file_fts": lambda q: as_text(fts.search(q, words)), "graph_path": lambda q: graph.search(q, built)}
+    tools = {"file_fts": lambda q: as_text(fts.search(q, words)), "graph_path": lambda q: graph.search(q, built),
+             "dense": lambda q: as_text(dense.search(q, _dense_index(spark, sf_dir), words.docs))}
     return agent.run(_lookup_questions(spark, sf_dir), tools).withColumn("score", F.round("score", 9))
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, fusion, metrics, questions, reports, samples, stages, store
+from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples, stages, store
 from sparkquarry.operators.terms import shared_dir
-from sparkquarry.plans.registry import _CORPUS, _EVAL, _LOG, _QUESTIONS, _STOP, _joined, _log_evaluation, _norm, _ranked_log, _toks, query
+from sparkquarry.plans import agent
+from sparkquarry.plans.registry import (
+    _CORPUS, _EVAL, _EVAL_FTS, _LOG, _QUESTIONS, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
+)
 from sparkquarry.sources import corpus as src
 
 
@@ -311,3 +314,46 @@ def full_summary(spark, sf_dir):
     exact = {"latency_ms": 4, "latency_p95": 4}
     return found.select("method", F.col("k").cast("long"), "n", *[F.round(c, exact.get(c, 6)).alias(c) for c in (*metrics.ALL_MEANS, "latency_p95")])
 
+
+# ---- methods over a split -------------------------------------------------------------------------------------------
+
+
+def retrievers(spark: SparkSession, sf_dir: str) -> dict:
+    """The three tools over the saved indexes of a source."""
+    words, built = _fts_index(spark, sf_dir), _graph_index(spark, sf_dir)
+    as_text = lambda rows: rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return {
+        "file_fts": lambda q: as_text(fts.search(q, words)), "graph_path": lambda q: graph.search(q, built),
+        "dense": lambda q: as_text(dense.search(q, _dense_index(spark, sf_dir), words.docs)),
+    }
+
+
+def evaluated(spark: SparkSession, sf_dir: str, methods: list[str], split: str = "all", ks: tuple[int, ...] = metrics.KS) -> DataFrame:
+    """Evaluation rows of methods on the questions of a split; ``rule_router`` asks the tool that each question is routed to."""
+    asked = stages.of_split(_split_questions(spark, sf_dir), split)
+    tools = retrievers(spark, sf_dir)
+    if unknown := set(methods) - {*tools, "rule_router"}:
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    found = None
+    for name in methods:
+        public = src.public_questions(asked)
+        rows = agent.by_tool(routing.route(public), "tool", tools).drop("tool") if name == "rule_router" else tools[name](public)
+        rows = rows.withColumns({"method": F.lit(name), "latency_ms": F.lit(None).cast("double")})
+        found = rows if found is None else found.unionByName(rows)
+    corpus = src.documents_as_corpus(spark, sf_dir)
+    gold = src.gold_by_containment(asked, corpus).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return metrics.evaluate(found, gold, asked, ks)
+
+
+@query(f"""WITH {_EVAL_FTS}, m AS (SELECT question_id, task_type, k, gold_count, matched, CASE WHEN gold_count > 0 THEN matched / gold_count ELSE 0 END AS er, coalesce(1.0 / first, 0)::DOUBLE AS mrr FROM e WHERE k <> 5)
+  SELECT m.question_id, m.task_type, CAST(k AS BIGINT) AS k, CAST(matched AS BIGINT) AS matched, round(er, 6) AS evidence_recall, round(mrr, 6) AS mrr
+  FROM m JOIN (WITH {_SPLIT} SELECT question_id FROM sp WHERE split = 'test') USING (question_id)""")
+def split_of_full_text(spark, sf_dir):
+    rows = evaluated(spark, sf_dir, ["file_fts"], "test", stages.parse_ks("3,1"))
+    return rows.select("question_id", "task_type", F.col("k").cast("long"), F.col("matched").cast("long"), F.round("evidence_recall", 6).alias("evidence_recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query()
+def rule_router(spark, sf_dir):
+    rows = evaluated(spark, sf_dir, ["rule_router"])
+    return rows.select("question_id", "method", "task_type", "k", "matched", F.round("evidence_recall", 6).alias("evidence_recall"), F.round("mrr", 6).alias("mrr"))
