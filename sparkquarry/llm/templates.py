@@ -101,10 +101,36 @@ def _spelled(raw: Column, tokens: Column) -> Column:
     return let(merged(tokens), lambda starts: F.transform(starts, lambda i, j: F.struct(F.get(tokens, i).alias("t"), words(i, end(starts, j)).alias("v"))))
 
 
-def _hashes(tokens: Column) -> Column:
-    """A hash for each merged token; a run of equal names is one name's hash."""
+#: Hashes of the placeholders.
+_HELD = (NUM, UNIT, NAME)
+
+
+def _merged(h: Column) -> Column:
+    """Token hashes with each run of names as one."""
     name = F.xxhash64(F.lit(NAME))
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.filter(h, lambda x, i: (x != name) | (i == 0) | (F.get(h, i - 1) != name)))
+    return F.filter(h, lambda x, i: (x != name) | (i == 0) | (F.get(h, i - 1) != name))
+
+
+def _windows_of(docs: DataFrame, sizes: list[int], as_words: bool) -> DataFrame:
+    """``(doc, pos, window)``: every window of every document, of each of ``sizes`` tokens; with ``as_words`` of its plain words as well.
+
+    The hashes of a document's tokens are exploded, and a window is hashed from its place in them, in generated code.
+    """
+    raw = docs.select(F.xxhash64("doc_id", "text").alias("doc"), raw_words(F.col("text")).alias("raw"))
+    held = [F.xxhash64(F.lit(x)) for x in _HELD]
+    bare = lambda i: F.xxhash64(F.lower(F.btrim(F.get("raw", i), F.lit(_EDGE))))
+    plain_of = lambda t: F.transform(t, lambda h, i: F.when(h.isin(*held), bare(i)).otherwise(h))
+    ways = lambda t: F.array(F.struct(F.lit(False).alias("words"), _merged(t).alias("h")), *([F.struct(F.lit(True).alias("words"), plain_of(t).alias("h"))] if as_words else []))
+    rows = raw.select("doc", F.explode(let(F.transform(canonical(F.col("raw")), lambda t: F.xxhash64(t)), ways)).alias("x")).select("doc", "x.words", "x.h")
+    rows = rows.select("doc", "words", "h", F.posexplode("h").alias("pos", "_"))
+    at = lambda n: [F.get("h", F.col("pos") + k) for k in range(n)]
+    # Never null, so that no filter on it has to hash it once more.
+    one = lambda n: F.when(F.col("words"), F.xxhash64(F.lit(_PLAIN), *at(n))).otherwise(F.xxhash64(*at(n)))
+    fits = lambda n: F.col("pos") + n <= F.size("h")
+    if len(sizes) == 1:
+        return rows.filter(fits(sizes[0])).select("doc", "pos", one(sizes[0]).alias("window"))
+    each = F.array_compact(F.array(*[F.when(fits(n), one(n)) for n in sizes]))
+    return rows.select("doc", "pos", F.explode(each).alias("window"))
 
 
 def windows(hashes: Column, span: int, salt: str | None = None) -> Column:
@@ -135,11 +161,14 @@ def _readings(items: DataFrame, span: int) -> DataFrame:
     split = split.filter(F.size("raw") >= LEAST).withColumn("item_words", F.size("raw"))
     typed = split.select("*", F.lit("typed").alias("reading"), canonical(F.col("raw")).alias("u"))
     inside = split.select("*", F.lit("inside").alias("reading"), _inside(F.col("raw")).alias("u"))
-    both = typed.union(inside).withColumn("own", _spelled(F.col("raw"), F.col("u")))
+    # Written at every step: each is used many times by the next, and would be put into it as often.
+    both = staged(typed.union(inside), "template-readings")
+    both = staged(both.withColumn("own", _spelled(F.col("raw"), F.col("u"))), "template-spelled")
     runs_on = (F.col("reading") == "inside") & (F.get("u", F.lit(0)) == NAME) & (F.get("u", F.lit(1)) == NAME)
     both = both.withColumn("lead", F.when(runs_on, F.btrim(F.get("raw", F.lit(0)), F.lit(_EDGE))))
     shorter = F.transform("own", lambda x, i: F.struct(x["t"].alias("t"), F.when((i == 0) & F.col("lead").isNotNull(), F.substr(x["v"], F.length("lead") + 2)).otherwise(x["v"]).alias("v")))
     both = both.withColumn("own", shorter).withColumn("n", F.least(F.size("own"), F.lit(span)))
+    both = staged(both, "template-led")
     heavy = F.exists(F.sequence(F.lit(0), F.size("own") - F.col("n")), lambda p: _literal(F.slice(F.col("own.t"), p + 1, F.col("n"))) * 2 < F.col("n"))
     unit = F.lower(F.btrim(F.get("raw", F.lit(0)), F.lit(_EDGE))).isin(*UNITS)
     needy = both.filter(heavy | unit | (F.size("own") < LEAST)).dropDuplicates(["item"])
@@ -172,14 +201,7 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
     for part in parts[1:]:
         known = known.union(part)
     known = sized(staged(known, "template-windows"))
-    raw = docs.select(F.xxhash64("doc_id", "text").alias("doc"), raw_words(F.col("text")).alias("raw"))
-    # Every window length in one pass over a document; word by word only if an item asks for it.
-    of = lambda h, salt, ns: [F.transform(windows(h, n, salt), lambda w, i: F.struct(i.alias("pos"), w.alias("window"))) for n in ns]
-    typed, as_words = [n for n, w in sizes if not w], [n for n, w in sizes if w]
-    ours = let(_hashes(canonical(F.col("raw"))), lambda h: F.concat(*of(h, None, typed or [span])))
-    if as_words:
-        ours = F.concat(ours, let(F.transform(plain(F.col("raw")), lambda t: F.xxhash64(t)), lambda h: F.concat(*of(h, _PLAIN, as_words))))
-    found = raw.select("doc", F.explode(ours).alias("x")).select("doc", "x.pos", "x.window").join(known, "window")
+    found = _windows_of(docs, sorted({n for n, _ in sizes}) or [span], any(w for _, w in sizes)).join(known, "window")
     hits = found.select("doc", "template", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n")
     lines = hits.groupBy("doc", "template", "shift").agg(F.collect_set("item_pos").alias("at"), F.min("item_pos").alias("first"), F.max(F.col("item_pos") + F.col("n")).alias("stop"), F.max("n").alias("n"))
     lines = lines.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("n") - 1))))))
@@ -202,7 +224,7 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cover: int = COVE
     # The slots of what is typed; word by word there are none.
     theirs = F.slice("own", F.col("first") + 1, F.col("stop") - F.col("first"))
     pairs = F.zip_with("ours", theirs, lambda d, i: F.struct(d["t"].alias("kind"), i["t"].alias("item_kind"), i["v"].alias("a"), d["v"].alias("b")))
-    slots = cut.withColumn("slots", F.coalesce(F.filter(pairs, lambda p: (p["kind"] == p["item_kind"]) & p["kind"].isin(NUM, UNIT, NAME)), F.array()))
+    slots = staged(cut.withColumn("slots", F.coalesce(F.filter(pairs, lambda p: (p["kind"] == p["item_kind"]) & p["kind"].isin(NUM, UNIT, NAME)), F.array())).drop("ours", "own"), "template-slots")
     distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["kind"].alias("kind"), *[p[n].alias(n) for n in names]))))
     steady = (distinct("a", "b") == distinct("a")) & (distinct("a", "b") == distinct("b"))
     kept = slots.filter(F.col("words") | steady).select(
