@@ -4,8 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns documents (the last one
 tokens).  ``run`` writes each stage's rows as Parquet into the shared folder and reads
 them again for the next.
 
-Defined results: null texts stay null; rows that share a doc_id go together where one of them is a later near duplicate or
-holds a leak; a row without a doc_id is no near duplicate of any; further columns pass through, whatever their names; empty
+Defined results: null texts stay null; rows that share a doc_id go together where one of them is a later near duplicate;
+a row without a doc_id is no near duplicate of any; further columns pass through, whatever their names; empty
 tables give no rows.
 """
 
@@ -62,10 +62,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    found = templates.leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
-    found = sized(staged(found.select(F.col("doc_id").alias("_leak")), "pipeline-leaks"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti").select(docs.columns)
+    """Documents with a passage of the benchmark go; rows are told apart by doc_id and text."""
+    named = lambda: F.struct("doc_id", F.xxhash64("text").alias("row"))
+    found = templates.leaks(docs.select(named().alias("doc_id"), "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
+    found = sized(staged(found.select(F.col("doc_id").alias("_leak")).distinct(), "pipeline-leaks"))
+    name = _free("row_name", docs)
+    rest = docs.withColumn(name, named())
+    return rest.join(found, rest[name].eqNullSafe(found["_leak"]), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
