@@ -38,8 +38,8 @@ _BARE = f"list_transform(w, lambda x: trim(x, {_EDGE}))"
 def _merged(source: str, columns: str, words: str = "w") -> str:
     """Runs of names as one token: tokens ``t`` and their words ``v`` from typed words ``u``."""
     starts = f"list_filter(generate_series(1, len(u)), lambda i: NOT (u[i] = '{templates.NAME}' AND i > 1 AND u[i - 1] = '{templates.NAME}'))"
-    return f"""SELECT {columns}, list_transform(at, lambda i: u[i]) AS t, list_transform(at, lambda i, j: array_to_string(list_transform(list_slice({words}, i, coalesce(at[j + 1], len(u) + 1) - 1), lambda x: trim(x, {_EDGE})), ' ')) AS v
-      FROM (SELECT *, {starts} AS at FROM ({source}))"""
+    return f"""SELECT {columns}, list_transform(places, lambda i: u[i]) AS t, list_transform(places, lambda i, j: array_to_string(list_transform(list_slice({words}, i, coalesce(places[j + 1], len(u) + 1) - 1), lambda x: trim(x, {_EDGE})), ' ')) AS v
+      FROM (SELECT *, {starts} AS places FROM ({source}))"""
 
 
 OP4 = f"""
