@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import bpe, lines, ngram_lm, secrets, shard_tree, simhash, sql, substring, templates, toxicity, winnowing
+from sparkquarry.llm import bpe, lines, ngram_lm, periodic, secrets, shard_tree, simhash, sql, substring, templates, tiles, toxicity, whitening, winnowing
 from sparkquarry.llm.common import load
 
 #: The folder of the public tokenizer files; None asks the package ``public_tokenizers`` for each.
@@ -65,14 +65,27 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(load(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.report(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def queries() -> dict:
     ours = (
         op1_toxicity, op2_winnowing, op3_secret_links, op4_template_leaks, op5_shard_tree,
         op6_kneser_ney, op7_fuzzy_lines, op8_bpe_backtracking, op9_substring_rlz, op10_simhash_ball,
+        op11_periodic_runs, op12_whitening, op13_int8_tiles,
     )
     return {f.__name__: f for f in ours}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Hashes that SQL lacks, learned models and the tokenizer leave these two; the rest is tested against brute force."""
-    return {"op4_template_leaks": sql.OP4, "op9_substring_rlz": sql.OP9}
+    """Hashes that SQL lacks, learned models, eigenvectors and the tokenizer leave these; the rest is tested against brute force."""
+    return {"op4_template_leaks": sql.OP4, "op9_substring_rlz": sql.OP9, "op13_int8_tiles": sql.OP13}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkquarry.llm import substring, templates
+from sparkquarry.llm import substring, templates, tiles
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -69,3 +69,13 @@ steady AS (SELECT * FROM lines WHERE len({_PAIRS.format("{'k': x.kind, 'a': x.a,
 best AS (SELECT *, len(s) AS n_slots, len(list_filter(s, lambda x: x.a <> x.b)) = 0 AS exact FROM steady)
 SELECT doc_id, item_id, CAST(item_words AS INT) AS item_words, CAST(covered AS INT) AS covered, CAST(n_slots AS INT) AS n_slots, exact
 FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY covered DESC, exact DESC, n_slots DESC) = 1"""
+
+OP13 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+near AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {tiles.THRESHOLD}),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT reach.u, near.w FROM reach JOIN near ON reach.w = near.u),
+least AS (SELECT u, min(w) AS c FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM near GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.u LEFT JOIN degree ON vec_id = degree.u"""

@@ -9,5 +9,5 @@ def test_same_as_sql(spark, sf_dir, name):
     compare(spark, sf_dir, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_ten_queries():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+def test_all_queries():
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
