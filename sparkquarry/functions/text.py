@@ -87,6 +87,12 @@ def keywords(text: Column, most: int) -> Column:
     return let(F.filter(normal_tokens(text), is_keyword), ranked)
 
 
+def keyword_set(text: Column, most: int) -> Column:
+    """The keywords of a text in no certain order; counted only where there are more than ``most``."""
+    kept = F.array_distinct(F.filter(normal_tokens(text), is_keyword))
+    return let(kept, lambda k: F.when(F.size(k) <= most, k).otherwise(keywords(text, most)))
+
+
 def query_terms(text: Column, most: int = 18) -> Column:
     """Search terms of a question: keywords, then all other tokens that say something."""
 

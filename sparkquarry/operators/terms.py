@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,9 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names, so that lineage ends and survives lost executors."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    """Write into the folder that the cluster names and read again, so that lineage ends and survives lost executors.
+
+    What is read has the size of its files; a checkpoint would keep the estimate of its plan, which
+    multiplies at every join and over the levels of a search outgrows any number.
+    """
+    path = f"{shared_dir(frame.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def document_keywords(rows: DataFrame, text: Column, most: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkquarry.functions import text as tx
 from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples, store
 from sparkquarry.operators.terms import shared_dir
-from sparkquarry.plans import agent
+from sparkquarry.plans import agent, graph_sql
 from sparkquarry.sources import corpus as src
 from sparkquarry.streaming import scoring
 
@@ -219,12 +219,19 @@ def fts_index_counts(spark, sf_dir):
     return counts.join(stats).select("postings", "chunks", "mean_tokens", "documents")  # one row each
 
 
-_BM25 = f"""{_FIELDS}, {_QUESTIONS}, size AS (SELECT doc_id, chunk_no, len(t) + len(b) + len(e) + len(m) AS l FROM fields), st AS (SELECT count(*) AS n, avg(l) AS mean FROM size),
-  df AS (SELECT term, count(*) AS df FROM post GROUP BY term), asked AS (SELECT question_id, unnest({_terms_sql('question', 18)}) AS term FROM questions),
-  part AS (SELECT question_id, doc_id, chunk_no, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l / mean)) AS s
-    FROM asked JOIN post USING (term) JOIN df USING (term) JOIN size USING (doc_id, chunk_no) CROSS JOIN st),
-  bm AS (SELECT question_id, doc_id, chunk_no, -sum(s) AS bm25 FROM part GROUP BY ALL),
-  hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9), doc_id, chunk_no) AS chunk_rank FROM bm)"""
+_SIZES = "size AS (SELECT doc_id, chunk_no, len(t) + len(b) + len(e) + len(m) AS l FROM fields), st AS (SELECT count(*) AS n, avg(l) AS mean FROM size), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
+
+
+def _bm25_sql(asked: str, p: str = "") -> str:
+    """Ranked chunks ``{p}hits`` of the questions in ``asked``."""
+    return f"""{p}asked AS (SELECT question_id, unnest({_terms_sql('question', 18)}) AS term FROM {asked}),
+  {p}part AS (SELECT question_id, doc_id, chunk_no, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l / mean)) AS s
+    FROM {p}asked JOIN post USING (term) JOIN df USING (term) JOIN size USING (doc_id, chunk_no) CROSS JOIN st),
+  {p}bm AS (SELECT question_id, doc_id, chunk_no, -sum(s) AS bm25 FROM {p}part GROUP BY ALL),
+  {p}hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9), doc_id, chunk_no) AS chunk_rank FROM {p}bm)"""
+
+
+_BM25 = f"{_FIELDS}, {_QUESTIONS}, {_SIZES}, {_bm25_sql('questions')}"
 
 
 @query(f"WITH {_BM25} SELECT question_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, round(bm25, 6) AS bm25, CAST(chunk_rank AS BIGINT) AS chunk_rank FROM hits WHERE chunk_rank <= 400")
@@ -233,17 +240,22 @@ def fts_bm25_hits(spark, sf_dir):
     return hits.select("question_id", "doc_id", F.col("chunk_no").cast("long"), F.round("bm25", 6).alias("bm25"), F.col("chunk_rank").cast("long"))
 
 
-_FTS = f"""{_BM25}, best AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY chunk_rank) AS n FROM hits WHERE chunk_rank <= 400),
-  ds AS (SELECT question_id, doc_id, max(1 / log2(chunk_rank + 1.0)) + 0.20 * sum(CASE WHEN n > 1 THEN 1 / log2(chunk_rank + 1.0) ELSE 0 END) AS base FROM best WHERE n <= 3 GROUP BY ALL),
-  qf AS (SELECT question_id, {_norm('question')} AS qn, {_terms_sql('question', 18)} AS terms, {_nums('question')} AS qnum,
-    list_filter(list_transform(regexp_extract_all(question, '"([^"]+)"', 1), lambda p: {_norm('p')}), lambda p: p <> '') AS ph FROM questions),
-  dfe AS (SELECT doc_id, title, {_norm('title')} AS tn, {_norm('text')} AS xn, list_distinct({_toks('title')}) AS tt, {_nums("title || '. ' || text")} AS dnum FROM corpus),
-  ex0 AS (SELECT question_id, doc_id, tn <> '' AND contains(qn, tn) AS tm, len(list_intersect(tt, terms)) / greatest(len(tt), 1) AS ov, len(list_filter(ph, lambda p: contains(tn, p))) AS et,
-    len(list_filter(ph, lambda p: contains(xn, p))) AS pt, len(list_intersect(qnum, dnum)) AS nm FROM qf CROSS JOIN dfe),
-  ex AS (SELECT * FROM ex0 WHERE tm OR et > 0 OR pt > 0 OR nm > 0 OR ov >= 0.5),
-  sc AS (SELECT question_id, doc_id, coalesce(base, 0) + CASE WHEN tm THEN 0.30 ELSE 0 END + 0.20 * coalesce(ov, 0) + 0.75 * coalesce(et, 0) + 0.20 * coalesce(pt, 0) + 0.10 * coalesce(nm, 0) AS score
-    FROM ds FULL JOIN ex USING (question_id, doc_id)),
-  rk AS (SELECT question_id, doc_id, title, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, title, doc_id) AS rank FROM sc JOIN corpus USING (doc_id))"""
+def _fts_sql(asked: str, p: str = "") -> str:
+    """Ranked documents ``{p}rk``, behind ``_bm25_sql``."""
+    return f"""{p}best AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY chunk_rank) AS n FROM {p}hits WHERE chunk_rank <= 400),
+  {p}ds AS (SELECT question_id, doc_id, max(1 / log2(chunk_rank + 1.0)) + 0.20 * sum(CASE WHEN n > 1 THEN 1 / log2(chunk_rank + 1.0) ELSE 0 END) AS base FROM {p}best WHERE n <= 3 GROUP BY ALL),
+  {p}qf AS (SELECT question_id, {_norm('question')} AS qn, {_terms_sql('question', 18)} AS terms, {_nums('question')} AS qnum,
+    list_filter(list_transform(regexp_extract_all(question, '"([^"]+)"', 1), lambda p: {_norm('p')}), lambda p: p <> '') AS ph FROM {asked}),
+  {p}dfe AS (SELECT doc_id, title, {_norm('title')} AS tn, {_norm('text')} AS xn, list_distinct({_toks('title')}) AS tt, {_nums("title || '. ' || text")} AS dnum FROM corpus),
+  {p}ex0 AS (SELECT question_id, doc_id, tn <> '' AND contains(qn, tn) AS tm, len(list_intersect(tt, terms)) / greatest(len(tt), 1) AS ov, len(list_filter(ph, lambda p: contains(tn, p))) AS et,
+    len(list_filter(ph, lambda p: contains(xn, p))) AS pt, len(list_intersect(qnum, dnum)) AS nm FROM {p}qf CROSS JOIN {p}dfe),
+  {p}ex AS (SELECT * FROM {p}ex0 WHERE tm OR et > 0 OR pt > 0 OR nm > 0 OR ov >= 0.5),
+  {p}sc AS (SELECT question_id, doc_id, coalesce(base, 0) + CASE WHEN tm THEN 0.30 ELSE 0 END + 0.20 * coalesce(ov, 0) + 0.75 * coalesce(et, 0) + 0.20 * coalesce(pt, 0) + 0.10 * coalesce(nm, 0) AS score
+    FROM {p}ds FULL JOIN {p}ex USING (question_id, doc_id)),
+  {p}rk AS (SELECT question_id, doc_id, title, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, title, doc_id) AS rank FROM {p}sc JOIN corpus USING (doc_id))"""
+
+
+_FTS = f"{_BM25}, {_fts_sql('questions')}"
 
 
 @query(f"WITH {_FTS} SELECT question_id, CAST(rank AS BIGINT) AS rank, doc_id, title, round(score, 6) AS score FROM rk WHERE rank <= 5")
@@ -314,19 +326,42 @@ def graph_title_links(spark, sf_dir):
 
 @query(f"""WITH {_GRAPH}, deg AS (SELECT entity, count(*) AS degree FROM doc_entity GROUP BY entity),
   sent_edges AS (SELECT len(list_distinct(list_filter(list_concat(list_filter({_ents('s')}, lambda e: NOT regexp_full_match(e, '[0-9]+')), {_nums('s')}), lambda e: len(e) >= 3))) AS n FROM sents),
+  sent_rels AS (SELECT list_filter([{_CUES.replace(_toks('text'), _toks('s'))}], lambda c: c IS NOT NULL) AS r FROM sents),
   dn AS (SELECT doc_id, {_norm('title')} AS tn, {_norm('text')} AS xn FROM corpus), tt AS (SELECT tn, min(doc_id) AS target FROM dn WHERE len(tn) >= 4 GROUP BY tn),
   ln AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tt.tn) AS k FROM dn JOIN tt ON contains(xn, tt.tn) AND target <> doc_id)
+  SELECT *, document_entity_edges + sentence_entity_edges + sentences + title_links + relation_sentence_edges AS edges, round(document_entity_edges / documents, 6) AS mean_document_entities FROM (
   SELECT (SELECT count(*) FROM corpus) AS documents, (SELECT count(*) FROM sents) AS sentences, (SELECT CAST(sum(n) AS BIGINT) FROM sent_edges) AS sentence_entity_edges, (SELECT count(*) FROM deg) AS entities,
   (SELECT CAST(sum(degree) AS BIGINT) FROM deg) AS document_entity_edges, (SELECT max(degree) FROM deg) AS max_entity_degree, (SELECT round(avg(degree), 6) FROM deg) AS mean_entity_degree,
-  (SELECT count(*) FROM ln WHERE k <= 6) AS title_links, (SELECT count(DISTINCT doc_id) FROM ln) AS documents_with_links""")
+  (SELECT count(*) FROM ln WHERE k <= 6) AS title_links, (SELECT count(DISTINCT doc_id) FROM ln) AS documents_with_links, 13 AS relations, (SELECT CAST(sum(len(r)) AS BIGINT) FROM sent_rels) AS relation_sentence_edges)""")
 def graph_statistics(spark, sf_dir):
-    return graph.graph_stats(_graph_index(spark, sf_dir)).withColumn("mean_entity_degree", F.round("mean_entity_degree", 6))
+    means = {c: F.round(c, 6) for c in ("mean_entity_degree", "mean_document_entities")}
+    return graph.graph_stats(_graph_index(spark, sf_dir)).withColumns(means)
 
 
-@query()
+_GRAPH_INDEX = graph_sql.index(_CORPUS, _norm, _toks, _nums, _ents, _kws, _STOP)
+_GRAPH_SEARCH = f"{_GRAPH_INDEX}, {_QUESTIONS}, {graph_sql.search('questions', 'g_', _norm, _nums, _ents, _kws, _toks)}"
+
+
+@query(f"""WITH {_GRAPH_SEARCH} SELECT question_id, CAST(rank AS BIGINT) AS rank, doc_id, title, round(r.score, 6) AS score, n_tokens AS tokens_read, CASE tier WHEN 0 THEN 'graph_path' ELSE 'query_graph_fallback' END AS source,
+  CAST(pr AS BIGINT) AS path_rank, array_to_string(nodes, ' > ') AS path, array_to_string(sup, ' > ') AS support, array_to_string(docs, '|') AS path_docs, array_to_string(es, '|') AS entities, array_to_string(rs, '|') AS relations
+  FROM g_r r LEFT JOIN g_v v USING (question_id, pr)""")
 def graph_search(spark, sf_dir):
-    rows = graph.search(src.benchmark_as_questions(spark, sf_dir), _graph_index(spark, sf_dir))
-    return rows.withColumn("score", F.round("score", 6))
+    """Documents with the best path to each: its nodes, the kinds of its edges, and what lies on it."""
+    rows = graph.explained(src.benchmark_as_questions(spark, sf_dir), _graph_index(spark, sf_dir))
+    return rows.select(
+        "question_id", F.col("rank").cast("long"), "doc_id", "title", F.round("score", 6).alias("score"), "tokens_read", "source", F.col("path_rank").cast("long"), F.array_join("nodes", " > ").alias("path"),
+        F.array_join(F.col("support.edge"), " > ").alias("support"), *[F.array_join(c, "|").alias(c) for c in ("path_docs", "entities", "relations")],
+    )
+
+
+@query(f"""WITH {_GRAPH_SEARCH}, n AS (SELECT question_id, pr, unnest(nodes) AS node, generate_subscripts(nodes, 1) - 1 AS step FROM g_v),
+  e AS (SELECT question_id, pr, step, regexp_extract(node, '^sent::(.*)::', 1) AS sent_doc, CAST(regexp_extract(node, '::([0-9]+)$', 1) AS INT) AS sent_id FROM n WHERE starts_with(node, 'sent::'))
+  SELECT question_id, CAST(pr AS BIGINT) AS path_rank, CAST(step AS INT) AS step, sent_doc, CAST(e.sent_id AS INT) AS sent_id, md5(s) AS sentence FROM e JOIN gs ON gs.doc_id = sent_doc AND gs.sent_id = e.sent_id""")
+def graph_evidence(spark, sf_dir):
+    """The sentences on all of the best paths."""
+    index = _graph_index(spark, sf_dir)
+    rows = graph.evidence(graph.paths(src.benchmark_as_questions(spark, sf_dir), index), index)
+    return rows.select("question_id", F.col("path_rank").cast("long"), "step", "sent_doc", "sent_id", F.md5("sentence").alias("sentence"))
 
 
 # ---- routing, judging, agent ----------------------------------------------------------------------------------------
@@ -355,14 +390,19 @@ _BRIDGE_SQL = " + ".join(f"CAST(regexp_matches(lower(question), '{p}') AS INT)"
 _TITLE_SQL = r"""regexp_matches(question, '(?i)\bfind the document titled\s+"[^"]+"|\bdocument titled\s+"[^"]+"|\b(?:file|document|article|entry) (?:named|called|titled)\s+"[^"]+"')"""
 
 
-@query(f"""WITH {_ASKED}, s AS (SELECT *, regexp_extract_all(lower(question), '[a-z0-9]+') AS tok, len({_ents('question')}) AS ne, len({_nums('question')}) AS nn,
-    len(list_filter(list_transform(regexp_extract_all(question, '"([^"]+)"', 1), lambda p: trim(p)), lambda p: p <> '')) AS np, {_TITLE_SQL} AS et, contains(lower(question), 'evidence for this claim') AS cl, {_BRIDGE_SQL} AS br FROM asked),
-  f AS (SELECT *, {_has(routing.FILE_CUES)} AS fc, {_has(routing.LOOKUP_CUES)} AS lc, {_has(routing.WEAK_CUES)} AS wc,
-    len(list_intersect(list_distinct(tok), [{', '.join(repr(w) for w in routing.GRAPH_CUES)}])) AS gc FROM s),
-  g AS (SELECT *, round(5.0 * et::INT + 2.2 * (np > 0)::INT + 2.0 * fc::INT + 1.5 * lc::INT + 1.3 * (nn > 0 AND (fc OR lc OR wc))::INT + 0.8 * (wc AND (fc OR lc))::INT, 6)::DOUBLE AS file_score,
-    round(CASE WHEN cl THEN 0 ELSE CASE WHEN ne >= 2 THEN 1.6 WHEN ne = 1 THEN 0.6 ELSE 0 END + least(2.4, 0.8 * gc) + least(2.4, 1.2 * br) END, 6)::DOUBLE AS graph_score FROM f)
-  SELECT question_id, file_score, graph_score, CASE WHEN cl AND file_score < 4 THEN 'dense' WHEN file_score >= 4 AND file_score >= graph_score THEN 'file_fts' WHEN graph_score >= 3 THEN 'graph_path'
-    WHEN file_score >= 3 THEN 'file_fts' ELSE 'dense' END AS tool FROM g""")
+def _route_sql(asked: str, p: str = "") -> str:
+    """Questions with routing signals and tool, ``{p}routed``."""
+    return f"""{p}rs AS (SELECT *, regexp_extract_all(lower(question), '[a-z0-9]+') AS tok, len({_ents('question')}) AS ne, len({_nums('question')}) AS nn,
+    len(list_filter(list_transform(regexp_extract_all(question, '"([^"]+)"', 1), lambda p: trim(p)), lambda p: p <> '')) AS np, {_TITLE_SQL} AS et, contains(lower(question), 'evidence for this claim') AS cl, {_BRIDGE_SQL} AS br FROM {asked}),
+  {p}rf AS (SELECT *, {_has(routing.FILE_CUES)} AS fc, {_has(routing.LOOKUP_CUES)} AS lc, {_has(routing.WEAK_CUES)} AS wc,
+    len(list_intersect(list_distinct(tok), [{', '.join(repr(w) for w in routing.GRAPH_CUES)}])) AS gc FROM {p}rs),
+  {p}rg AS (SELECT *, round(5.0 * et::INT + 2.2 * (np > 0)::INT + 2.0 * fc::INT + 1.5 * lc::INT + 1.3 * (nn > 0 AND (fc OR lc OR wc))::INT + 0.8 * (wc AND (fc OR lc))::INT, 6)::DOUBLE AS file_score,
+    round(CASE WHEN cl THEN 0 ELSE CASE WHEN ne >= 2 THEN 1.6 WHEN ne = 1 THEN 0.6 ELSE 0 END + least(2.4, 0.8 * gc) + least(2.4, 1.2 * br) END, 6)::DOUBLE AS graph_score FROM {p}rf),
+  {p}routed AS MATERIALIZED (SELECT *, CASE WHEN cl AND file_score < 4 THEN 'dense' WHEN file_score >= 4 AND file_score >= graph_score THEN 'file_fts' WHEN graph_score >= 3 THEN 'graph_path'
+    WHEN file_score >= 3 THEN 'file_fts' ELSE 'dense' END AS tool FROM {p}rg)"""
+
+
+@query(f"WITH {_ASKED}, {_route_sql('asked')} SELECT question_id, file_score, graph_score, tool FROM routed")
 def route_questions(spark, sf_dir):
     return routing.route(_template_questions(spark, sf_dir)).select("question_id", "file_score", "graph_score", "tool")
 
@@ -371,20 +411,99 @@ def _lookup_questions(spark, sf_dir) -> DataFrame:
     return src.benchmark_as_questions(spark, sf_dir).select("question_id", "question")
 
 
-@query()
+def _judge_sql(routed: str, first: str, p: str = "") -> str:
+    """Verdicts ``{p}judged`` on the first lists ``first(question_id, rank, title, score)`` of routed questions."""
+    covered = "contains(t_norm, e) OR (len(list_filter(string_split(e, ' '), lambda w: len(w) > 2)) > 0 AND len(list_filter(string_split(e, ' '), lambda w: len(w) > 2 AND NOT contains(t_norm, w))) = 0)"
+    rule = lambda when, tool, confidence, protect: (when, tool, confidence, protect)
+    one = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
+    tables = {
+        "dense": ("graph_path", [
+            rule("semantic AND NOT file_need AND NOT graph_need", None, "CASE WHEN confident THEN 0.84 ELSE 0.74 END", "1"),
+            rule("file_need", "file_fts", "0.76", one("confident")),
+            rule("graph_need", "graph_path", "CASE WHEN graph_score >= 3 OR br > 0 THEN 0.84 ELSE 0.74 END", one("confident OR coverage > 0")),
+            rule("file_score >= 3.5", "file_fts", "0.68", one("confident")),
+            rule("true", None, "CASE WHEN confident THEN 0.72 ELSE 0.62 END", one("confident")),
+        ]),
+        "file_fts": ("dense", [
+            rule("file_score >= 4 AND anchor AND NOT graph_need", None, "0.90", "1"), rule("graph_need", "graph_path", "0.78", one("anchor OR coverage > 0")),
+            rule("file_score >= 3.5 AND anchor", None, "0.82", "1"), rule("true", "dense", "0.66", one("anchor")),
+        ]),
+        "graph_path": ("dense", [
+            rule("file_need", "file_fts", "0.78", one("coverage > 0")), rule("graph_score >= 3 AND (coverage >= 0.5 OR ne <= 1 OR overlap >= 2)", None, "0.82", "1"),
+            rule("true", "dense", "0.68", one("graph_score >= 2.4")),
+        ]),
+    }
+    every = [(f"tool = '{tool}' AND ({when})", nxt, confidence, protect) for tool, (other, rules) in tables.items() for when, nxt, confidence, protect in [rule("lacking", other, "0.95", "0"), *rules]]
+    pick = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN {('NULL' if r[k] is None else repr(r[k])) if k == 1 else r[k]}" for r in every) + " END"
+    return f"""{p}top AS (SELECT question_id, list(title ORDER BY rank) AS titles, list(score ORDER BY rank) AS scores FROM {first} WHERE rank <= 5 GROUP BY question_id),
+  {p}j0 AS (SELECT r.*, titles IS NULL AS lacking, coalesce(titles, []) AS titles, coalesce(scores[1], 0) AS s1, coalesce(scores[1], 0) - coalesce(scores[2], 0) AS gap, array_to_string(coalesce(titles, []), ' ') AS joined,
+    {_kws('question', 12)} AS q_words, {_ents('question')} AS e_list, {_nums('question')} AS n_list, list_filter(list_transform(regexp_extract_all(question, '"([^"]+)"', 1), lambda x: {_norm('x')}), lambda x: x <> '') AS anchors FROM {routed} r LEFT JOIN {p}top USING (question_id)),
+  {p}j1 AS (SELECT *, {_kws('joined', 35)} AS t_words, {_norm('joined')} AS t_norm, list_slice(titles, 1, 3) AS raw3 FROM {p}j0),
+  {p}j2 AS (SELECT *, len(list_intersect(q_words, t_words)) AS overlap, len(list_filter(e_list, lambda e: {covered})) AS covered, list_transform(raw3, lambda x: {_norm('x')}) AS norm3 FROM {p}j1),
+  {p}j3 AS (SELECT *, CASE WHEN len(q_words) > 0 THEN overlap / len(q_words) ELSE 0 END AS ratio, CASE WHEN ne > 0 THEN covered / ne ELSE 0 END AS coverage,
+    len(list_filter(anchors, lambda a: len(list_filter(norm3, lambda t: contains(t, a) OR contains(a, t))) > 0)) > 0 OR len(list_filter(n_list, lambda a: len(list_filter(raw3, lambda t: contains(t, a))) > 0)) > 0 AS anchor, s1 >= 0.72 AND gap >= 0.14 AS confident FROM {p}j2),
+  {p}j4 AS (SELECT *, file_score < 3 AND br = 0 AND graph_score < 3.2 AND s1 >= 0.58 AND (gap >= 0.08 OR overlap >= 2 OR coverage >= 0.5) AND (coverage >= 0.5 OR ratio >= 0.25 OR overlap >= 2) AS semantic,
+    graph_score >= 3 OR ((br > 0 OR gc > 0 OR graph_score >= 2.4) AND ((ne >= 2 AND coverage < 0.67) OR NOT confident OR gap < 0.12)) AS graph_need, file_score >= 4 OR (file_score >= 3.5 AND anchor) AS file_need FROM {p}j3),
+  {p}judged AS MATERIALIZED (SELECT *, {pick(1)} AS next_tool, ({pick(2)})::DOUBLE AS confidence, least({pick(3)}, len(titles)) AS protect FROM {p}j4)"""
+
+
+_FIRST_OF_ALL = f"{_FTS}, {_route_sql('questions')}, {_judge_sql('routed', 'rk')}"
+
+
+@query(f"WITH {_FIRST_OF_ALL} SELECT question_id, tool, next_tool IS NULL AS sufficient, next_tool, confidence, CAST(protect AS INT) AS protect, CAST(overlap AS INT) AS overlap, round(coverage, 6)::DOUBLE AS coverage FROM judged")
 def judge_decisions(spark, sf_dir):
     routed = routing.route(_lookup_questions(spark, sf_dir))
     judged = routing.judge(routed, fts.search(routed, _fts_index(spark, sf_dir)))
     return judged.select("question_id", "tool", "sufficient", "next_tool", "confidence", "protect", "overlap", F.round("coverage", 6).alias("coverage"))
 
 
-@query()
+_HASHED = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)"
+
+
+def _vectors_sql(rows: str, key: str, text: str, p: str) -> str:
+    """Unit vectors ``{p}v`` by component and the keys ``{p}k`` that have one."""
+    kept = f"list_filter({_toks(text)}, lambda t: len(t) > 2 AND NOT list_contains({_STOP}, t))"
+    return f"""{p}w AS (SELECT {key} AS k, unnest({kept}) AS w FROM {rows}), {p}c AS (SELECT k, {_HASHED} % {dense.HASHED} AS a, sum(CASE WHEN {_HASHED} & 65536 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {p}w GROUP BY ALL),
+  {p}k AS (SELECT k, sqrt(sum(v * v)) AS n FROM {p}c GROUP BY k), {p}v AS MATERIALIZED (SELECT k, a, v / CASE WHEN n = 0 THEN 1 ELSE n END AS v FROM {p}c JOIN {p}k USING (k))"""
+
+
+def _dense_sql(asked: str, p: str) -> str:
+    """Ranked documents ``{p}r``, over the documents' vectors ``dv_v`` and ``dv_k``."""
+    return f"""{_vectors_sql(asked, 'question_id', 'question', p)},
+  {p}d AS (SELECT q.k AS question_id, d.k AS doc_id, sum(q.v * d.v) AS s FROM {p}v q JOIN dv_v d USING (a) GROUP BY ALL), {p}e AS (SELECT q.k AS question_id, d.k AS doc_id, coalesce(s, 0) AS score FROM {p}k q CROSS JOIN dv_k d LEFT JOIN {p}d x ON x.question_id = q.k AND x.doc_id = d.k),
+  {p}r AS (SELECT question_id, doc_id, title, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {p}e JOIN corpus USING (doc_id))"""
+
+
+def _tools_sql(asked: str, tool: str, p: str) -> str:
+    """Every question of ``asked`` through the retriever that its column ``tool`` names: ``{p}found``, five documents each."""
+    of = lambda name: f"(SELECT question_id, question FROM {asked} WHERE {tool} = '{name}')"
+    pick = lambda rows: f"SELECT question_id, CAST(doc_id AS VARCHAR) AS doc_id, title, score::DOUBLE AS score, rank FROM {rows} WHERE rank <= 5"
+    return f"""{_bm25_sql(of('file_fts'), f'{p}f_')}, {_fts_sql(of('file_fts'), f'{p}f_')}, {graph_sql.search(of('graph_path'), f'{p}g_', _norm, _nums, _ents, _kws, _toks)}, {_dense_sql(of('dense'), f'{p}d_')},
+  {p}found AS MATERIALIZED ({pick(f'{p}f_rk')} UNION ALL {pick(f'{p}g_r')} UNION ALL {pick(f'{p}d_r')})"""
+
+
+def _without_corpus(ctes: str) -> str:
+    return ctes.removeprefix(_CORPUS).lstrip(", ")
+
+
+_ALL_INDEXES = f"""{_FIELDS}, {_SIZES}, {_without_corpus(_GRAPH_INDEX)}, dt AS (SELECT doc_id, trim(title || '. ' || text, ' ') AS body FROM corpus), {_vectors_sql('dt', 'doc_id', 'body', 'dv_')}"""
+_ROUTED = f"{_ALL_INDEXES}, {_QUESTIONS}, {_route_sql('questions')}, {_tools_sql('routed', 'tool', 'a_')}"
+_AGENT = f"""{_ROUTED}, {_judge_sql('routed', 'a_found')}, again AS (SELECT question_id, next_tool, CASE WHEN next_tool = 'graph_path' THEN array_to_string(list_concat([question], list_slice(titles, 1, 2)), ' ') ELSE question END AS question FROM judged WHERE next_tool IS NOT NULL),
+  {_tools_sql('again', 'next_tool', 'b_')},
+  weights AS (SELECT question_id, protect, CASE WHEN tool = 'file_fts' AND anchor THEN 1.20 WHEN tool = 'dense' AND confident THEN 1.10 ELSE 1.0 END AS w1, CASE WHEN next_tool = 'graph_path' AND graph_need THEN 1.35 WHEN next_tool = 'file_fts' AND file_need THEN 1.25 ELSE 1.0 END AS w2 FROM judged WHERE next_tool IS NOT NULL),
+  two AS (SELECT question_id, doc_id, title, rank, 0 AS turn FROM a_found UNION ALL SELECT question_id, doc_id, title, rank, 1 FROM b_found),
+  mg AS (SELECT question_id, doc_id, sum(CASE WHEN turn = 0 THEN w1 ELSE w2 END / (60 + rank))::DOUBLE AS score, arg_min(title, turn) AS title, min(CASE WHEN turn = 0 THEN rank END) AS fr, any_value(protect) AS pr FROM two JOIN weights USING (question_id) GROUP BY ALL),
+  mr AS (SELECT question_id, doc_id, title, score, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN fr <= pr THEN 0 ELSE 1 END, CASE WHEN fr <= pr THEN fr ELSE 0 END, round(score, 12) DESC, title, doc_id) AS rank FROM mg),
+  fin AS (SELECT question_id, rank, doc_id, title, score FROM mr WHERE rank <= 5 UNION ALL SELECT question_id, rank, doc_id, title, score FROM a_found WHERE question_id NOT IN (SELECT question_id FROM weights))"""
+
+
+@query(f"""WITH {_AGENT} SELECT question_id, CAST(rank AS BIGINT) AS rank, doc_id, title, round(score, 6) AS score, tool AS first_tool, next_tool AS second_tool, CASE WHEN next_tool IS NULL THEN 1 ELSE 2 END AS tool_calls FROM fin JOIN judged USING (question_id)""")
 def agent_predictions(spark, sf_dir):
     words, built = _fts_index(spark, sf_dir), _graph_index(spark, sf_dir)
     as_text = lambda rows: rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     tools = {"file_fts": lambda q: as_text(fts.search(q, words)), "graph_path": lambda q: graph.search(q, built),
              "dense": lambda q: as_text(dense.search(q, _dense_index(spark, sf_dir), words.docs))}
-    return agent.run(_lookup_questions(spark, sf_dir), tools).withColumn("score", F.round("score", 9))
+    return agent.run(_lookup_questions(spark, sf_dir), tools).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 # ---- fusion and evaluation over a log of ranked lists ---------------------------------------------------------------

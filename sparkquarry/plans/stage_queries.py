@@ -12,7 +12,7 @@ from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, q
 from sparkquarry.operators.terms import shared_dir
 from sparkquarry.plans import agent
 from sparkquarry.plans.registry import (
-    _CORPUS, _EVAL, _EVAL_FTS, _LOG, _QUESTIONS, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
+    _CORPUS, _EVAL, _EVAL_FTS, _LOG, _QUESTIONS, _ROUTED, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
 )
 from sparkquarry.sources import corpus as src
 
@@ -353,7 +353,10 @@ def split_of_full_text(spark, sf_dir):
     return rows.select("question_id", "task_type", F.col("k").cast("long"), F.col("matched").cast("long"), F.round("evidence_recall", 6).alias("evidence_recall"), F.round("mrr", 6).alias("mrr"))
 
 
-@query()
+@query(f"""WITH {_ROUTED}, g AS (SELECT question_id, CAST(doc_id AS VARCHAR) AS doc_id FROM questions q JOIN documents d ON contains(d.text, q.question)), gc AS (SELECT question_id, count(*) AS n FROM g GROUP BY ALL),
+  e AS (SELECT q.question_id, q.task_type, k, coalesce(gc.n, 0) AS gold_count, count(g.doc_id) AS matched, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS first
+    FROM questions q JOIN a_found f ON f.question_id = q.question_id CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) LEFT JOIN gc ON gc.question_id = q.question_id LEFT JOIN g ON g.question_id = q.question_id AND g.doc_id = f.doc_id WHERE rank <= k GROUP BY ALL)
+  SELECT question_id, 'rule_router' AS method, task_type, CAST(k AS BIGINT) AS k, CAST(matched AS BIGINT) AS matched, round(CASE WHEN gold_count > 0 THEN matched / gold_count ELSE 0 END, 6) AS evidence_recall, round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS mrr FROM e""")
 def rule_router(spark, sf_dir):
     rows = evaluated(spark, sf_dir, ["rule_router"])
-    return rows.select("question_id", "method", "task_type", "k", "matched", F.round("evidence_recall", 6).alias("evidence_recall"), F.round("mrr", 6).alias("mrr"))
+    return rows.select("question_id", "method", "task_type", F.col("k").cast("long"), F.col("matched").cast("long"), F.round("evidence_recall", 6).alias("evidence_recall"), F.round("mrr", 6).alias("mrr"))
