@@ -3,14 +3,15 @@
 Strong kinds stand on their own: ``assign`` (a secret-like name with a value), ``access``
 (an access key identifier) and ``hex`` (a long hexadecimal run).  Weak parts say little
 alone: an ``id`` (a user, client or account name given a value, or a mail address), a
-``secret`` (a long mixed-case token with digits), an ``endpoint`` (a URL or an address
-with a port).  Parts become intervals widened by a scope of characters and are joined
+``secret`` (a long mixed-case token with digits, or what stands behind a user's name in a URL), an ``endpoint`` (a URL or
+an address with a port).  Parts become intervals widened by a scope of characters and are joined
 where intervals overlap, by searches in the sorted ends of a document's parts (the join never leaves
 the document, so it needs no shuffle).  A weak id is reported only with a secret part in its scope, a
 weak secret only with an identifier, an endpoint only with one of each.  Access keys count
 as identifiers, assignments and hexadecimal runs as secrets.  No part stands for another: what
-completes a part lies outside of it, an endpoint's two lie outside of each other, and of
-weak parts that overlap only the first counts (endpoints before ids before secrets, then by place).
+completes an id or a secret lies outside of it, and of ids and secrets that overlap only the first counts (ids before
+secrets, then by place).  An endpoint may hold its own two parts, which lie outside of each other; what lies in an endpoint
+is reported beside it.
 
 Texts are scanned whole, as UTF-8 bytes; positions are code points, ends exclusive.
 
@@ -23,6 +24,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +49,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 NAMED = re.compile(rb"""\b(?:user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.IGNORECASE)
 MAIL = re.compile(rb"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LONG = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+LOGIN = re.compile(rb"://([^\s:/@\"'<>]{2,}):([^\s/@\"'<>]{6,})@")
 ENDPOINT = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b")
 
 
@@ -67,7 +71,10 @@ def find_parts(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     if assigns:
         weak += [(*m.span(), "id") for m in NAMED.finditer(text)]
     if b"@" in text:
-        weak += [(*m.span(), "id") for m in MAIL.finditer(text)]
+        logins = list(LOGIN.finditer(text)) if assigns else []
+        weak += [(*m.span(1), "id") for m in logins] + [(*m.span(2), "secret") for m in logins]
+        taken = [m.span(2) for m in logins]  # what stands before the @ is no mail address there
+        weak += [(*m.span(), "id") for m in MAIL.finditer(text) if not any(a < m.end() and m.start() < b for a, b in _around(taken, m.start(), m.end()))]
     if weak or any(k == "access" for _, _, k in base):  # without an identifier nothing weak is reported
         weak += [(*m.span(), "secret") for m in LONG.finditer(text) if _mixed(m[0])]
         if assigns:
@@ -75,6 +82,12 @@ def find_parts(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     return base, weak
 
 
+def _around(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Of spans that ascend and do not overlap those that may meet ``[a, b)``."""
+    at = bisect_left(spans, (a, a))
+    return spans[max(0, at - 1) : bisect_left(spans, (b, b)) + 1]
+
+
 def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """The weak parts that have complementary parts within ``scope``.
 
@@ -93,7 +106,8 @@ def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], s
         at = bisect_left(starts, a + 1) - 1
         return at >= 0 and reach[at] >= b
 
-    weak = _apart([p for p in weak if not inside(p[0], p[1])])
+    weak = [p for p in dict.fromkeys(weak) if not inside(p[0], p[1])]
+    weak = sorted([*_apart([p for p in weak if p[2] != "endpoint"]), *(p for p in weak if p[2] == "endpoint")])
     roles = {"assign": "secret", "hex": "secret", "access": "id"}
     by_start: dict[str, list[tuple[int, int]]] = {"id": [], "secret": []}
     for a, b, k in [*base, *weak]:
@@ -109,21 +123,26 @@ def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], s
         before = ends[bisect_left(ends, (a - scope, -1)) : bisect_left(ends, (a + 1, -1))]
         return [*((x, y) for y, x in before), *behind]
 
+    def extent(role: str, a: int, b: int) -> tuple[float, float]:
+        """The least end and the greatest start of the parts that lie in an endpoint or its scope."""
+        own, ends = by_start[role], by_end[role]
+        low = next((y for y, x in islice(ends, bisect_left(ends, (a - scope, -1)), None) if x <= b + scope), inf)
+        high = next((x for x, y in islice(reversed(own), len(own) - bisect_left(own, (b + scope + 1, -1)), None) if y >= a - scope), -inf)
+        return low, high
+
     def complete(p: tuple[int, int, str]) -> bool:
         a, b, kind = p
         if kind != "endpoint":
             return bool(near("secret" if kind == "id" else "id", a, b))
-        ids, secrets = near("id", a, b), near("secret", a, b)
-        if not ids or not secrets:
-            return False
-        return min(y for _, y in ids) <= max(x for x, _ in secrets) or min(y for _, y in secrets) <= max(x for x, _ in ids)
+        (first_id, last_id), (first_secret, last_secret) = extent("id", a, b), extent("secret", a, b)
+        return first_id <= last_secret or first_secret <= last_id
 
     return [p for p in weak if complete(p)]
 
 
 def _apart(weak: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Without weak parts that overlap a preferred one."""
-    order = {"endpoint": 0, "id": 1, "secret": 2}
+    order = {"id": 0, "secret": 1}
     kept: list[tuple[int, int]] = []
     out = []
     for p in sorted(dict.fromkeys(weak), key=lambda p: (order[p[2]], p[0], -p[1])):

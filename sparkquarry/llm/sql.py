@@ -50,9 +50,7 @@ led AS (SELECT * REPLACE (CASE WHEN runs THEN list_prepend(substr(v[1], len(trim
   FROM (SELECT *, reading = 1 AND v[1] <> trim(w[1], {_EDGE}) AS runs FROM ri)),
 spans AS (SELECT *, least(len(t), {templates.SPAN}) AS n FROM led),
 typed AS (SELECT * FROM spans WHERE len(t) >= {templates.LEAST}),
-needy AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, w, n, t, unnest(generate_series(1, len(t) - n + 1)) AS p FROM spans)
-  WHERE len(t) < {templates.LEAST} OR len(list_filter(list_slice(t, p, p + n - 1), lambda x: NOT list_contains({_HELD}, x))) * 2 < n OR list_contains({_UNITS}, lower(trim(w[1], {_EDGE})))),
-items AS (SELECT item_id, w, reading, lead, t, v, n FROM typed UNION ALL SELECT item_id, w, 2, NULL, list_transform({_BARE}, lambda x: lower(x)), {_BARE}, least(len(w), {templates.SPAN}) FROM needy),
+items AS (SELECT item_id, w, reading, lead, t, v, n FROM typed UNION ALL SELECT item_id, w, 2, NULL, list_transform({_BARE}, lambda x: lower(x)), {_BARE}, least(len(w), {templates.SPAN}) FROM (SELECT DISTINCT item_id, w FROM bi)),
 bd AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 dd AS ({_merged(f"SELECT doc_id, w, {_tokens('w')} AS u FROM bd", "doc_id, false AS plain")} UNION ALL SELECT doc_id, true, list_transform({_BARE}, lambda x: lower(x)), {_BARE} FROM bd),
 wi AS (SELECT item_id, reading, reading = 2 AS plain, n, p, array_to_string(list_slice(t, p, p + n - 1), ' ') AS win, len(list_filter(list_slice(t, p, p + n - 1), lambda x: NOT list_contains({_HELD}, x))) AS lit

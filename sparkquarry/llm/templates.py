@@ -8,11 +8,11 @@ alignment counts if enough of the item is covered and its slots are consistent:
 a value of the item always stands against the same value of the document and the other
 way round.  So a question with other numbers or names is caught, a chance frame is not.
 
-An item is read in up to three ways: as it stands; with its first word inside a sentence, where a
+An item is read in three ways: as it stands; with its first word inside a sentence, where a
 capital makes it a name, as a copy behind a comma, a mark or a heading has it (where it runs into another name, as
 "If Tom" does, it has to be the same word in the document and is no part of the slot); and word by word, without
-placeholders, for items of which some window has fewer than half literal words or all has fewer than ``LEAST`` tokens (such
-are found in too many texts, so they count only where the words are the same) or that begin with a unit.
+placeholders.  The last finds every copy, whatever stands around it: a name beside an item's first or last one would otherwise
+be one with it, and windows of which fewer than half the words are literal count only where the words are the same.
 
 Items that read alike but for the values of their slots are one template, joined once; its items part where
 the slots are compared.  The benchmark's windows are broadcast if there are few (``common.sized``); beyond that
@@ -122,15 +122,17 @@ def _windows_of(docs: DataFrame, sizes: list[int], as_words: bool) -> DataFrame:
     plain_of = lambda t: F.transform(t, lambda h, i: F.when(h.isin(*held), bare(i)).otherwise(h))
     ways = lambda t: F.array(F.struct(F.lit(False).alias("words"), _merged(t).alias("h")), *([F.struct(F.lit(True).alias("words"), plain_of(t).alias("h"))] if as_words else []))
     rows = raw.select("doc", F.explode(let(F.transform(canonical(F.col("raw")), lambda t: F.xxhash64(t)), ways)).alias("x")).select("doc", "x.words", "x.h")
-    rows = rows.select("doc", "words", "h", F.posexplode("h").alias("pos", "_"))
+    # One explode for all sizes: the rows of a second one would each hold the whole array while they wait.
+    k = len(sizes)
+    rows = rows.filter(F.size("h") > 0).select("doc", "words", "h", F.explode(F.sequence(F.lit(0), F.size("h") * k - 1)).alias("i"))
+    rows = rows.withColumn("pos", F.expr(f"cast(i div {k} as int)"))
     at = lambda n: [F.get("h", F.col("pos") + k) for k in range(n)]
     # Never null, so that no filter on it has to hash it once more.
     one = lambda n: F.when(F.col("words"), F.xxhash64(F.lit(_PLAIN), *at(n))).otherwise(F.xxhash64(*at(n)))
-    fits = lambda n: F.col("pos") + n <= F.size("h")
-    if len(sizes) == 1:
-        return rows.filter(fits(sizes[0])).select("doc", "pos", one(sizes[0]).alias("window"))
-    each = F.array_compact(F.array(*[F.when(fits(n), one(n)) for n in sizes]))
-    return rows.select("doc", "pos", F.explode(each).alias("window"))
+    window, size = one(sizes[0]), F.lit(sizes[0])
+    for j, n in enumerate(sizes[1:], 1):
+        window, size = F.when(F.col("i") % k == j, one(n)).otherwise(window), F.when(F.col("i") % k == j, n).otherwise(size)
+    return rows.filter(F.col("pos") + size <= F.size("h")).select("doc", "pos", window.alias("window"))
 
 
 def windows(hashes: Column, span: int, salt: str | None = None) -> Column:
@@ -169,10 +171,7 @@ def _readings(items: DataFrame, span: int) -> DataFrame:
     shorter = F.transform("own", lambda x, i: F.struct(x["t"].alias("t"), F.when((i == 0) & F.col("lead").isNotNull(), F.substr(x["v"], F.length("lead") + 2)).otherwise(x["v"]).alias("v")))
     both = both.withColumn("own", shorter).withColumn("n", F.least(F.size("own"), F.lit(span)))
     both = staged(both, "template-led")
-    heavy = F.exists(F.sequence(F.lit(0), F.size("own") - F.col("n")), lambda p: _literal(F.slice(F.col("own.t"), p + 1, F.col("n"))) * 2 < F.col("n"))
-    unit = F.lower(F.btrim(F.get("raw", F.lit(0)), F.lit(_EDGE))).isin(*UNITS)
-    needy = both.filter(heavy | unit | (F.size("own") < LEAST)).dropDuplicates(["item"])
-    as_words = needy.withColumn("own", F.transform("raw", lambda w: F.struct(F.lower(F.btrim(w, F.lit(_EDGE))).alias("t"), F.btrim(w, F.lit(_EDGE)).alias("v"))))
+    as_words = both.dropDuplicates(["item"]).withColumn("own", F.transform("raw", lambda w: F.struct(F.lower(F.btrim(w, F.lit(_EDGE))).alias("t"), F.btrim(w, F.lit(_EDGE)).alias("v"))))
     as_words = as_words.withColumn("reading", F.lit(_PLAIN)).withColumn("n", F.least(F.size("own"), F.lit(span)))
     both = both.filter(F.size("own") >= LEAST)  # fewer tokens are found everywhere
     return both.union(as_words.select(both.columns)).select("item", "item_id", "item_words", "reading", "lead", "own", "n")
