@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples, store
+from sparkquarry.operators import blocks, dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples, store
 from sparkquarry.operators.terms import shared_dir
 from sparkquarry.plans import agent, graph_sql
 from sparkquarry.sources import corpus as src
@@ -162,7 +162,7 @@ def _fts_index(spark: SparkSession, sf_dir: str) -> fts.Index:
     def made():
         return fts.build(src.documents_as_corpus(spark, sf_dir)).tables(), {}
 
-    return fts.Index(**store.built_once(spark, "fts-index", sf_dir, made)[0])
+    return fts.Index(**store.built_once(spark, "fts-index", sf_dir, made, blocks.LAYOUT, f"{sf_dir}/documents.parquet")[0])
 
 
 def _graph_index(spark: SparkSession, sf_dir: str) -> graph.Graph:
@@ -170,7 +170,7 @@ def _graph_index(spark: SparkSession, sf_dir: str) -> graph.Graph:
         built = graph.build(src.documents_as_corpus(spark, sf_dir))
         return built.tables(), {"n_docs": built.n_docs}
 
-    return graph.from_tables(*store.built_once(spark, "graph-index", sf_dir, made))
+    return graph.from_tables(*store.built_once(spark, "graph-index", sf_dir, made, table=f"{sf_dir}/documents.parquet"))
 
 
 def _dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def _dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = src.documents_as_corpus(spark, sf_dir).select("doc_id", tx.document_text(F.col("title"), F.col("full_text")).alias("text"))
         return {"vectors": dense.hashed(rows, "doc_id", "text")}, {"encoder": "hashed", "components": dense.HASHED}
 
-    return store.built_once(spark, "dense-docs", sf_dir, made)[0]["vectors"]
+    return store.built_once(spark, "dense-docs", sf_dir, made, table=f"{sf_dir}/documents.parquet")[0]["vectors"]
 
 
 # ---- full-text index and search -------------------------------------------------------------------------------------

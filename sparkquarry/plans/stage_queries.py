@@ -106,7 +106,7 @@ def sample_filters(spark, sf_dir):
 def saved_vectors(spark, sf_dir):
     """Vectors saved as an index and loaded, joined with what they belong to."""
     rows = src.table(spark, sf_dir, "embeddings")
-    tables, _ = store.built_once(spark, "dense-index", sf_dir, lambda: ({"vectors": rows.select("vec_id", "embedding")}, {"dimensions": 64}))
+    tables, _ = store.built_once(spark, "dense-index", sf_dir, lambda: ({"vectors": rows.select("vec_id", "embedding")}, {"dimensions": 64}), table=f"{sf_dir}/embeddings.parquet")
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.select("vec_id", "label").join(tables["vectors"], "vec_id").select("vec_id", "label", F.round(squares, 4).alias("squares"))
 
