@@ -543,6 +543,22 @@ def protected_merge(spark, sf_dir):
     return fusion.protected_merge(one, two, decisions).select("question_id", F.col("rank").cast("long"), "doc_id", "title", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_LOG}, {_FIRST_TWO}, w AS (SELECT *, 0 AS turn FROM one UNION ALL SELECT *, 1 FROM two), q AS (SELECT question_id, question_id % 4 AS protect FROM one GROUP BY ALL),
+  m AS (SELECT question_id, doc_id, sum(CASE WHEN turn = 0 THEN 1.2 ELSE 1.35 END / (60 + rank))::DOUBLE AS score, min(title) AS title, min(CASE WHEN turn = 0 THEN rank END) AS fr, any_value(protect) AS p,
+    string_agg(CASE WHEN turn = 0 THEN 'click:' ELSE 'view:' END || rank, '|' ORDER BY turn) AS ranks, string_agg(CASE WHEN turn = 0 THEN 'click:1.2' ELSE 'view:1.35' END, '|' ORDER BY turn) AS weights FROM w JOIN q USING (question_id) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN fr <= p THEN 0 ELSE 1 END, CASE WHEN fr <= p THEN fr ELSE 0 END, round(score, 12) DESC, title, doc_id) AS rank FROM m)
+  SELECT question_id, CAST(rank AS BIGINT) AS rank, doc_id, ranks, weights FROM r WHERE rank <= 5""")
+def merge_maps(spark, sf_dir):
+    """What each list of a merge gave to each document."""
+    rows = _ranked_log(spark, sf_dir)
+    best = lambda m: rows.filter(F.col("method") == m).groupBy("question_id", "doc_id", "title").agg(F.min("rank").alias("rank")).withColumn("tool", F.lit(m))
+    one, two = best("click"), best("view")
+    decisions = one.select("question_id").distinct().select("question_id", F.lit(1.2).alias("first_weight"), F.lit(1.35).alias("second_weight"), (F.col("question_id") % 4).alias("protect"))
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "|")
+    merged = fusion.protected_merge(one, two, decisions, maps=True)
+    return merged.select("question_id", F.col("rank").cast("long"), "doc_id", shown("ranks").alias("ranks"), shown("weights").alias("weights"))
+
+
 def _log_evaluation(spark, sf_dir) -> DataFrame:
     rows = _ranked_log(spark, sf_dir)
     gold = rows.select("question_id").distinct().select("question_id", F.explode(F.array(F.col("question_id") % 20, (F.col("question_id") * 7) % 20)).alias("doc_id")).distinct()
@@ -660,12 +676,18 @@ def latency_p95(spark, sf_dir):
     return rows.groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(metrics.percentile("value", 0.95), 4).alias("p95"))
 
 
-_TIMES = " + ".join(f"CASE WHEN u >= {p} THEN 1 ELSE 0 END" for p in metrics._POISSON)
+_TIMES = " + ".join(f"CASE WHEN d >= '{p}' THEN 1 ELSE 0 END" for p in metrics.POISSON_DIGITS)
+
+
+def _bootstrap_sql(rows: str, group: str, value: str, p: str = "") -> str:
+    """``{p}ci(g, low, high)`` of a value over ``rows`` by ``group``."""
+    return f"""{p}dr AS (SELECT {group} AS g, {value} AS v, b, md5('42:' || b || ':' || question_id) AS h FROM {rows} CROSS JOIN (SELECT unnest(generate_series(0, 124)) AS b)),
+  {p}ds AS (SELECT g, v, b * 8 + j AS s, substr(h, 4 * j + 1, 4) AS d FROM {p}dr CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS j)),
+  {p}dm AS (SELECT g, s, sum(({_TIMES}) * v) / sum({_TIMES}) AS m FROM {p}ds GROUP BY ALL HAVING sum({_TIMES}) > 0), {p}dl AS (SELECT g, list_sort(list(m)) AS ms FROM {p}dm GROUP BY ALL),
+  {p}ci AS (SELECT g, ms[26] AS low, ms[975] AS high FROM {p}dl)"""
 
 
-@query(f"""WITH {_EVAL}, dr AS (SELECT method, complete_recall AS v, CAST('0x' || substr(md5('42:' || s || ':' || question_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u, s FROM ev CROSS JOIN (SELECT unnest(generate_series(1, 1000)) AS s) WHERE k = 5),
-  m AS (SELECT method, s, sum(({_TIMES}) * v) / sum({_TIMES}) AS m FROM dr GROUP BY ALL HAVING sum({_TIMES}) > 0), l AS (SELECT method, list_sort(list(m)) AS ms FROM m GROUP BY ALL)
-  SELECT method, round(ms[26], 6) AS low, round(ms[975], 6) AS high FROM l""")
+@query(f"WITH {_EVAL}, five AS (SELECT * FROM ev WHERE k = 5), {_bootstrap_sql('five', 'method', 'complete_recall')} SELECT g AS method, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def bootstrap_ci(spark, sf_dir):
     rows = _log_evaluation(spark, sf_dir).filter("k = 5")
     found = metrics.bootstrap_ci(rows, "method", "complete_recall", "question_id")
@@ -711,10 +733,16 @@ def validate_dataset(spark, sf_dir):
 _FORBIDDEN = " OR ".join(f"regexp_matches(lower(question), '\\b{w}\\b')" for w in questions.HOP_FORBIDDEN)
 
 
-@query(f"""WITH {_ASKED} SELECT question_id, CASE WHEN trim(question) = '' THEN 'empty_question' ELSE array_to_string(list_filter([CASE WHEN {_FORBIDDEN} THEN 'contains_file_or_evidence_language' END,
-  CASE WHEN contains(trim(question), chr(10)) OR contains(trim(question), chr(13)) THEN 'contains_newline' END, CASE WHEN regexp_matches(lower(trim(question)), '^(rewrite|write|generate) ') THEN 'instruction_like_question' END,
-  CASE WHEN NOT ends_with(trim(question), '?') THEN 'missing_question_mark' END, CASE WHEN length(trim(question)) > 240 THEN 'question_too_long' END,
-  CASE WHEN length(trim(question)) < 25 THEN 'question_too_short' END], lambda c: c IS NOT NULL), '|') END AS issues FROM asked""")
+def _basic_sql(q: str, lookup: bool = False) -> str:
+    """Sorted issue codes of a question, as a list."""
+    language = "" if lookup else f"CASE WHEN {_FORBIDDEN.replace('question', q)} THEN 'contains_file_or_evidence_language' END, "
+    return f"""CASE WHEN trim({q}) = '' THEN ['empty_question'] ELSE list_filter([{language}
+  CASE WHEN contains(trim({q}), chr(10)) OR contains(trim({q}), chr(13)) THEN 'contains_newline' END, CASE WHEN regexp_matches(lower(trim({q})), '^(rewrite|write|generate) ') THEN 'instruction_like_question' END,
+  CASE WHEN NOT ends_with(trim({q}), '?') THEN 'missing_question_mark' END, CASE WHEN length(trim({q})) > 240 THEN 'question_too_long' END,
+  CASE WHEN length(trim({q})) < 25 THEN 'question_too_short' END], lambda c: c IS NOT NULL) END"""
+
+
+@query(f"WITH {_ASKED} SELECT question_id, array_to_string({_basic_sql('question')}, '|') AS issues FROM asked")
 def question_issues(spark, sf_dir):
     return _template_questions(spark, sf_dir).select("question_id", _joined(questions.basic(F.col("question"))).alias("issues"))
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, fts, fusion, graph, metrics, questions, reports, routing, samples, stages, store
+from sparkquarry.operators import dataset, dense, freeze, fts, fusion, graph, metrics, questions, repair, reports, routing, samples, stages, store
 from sparkquarry.operators.terms import shared_dir
 from sparkquarry.plans import agent
 from sparkquarry.plans.registry import (
-    _CORPUS, _EVAL, _EVAL_FTS, _LOG, _QUESTIONS, _ROUTED, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
+    _CORPUS, _EVAL, _basic_sql, _bootstrap_sql, _EVAL_FTS, _LOG, _QUESTIONS, _ROUTED, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
 )
 from sparkquarry.sources import corpus as src
 
@@ -360,3 +360,87 @@ def split_of_full_text(spark, sf_dir):
 def rule_router(spark, sf_dir):
     rows = evaluated(spark, sf_dir, ["rule_router"])
     return rows.select("question_id", "method", "task_type", F.col("k").cast("long"), F.col("matched").cast("long"), F.round("evidence_recall", 6).alias("evidence_recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query(f"""WITH {_EVAL}, f AS (SELECT *, method || '/' || k AS grp FROM ev), {_bootstrap_sql('f', 'grp', 'evidence_recall', 'e_')}, {_bootstrap_sql('f', 'grp', 'complete_recall', 'c_')}
+  SELECT method, CAST(k AS BIGINT) AS k, round(avg(evidence_recall), 6) AS evidence_recall, round(any_value(e_ci.low), 6) AS evidence_recall_low, round(any_value(e_ci.high), 6) AS evidence_recall_high,
+  round(any_value(c_ci.low), 6) AS complete_recall_low, round(any_value(c_ci.high), 6) AS complete_recall_high FROM f JOIN e_ci ON e_ci.g = grp JOIN c_ci ON c_ci.g = grp GROUP BY method, k""")
+def summary_intervals(spark, sf_dir):
+    """A summary with its intervals."""
+    rows = _log_evaluation(spark, sf_dir).withColumns({
+        "search_success": F.col("complete_recall"), "tool_calls": F.lit(1), "text_read_tokens": F.col("tokens_read"), "evidence_gain_step2": F.lit(None).cast("int"), "stop_accuracy": F.lit(None).cast("int"),
+    })
+    found = metrics.summary_with_intervals(rows)
+    shown = ("evidence_recall", "evidence_recall_low", "evidence_recall_high", "complete_recall_low", "complete_recall_high")
+    return found.select("method", F.col("k").cast("long"), *[F.round(c, 6).alias(c) for c in shown])
+
+
+# ---- repair, freezing, private keys ---------------------------------------------------------------------------------
+
+
+def _shortened(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: at attempt n the first 6 n words of the text, as a question."""
+    import json
+
+    out = []
+    for prompt in prompts:
+        attempt, text = prompt.split("|", 1)
+        out.append(json.dumps({"question": " ".join([w for w in text.split(" ") if w][: 6 * int(attempt)]) + "?"}))
+    return out
+
+
+def _even(prompts: list[str]) -> list[str]:
+    """A stand-in for a verifier: grounded is what has an even number of words."""
+    import json
+
+    return [json.dumps({"answerable": True, "single_answer": True, "grounded": len([w for w in p.split(" ") if w]) % 2 == 0, "reason": "odd"}) for p in prompts]
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM conversations WHERE role = 'user'),
+  a AS (SELECT conv_id, turn, n, array_to_string(list_slice(w, 1, 6 * n), ' ') || '?' AS q FROM t CROSS JOIN (SELECT unnest([1, 2, 3]) AS n)),
+  c AS (SELECT *, {_basic_sql('q')} AS issues, len(list_filter(string_split(trim(q, ' '), ' '), lambda w: w <> '')) % 2 = 0 AS fair FROM a),
+  b AS (SELECT conv_id, turn, min(n) FILTER (len(issues) = 0 AND fair) AS first FROM c GROUP BY ALL)
+  SELECT conv_id, turn, CASE WHEN first IS NULL THEN 'needs_review' ELSE 'accepted' END AS status, CAST(coalesce(first, 3) AS INT) AS attempts, md5(trim(q, ' ')) AS question, array_to_string(issues, '|') AS issues
+  FROM b JOIN c USING (conv_id, turn) WHERE n = coalesce(first, 3)""")
+def repair_run(spark, sf_dir):
+    """Turns of users made into questions by a stand-in client, in three attempts at most."""
+    rows = src.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("role = 'user'")
+    rows = rows.select(F.concat_ws("_", "conv_id", F.col("turn")).alias("question_id"), "conv_id", "turn", F.lit("").alias("question"), "text")
+    task = repair.Task(lambda r: questions.basic(F.col("question")), F.concat_ws("|", F.col("attempt").cast("string"), "text"), F.col("question"))
+    found = repair.repair(rows, task, _shortened, _even, _folder(spark, "repair"))
+    return found.select("conv_id", "turn", "status", "attempts", F.md5("question").alias("question"), _joined(F.col("issues")).alias("issues"))
+
+
+def _digest_sql(table: str, columns: list[str]) -> str:
+    shown = ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE '=' || {c} END" for c in sorted(columns))
+    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), {shown})), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM {table}"
+
+
+@query(f"{_digest_sql('benchmark', ['item_id', 'text'])} UNION ALL {_digest_sql('conversations', ['conv_id', 'turn', 'role', 'text'])} UNION ALL {_digest_sql('labels', ['doc_id', 'quality', 'toxic'])}")
+def frozen_tables(spark, sf_dir):
+    """What a freeze of three tables lists, read from its manifest."""
+    of = {"benchmark": ("item_id", "text"), "conversations": ("conv_id", "turn", "role", "text"), "labels": ("doc_id", "quality", "toxic")}
+    path = _folder(spark, "frozen")
+    freeze.freeze({n: src.table(spark, sf_dir, n, *c) for n, c in of.items()}, path, {"source": "tables"})
+    return freeze.listing(spark, path)
+
+
+@query(f"""WITH {_QUESTIONS}, g AS (SELECT question_id, doc_id FROM questions JOIN documents ON contains(text, question)), l AS (SELECT question_id, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS g FROM g GROUP BY question_id)
+  SELECT question_id, task_type, question, CAST(coalesce(len(g), 0) AS INT) AS n_gold, coalesce(array_to_string(g, '|'), '') AS gold_documents, array_to_string(list_filter([CASE WHEN trim(question) = '' THEN 'empty_question' END, CASE WHEN g IS NULL THEN 'no_gold_document' END], lambda x: x IS NOT NULL), '|') AS problems
+  FROM questions LEFT JOIN l USING (question_id)""")
+def data_check(spark, sf_dir):
+    asked = src.benchmark_as_questions(spark, sf_dir)
+    return freeze.data_check(asked, src.gold_by_containment(asked, src.documents_as_corpus(spark, sf_dir)))
+
+
+@query("""WITH t AS (SELECT conv_id, list({'role': role, 'answer': CASE WHEN role = 'assistant' THEN turn END, 'note': CASE WHEN role = 'system' THEN {'gold_documents': [turn]} END} ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+  j AS (SELECT conv_id, to_json({'conv_id': conv_id, 'rounds': [turns]}) AS payload FROM t)
+  SELECT conv_id, substr(x.fullkey, 2) AS path, x.key AS key FROM j, json_tree(j.payload) x WHERE x.key IN ('answer', 'gold_documents') AND x.type <> 'NULL'""")
+def private_key_paths(spark, sf_dir):
+    """Where in nested logs of conversations private keys lie."""
+    rows = src.table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    note = F.when(F.col("role") == "system", F.struct(F.array("turn").alias("gold_documents")))
+    turn = F.struct("turn", "role", F.when(F.col("role") == "assistant", F.col("turn")).alias("answer"), note.alias("note"))
+    logs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # the turns of one conversation
+    payload = F.to_json(F.struct("conv_id", F.array("turns").alias("rounds")))
+    return dataset.private_findings(logs.select("conv_id", payload.alias("payload")), "payload", "conv_id")
