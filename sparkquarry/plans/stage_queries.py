@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import sql as sql_text
 from sparkquarry.functions import text as tx
 from sparkquarry.operators import dataset, dense, freeze, fts, fusion, graph, metrics, questions, repair, reports, routing, samples, stages, store
 from sparkquarry.operators.terms import shared_dir
 from sparkquarry.plans import agent
 from sparkquarry.plans.registry import (
-    _CORPUS, _EVAL, _basic_sql, _bootstrap_sql, _EVAL_FTS, _LOG, _QUESTIONS, _ROUTED, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
+    _CHUNKS, _CORPUS, _EVAL, _basic_sql, _bootstrap_sql, _ents, _kws, _nums, _terms_sql, _EVAL_FTS, _LOG, _QUESTIONS, _ROUTED, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
 )
 from sparkquarry.sources import corpus as src
 
@@ -444,3 +445,47 @@ def private_key_paths(spark, sf_dir):
     logs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # the turns of one conversation
     payload = F.to_json(F.struct("conv_id", F.array("turns").alias("rounds")))
     return dataset.private_findings(logs.select("conv_id", payload.alias("payload")), "payload", "conv_id")
+
+
+# ---- SQL functions, samples of any shape ----------------------------------------------------------------------------
+
+
+@query(f"""SELECT item_id, {_norm('text')} AS normal, array_to_string({_toks('text')}, '|') AS tokens, array_to_string({_kws('text', 8)}, '|') AS keywords, array_to_string({_terms_sql('text', 18)}, '|') AS terms,
+  array_to_string({_ents('text')}, '|') AS entities, array_to_string({_nums('text')}, '|') AS numbers FROM benchmark""")
+def sql_functions(spark, sf_dir):
+    """The features of items, asked for in SQL."""
+    sql_text.register(spark)
+    src.table(spark, sf_dir, "benchmark").createOrReplaceTempView("_items")
+    return spark.sql("""SELECT item_id, normalize_text(text) AS normal, array_join(normal_tokens(text), '|') AS tokens, array_join(keywords(text, 8), '|') AS keywords, array_join(query_terms(text, 18), '|') AS terms,
+        array_join(simple_entities(text), '|') AS entities, array_join(numbers_and_dates(text), '|') AS numbers FROM _items""")
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(st AS BIGINT) AS sentence_start, CAST(en AS BIGINT) AS sentence_end, md5(body) AS body FROM chunks")
+def sql_chunks(spark, sf_dir):
+    """The chunks of all documents, by the table function."""
+    sql_text.register(spark)
+    src.documents_as_corpus(spark, sf_dir).select("doc_id", "sentences").createOrReplaceTempView("_texts")
+    return spark.sql("SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(sentence_start AS BIGINT) AS sentence_start, CAST(sentence_end AS BIGINT) AS sentence_end, md5(body) AS body FROM _texts, LATERAL chunks(sentences)")
+
+
+@query(f"WITH {_SAMPLES} SELECT sample_id, title, sent_id, md5(text) AS text FROM facts")
+def samples_any_shape(spark, sf_dir):
+    """Nested samples written as JSON lines in three shapes, a third each, and read again."""
+    rows = _nested_samples(spark, sf_dir)
+    zipped = lambda c, a, b: F.arrays_zip(F.col(f"{c}.{a}").alias(a), F.col(f"{c}.{b}").alias(b))
+    pairs = lambda c, a, b: F.transform(zipped(c, a, b), lambda p: F.concat(F.lit("["), F.to_json(F.array(p[a])).substr(F.lit(2), F.length(F.to_json(F.array(p[a]))) - 2), F.lit(", "), _json(p[b]), F.lit("]")))
+    line = lambda context, facts, key: F.concat(F.lit(f'{{"{key}": "'), "id", F.lit('", "context": '), context, F.lit(', "supporting_facts": '), facts, F.lit("}"))
+    as_is = line(F.to_json("context"), F.to_json("supporting_facts"), "id")
+    objects = line(F.to_json(zipped("context", "title", "sentences")), F.to_json(zipped("supporting_facts", "title", "sent_id")), "_id")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    paired = line(listed(pairs("context", "title", "sentences")), listed(pairs("supporting_facts", "title", "sent_id")), "qid")
+    shape = F.pmod(F.xxhash64("id"), F.lit(3))
+    path = _folder(spark, "samples")
+    rows.select(F.when(shape == 0, as_is).when(shape == 1, objects).otherwise(paired).alias("value")).write.text(path)
+    return src.supporting_sentences(src.samples_of_any_shape(spark.read.text(path))).select("sample_id", "title", "sent_id", F.md5("text").alias("text"))
+
+
+def _json(value):
+    """JSON of a number or of an array of texts."""
+    inner = F.to_json(F.array(value))
+    return inner.substr(F.lit(2), F.length(inner) - 2)
