@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import sql as sql_text
 from sparkquarry.functions import text as tx
-from sparkquarry.operators import dataset, dense, freeze, fts, fusion, graph, metrics, questions, repair, reports, routing, samples, stages, store
+from sparkquarry.operators import builders, dataset, dense, freeze, fts, fusion, graph, metrics, questions, repair, reports, routing, samples, stages, store
 from sparkquarry.operators.terms import shared_dir
 from sparkquarry.plans import agent
 from sparkquarry.plans.registry import (
     _CHUNKS, _CORPUS, _EVAL, _basic_sql, _bootstrap_sql, _ents, _kws, _nums, _terms_sql, _EVAL_FTS, _LOG, _QUESTIONS, _ROUTED, _STOP, _dense_index, _fts_index, _graph_index, _joined, _log_evaluation, _norm, _ranked_log, _toks, query,
 )
 from sparkquarry.sources import corpus as src
+from sparkquarry.streaming import two_stage
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -489,3 +490,63 @@ def _json(value):
     """JSON of a number or of an array of texts."""
     inner = F.to_json(F.array(value))
     return inner.substr(F.lit(2), F.length(inner) - 2)
+
+
+# ---- builders, streams ----------------------------------------------------------------------------------------------
+
+_PICKED = f"""{_CORPUS}, c AS (SELECT doc_id, title AS source, len({_nums("title || '. ' || text")}) AS n_numbers, len({_ents('title')}) AS n_names FROM corpus WHERE title <> ''),
+  once1 AS (SELECT source, min(doc_id) AS doc_id FROM c WHERE n_numbers >= 3 GROUP BY source), s1 AS (SELECT 'exact' AS stage, row_number() OVER (ORDER BY doc_id) AS place, source, doc_id FROM once1 QUALIFY place <= 20),
+  once2 AS (SELECT source, min(doc_id) AS doc_id FROM c WHERE n_names >= 1 AND source NOT IN (SELECT source FROM s1) GROUP BY source), s2 AS (SELECT 'multi_hop' AS stage, row_number() OVER (ORDER BY doc_id) AS place, source, doc_id FROM once2 QUALIFY place <= 25),
+  once3 AS (SELECT source, min(doc_id) AS doc_id FROM c WHERE source NOT IN (SELECT source FROM s1 UNION SELECT source FROM s2) GROUP BY source), s3 AS (SELECT 'semantic' AS stage, row_number() OVER (ORDER BY doc_id) AS place, source, doc_id FROM once3 QUALIFY place <= 30),
+  picked AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
+_STAGE_QUOTAS = {"exact": 20, "multi_hop": 25, "semantic": 30}
+
+
+def _picked(spark, sf_dir) -> DataFrame:
+    """Documents for three kinds of question: with numbers, with names in the title, and any; a title is a source."""
+    rows = src.documents_as_corpus(spark, sf_dir).filter("title <> ''")
+    numbers = F.size(tx.numbers_and_dates(F.concat("title", F.lit(". "), "full_text")))
+    of = lambda rule: rows.filter(rule).select(F.col("title").alias("source"), "doc_id")
+    kinds = {"exact": of(numbers >= 3), "multi_hop": of(F.size(tx.entities(F.col("title"))) >= 1), "semantic": of(F.lit(True))}
+    return builders.in_stages([(n, kinds[n], q) for n, q in _STAGE_QUOTAS.items()], "source", ["doc_id"])
+
+
+@query(f"WITH {_PICKED} SELECT stage, CAST(place AS INT) AS place, source, doc_id FROM picked")
+def staged_selection(spark, sf_dir):
+    return _picked(spark, sf_dir).select("stage", "place", "source", "doc_id")
+
+
+@query(f"""WITH {_PICKED}, o AS (SELECT doc_id FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM picked) ORDER BY md5('42:' || doc_id), doc_id LIMIT 300 - (SELECT count(*) FROM picked))
+  SELECT doc_id, 'chosen' AS role FROM picked UNION ALL SELECT doc_id, 'fill' FROM o""")
+def filled_corpus(spark, sf_dir):
+    """A corpus of three hundred documents around those that were picked."""
+    return builders.filled(src.table(spark, sf_dir, "documents", "doc_id"), _picked(spark, sf_dir), 300).select("doc_id", "role")
+
+
+@query(f"""WITH {_PICKED}, w AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {q})" for n, q in _STAGE_QUOTAS.items())}) AS v(stage, wanted))
+  SELECT w.stage, wanted, count(source) AS found, count(DISTINCT source) AS sources, CASE WHEN count(source) < wanted THEN 'too_few' ELSE '' END AS problem FROM w LEFT JOIN picked USING (stage) GROUP BY w.stage, wanted""")
+def quota_check(spark, sf_dir):
+    return builders.quota_problems(_picked(spark, sf_dir), _STAGE_QUOTAS, "source")
+
+
+@query(f"""WITH {_LOG}, one AS (SELECT question_id, doc_id, title, min(rank) AS rank FROM log WHERE method = 'click' AND rank <= 10 GROUP BY ALL), two AS (SELECT question_id, doc_id, title, min(rank) AS rank FROM log WHERE method = 'view' AND rank <= 10 GROUP BY ALL),
+  q AS (SELECT question_id, max(score) < 150 AS wants, min(rank) AS protect FROM log WHERE method = 'click' GROUP BY question_id), t AS (SELECT DISTINCT question_id FROM two), d AS (SELECT q.*, wants AND t.question_id IS NOT NULL AS both_there FROM q LEFT JOIN t USING (question_id)),
+  w AS (SELECT *, 0 AS turn FROM one UNION ALL SELECT *, 1 FROM two),
+  m AS (SELECT question_id, doc_id, sum(CASE WHEN turn = 0 THEN 1.2 ELSE 1.35 END / (60 + rank))::DOUBLE AS score, min(title) AS title, min(CASE WHEN turn = 0 THEN rank END) AS fr, any_value(protect) AS p FROM w JOIN d USING (question_id) WHERE both_there GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN fr <= p THEN 0 ELSE 1 END, CASE WHEN fr <= p THEN fr ELSE 0 END, round(score, 12) DESC, title, doc_id) AS rank FROM m)
+  SELECT question_id, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS doc_id, title, round(score, 6) AS score, 2 AS rounds FROM r WHERE rank <= 5
+  UNION ALL SELECT question_id, CAST(rank AS INT), CAST(doc_id AS VARCHAR), title, round(1.0 / (60 + rank), 6)::DOUBLE, 1 FROM one JOIN d USING (question_id) WHERE NOT both_there AND NOT wants AND rank <= 5""")
+def streaming_answers(spark, sf_dir):
+    """Two lists of each user as events of a stream: clicks first, views where the best click is worth less than 150."""
+    rows = _ranked_log(spark, sf_dir).filter("method in ('click', 'view')")
+    best = rows.filter("rank <= 10").groupBy("question_id", "method", "doc_id", "title").agg(F.min("rank").alias("rank"))
+    lists = best.groupBy("question_id", "method").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), "title"))).alias("documents"))  # ten each
+    worth = rows.filter("method = 'click'").groupBy("question_id").agg((F.max("score") < 150).alias("wants_second"))
+    events = lists.join(worth, "question_id").select(
+        "question_id", F.when(F.col("method") == "click", 0).otherwise(1).alias("turn"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), "wants_second", F.lit(1.2).alias("first_weight"),
+        F.lit(1.35).alias("second_weight"), F.lit(1).alias("protect"), "documents",
+    )
+    source, out, check = (_folder(spark, n) for n in ("events", "answers", "answers-check"))
+    events.write.parquet(source)
+    found = two_stage.run_available(spark.readStream.schema(events.schema).parquet(source), out, check)
+    return found.select("question_id", "rank", "doc_id", "title", F.round("score", 6).alias("score"), "rounds")

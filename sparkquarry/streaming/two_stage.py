@@ -30,7 +30,7 @@ def merged(question_id: int, first: list, second: list | None, decision: tuple,
     """The answer of one question: its first list, or both by the rule of ``fusion.protected_merge`` (ten documents or so)."""
     first_weight, second_weight, protect = decision
     if second is None:
-        rows = [(question_id, r, d, t, 1.0 / (RRF_K + r), 1, complete) for r, d, t in sorted(first)[:top_k]]
+        rows = [(question_id, r, d, t, 1.0 / (RRF_K + r), 1, complete) for r, d, t in sorted(first) if r <= top_k]
     else:
         found: dict[str, list] = {}
         for turn, weight, own in ((0, first_weight, first), (1, second_weight, second)):
