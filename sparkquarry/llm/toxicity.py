@@ -5,6 +5,7 @@ of text that shows such signs becomes a lattice: every sign stands for the lette
 may mean, a run of one letter for one or two of them, a gap between lone letters for
 nothing or a word's end.  Viterbi search over the lattice finds the likeliest reading
 under a character trigram model, counted over all documents, and the cost of the noise.
+Where a word merely has a doubled letter both the word and its reading count, as they do for marks at its edges.
 
 The restored words are scored by stems learned from labels: words and their beginnings
 that are found in toxic texts and hardly in others.  A stem's weight is the lower bound
@@ -65,6 +66,7 @@ SUBSTITUTE, UNREAD, DROPPED, REPEATED, APART = 0.7, 30.0, 2.5, 1.0, 1.0
 
 _MIXED = re.compile(r"[^\W\d_][^\w\s]*[" + re.escape("".join(LEET)) + r"]+|[" + re.escape("".join(LEET)) + r"]+[^\W\d_]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _SPREAD = re.compile(r"(?:[^\W_][.\-_*~]+){2,}[^\W_](?![^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -162,7 +164,8 @@ class Reader:
         """The words of one white-space separated token, noise undone."""
         low = token.lower()
         if low.isalpha() and not _THRICE.search(low):
-            return [low]
+            # A doubled letter may be noise: the word as it stands counts, and so does another reading of it.
+            return [low, *(w for w in self.read[low] if w != low)] if _TWICE.search(low) else [low]
         if _SPREAD.search(low):
             return list(self.read[" ".join(c for c in low if c.isalnum() or c in LEET)])
         # Marks at the edges are punctuation before they are letters: both readings count.
@@ -171,6 +174,8 @@ class Reader:
         for piece in {low.rstrip(".,;:?\"')]}"), core}:
             if _MIXED.search(piece) or _THRICE.search(piece):
                 out += self.read[piece]
+        if not out and len(core := low.rstrip(".,;:?\"')]")) >= 3 and len(set(core)) > 1 and all(c in LEET for c in core) and sum(not c.isdigit() for c in core) >= 2:
+            out += self.read[core]  # signs only
         return out
 
     def restore(self, text: str) -> str:

@@ -11,7 +11,7 @@ are alike (1), an empty and a full one are not (0).
 Defined results: a null text counts as empty and has the empty fingerprint; fewer words
 than a gram form one gram, fewer grams than a window form one window; equal texts have
 equal fingerprints; texts are taken whole; extra columns are ignored; an empty table
-gives no rows.  With repeated doc_ids the order among them is open.
+gives no rows.  Rows that share a doc_id follow each other by a hash of their text.
 """
 
 from __future__ import annotations
@@ -114,6 +114,11 @@ def _buckets(docs: DataFrame, rows_each: int) -> tuple[Column, int]:
     return at, len(bounds) + 1
 
 
+def _in_run():
+    """Neighbours within a run; rows that share a doc_id go by a hash of their text."""
+    return W.partitionBy("bucket").orderBy("extra", "doc_id", "tie")
+
+
 def with_next(docs: DataFrame, rows_each: int = 2_000) -> DataFrame:
     """Each text with that of the next doc_id (of the first after the last) and its bucket.
 
@@ -125,13 +130,13 @@ def with_next(docs: DataFrame, rows_each: int = 2_000) -> DataFrame:
     placed = docs.withColumn("bucket", at)
     first = sorted((r.bucket, r.low) for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("low")).collect())  # a row a run
     if not first:
-        return placed.withColumns({"extra": F.lit(False), "next_text": F.lit(None).cast("string")})
+        return placed.withColumns({"extra": F.lit(False), "tie": F.xxhash64("text"), "next_text": F.lit(None).cast("string")})
     to = {low: first[i - 1][0] for i, (_, low) in enumerate(first)}
     pairs = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(b).alias("bucket")) for low, b in to.items()])
     lent = placed.filter(F.col("doc_id").isin(list(to))).withColumn("bucket", F.filter(pairs, lambda p: p["low"] == F.col("doc_id"))[0]["bucket"])
     both = placed.withColumn("extra", F.lit(False)).unionByName(lent.withColumn("extra", F.lit(True)))
-    order = W.partitionBy("bucket").orderBy("extra", "doc_id")
-    return both.withColumn("next_text", F.lead("text").over(order))
+    both = both.withColumn("tie", F.xxhash64("text"))
+    return both.withColumn("next_text", F.lead("text").over(_in_run()))
 
 
 def report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -144,16 +149,15 @@ def report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
     edited = F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut.cast("int")))
     shaped = paired.select(
-        "doc_id", "bucket", "extra", n.cast("long").alias("n_chars"),
+        "doc_id", "bucket", "extra", "tie", n.cast("long").alias("n_chars"),
         F.when(~F.col("extra"), edited).alias("edited"),
         fingerprint(F.col("text"), gram, window).alias("own"),
     )
     shaped = shaped.select(
-        "doc_id", "bucket", "extra", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own",
+        "doc_id", "bucket", "extra", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own",
         F.when(~F.col("extra"), fingerprint(F.col("edited"), gram, window)).alias("other"),
     )
-    order = W.partitionBy("bucket").orderBy("extra", "doc_id")
-    ahead = shaped.withColumn("ahead", F.lead("own.hash").over(order)).filter(~F.col("extra"))
+    ahead = shaped.withColumn("ahead", F.lead("own.hash").over(_in_run())).filter(~F.col("extra"))
     spelled = lambda c: F.array_join(F.transform(c, lambda p: F.concat(p["pos"].cast("string"), F.lit(":"), F.lower(F.hex(p["hash"])))), " ")
     return ahead.select(
         "doc_id", "n_chars", "edited_sha256", spelled(F.col("own")).alias("fingerprint"), spelled(F.col("other")).alias("edited_fingerprint"),

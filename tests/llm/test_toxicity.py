@@ -51,7 +51,7 @@ def test_labels_of_held_out_rows_do_not_matter(trained, spark):
     assert again["stems"] == model["stems"] and np.array_equal(again["costs"], model["costs"])
 
 
-@pytest.mark.parametrize("text", ["an 1d10t is", "i d i o t", "m.o.r.o.n", "M-O-R-O-N of", "idiooooot", "the (idiot)!", "$cum", "5cum", "m0r0n", "grumb1e"])
+@pytest.mark.parametrize("text", ["an 1d10t is", "i d i o t", "m.o.r.o.n", "M-O-R-O-N of", "idiooooot", "the (idiot)!", "$cum", "5cum", "m0r0n", "grumb1e", "idiiot", "moorron", "scuum"])
 def test_noise_is_undone(trained, text):
     scorer = toxicity.Scorer(trained[3])
     assert scorer.score(pa.array([text]))[0] >= toxicity.THRESHOLD, scorer.reader.restore(text)
@@ -63,6 +63,14 @@ def test_clean_texts_stay_clean(trained):
     assert (scorer.score(pa.array(texts)) < toxicity.THRESHOLD).all()
 
 
+def test_words_with_doubled_letters_and_signs_alone(trained):
+    reader = toxicity.Scorer(trained[3]).reader
+    assert reader.words_of("idiiot")[0] == "idiiot" and "idiot" in reader.words_of("idiiot")
+    assert reader.words_of("idiot") == ["idiot"]
+    assert reader.words_of("@$$") and all(w.isalpha() for w in reader.words_of("@$$"))
+    assert reader.words_of("2024") == reader.words_of("10:30") == reader.words_of("!!!") == reader.words_of("$100") == []
+
+
 def test_viterbi_finds_the_cheapest_reading():
     """Against all readings of short lattices."""
     rng = np.random.default_rng(1)
