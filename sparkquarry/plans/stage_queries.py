@@ -550,3 +550,98 @@ def streaming_answers(spark, sf_dir):
     events.write.parquet(source)
     found = two_stage.run_available(spark.readStream.schema(events.schema).parquet(source), out, check)
     return found.select("question_id", "rank", "doc_id", "title", F.round("score", 6).alias("score"), "rounds")
+
+
+# ---- checks of questions --------------------------------------------------------------------------------------------
+
+
+def _cw(x: str) -> str:
+    return f"list_distinct(list_filter({_toks(x)}, lambda t: len(t) > 2 AND NOT list_contains({_STOP}, t)))"
+
+
+def _within(haystack: str, needle: str) -> str:
+    return f"({_norm(needle)} <> '' AND contains({_norm(haystack)}, {_norm(needle)}))"
+
+
+def _says(text: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({text}), '{t}')" if " " in t else f"regexp_matches(lower({text}), '\\b{t}\\b')" for t in terms) + ")"
+
+
+def _codes_sql(checks: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in sorted(checks.items())) + "], lambda c: c IS NOT NULL)"
+
+
+def _shown(*lists: str) -> str:
+    both = lists[0]
+    for more in lists[1:]:
+        both = f"list_concat({both}, {more})"
+    return f"array_to_string(list_sort(list_distinct({both})), '|')"
+
+
+_FIRST_WORDS = "array_to_string(list_slice(list_filter(string_split(sentences[1], ' '), lambda w: w <> ''), 1, {0}), ' ')"
+_SEMANTIC = f"""{_CORPUS}, r AS (SELECT doc_id, 'lead' AS kind, {_FIRST_WORDS.format(10)} || '?' AS q, title, sentences[1] AS s FROM corpus WHERE len(sentences) > 0 UNION ALL SELECT doc_id, 'title', 'What is the ' || title || '?', title, sentences[1] FROM corpus WHERE len(sentences) > 0),
+  f AS (SELECT *, {_norm('q')} AS asked, {_norm('title')} AS tn, {_cw('q')} AS qw, {_cw('s')} AS sw, {_cw('title')} AS tw FROM r)"""
+
+
+def _lead(words: int):
+    return F.array_join(F.slice(F.filter(F.split(F.get("sentences", F.lit(0)), " "), lambda w: w != ""), 1, words), " ")
+
+
+@query(f"""WITH {_SEMANTIC} SELECT doc_id, kind, {_shown(_basic_sql('q'), _codes_sql({
+    'semantic_question_uses_file_or_rewrite_language': _says('q', questions.FACT_FORBIDDEN),
+    'semantic_question_is_title_definition': "tn <> '' AND (" + " OR ".join(f"starts_with(asked, '{d}' || tn)" for d in questions.DEFINITIONS) + ") AND len(list_filter(qw, lambda w: NOT list_contains(tw, w))) <= 1",
+    'question_copies_gold_sentence_too_closely': "len(qw) >= 5 AND len(sw) > 0 AND len(list_intersect(qw, sw)) / greatest(len(qw), 1) >= 0.78",
+    'question_has_too_little_overlap_with_gold_sentence': "len(qw) >= 5 AND len(sw) > 0 AND len(list_intersect(qw, sw)) / greatest(len(qw), 1) <= 0.10"}))} AS issues FROM f""")
+def semantic_issues(spark, sf_dir):
+    """Two questions about every document's first sentence: its first words, and what its title is."""
+    rows = src.documents_as_corpus(spark, sf_dir).filter(F.size("sentences") > 0)
+    of = lambda kind, q: rows.select("doc_id", F.lit(kind).alias("kind"), q.alias("question"), F.col("title").alias("gold_title"), F.get("sentences", F.lit(0)).alias("gold_sentence"))
+    every = of("lead", F.concat(_lead(10), F.lit("?"))).union(of("title", F.concat(F.lit("What is the "), "title", F.lit("?"))))
+    return every.select("doc_id", "kind", _joined(questions.semantic(every)).alias("issues"))
+
+
+_EXACT = f"""{_CORPUS}, c AS (SELECT corpus.*, sentences[1] AS s, {_nums('sentences[1]')} AS n, lang FROM corpus JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE len(sentences) > 0),
+  r AS (SELECT doc_id, 'title_anchor' AS kind, 'Find the document titled "' || title || '"' AS q, title AS anchor, title, s FROM c UNION ALL SELECT doc_id, 'date_number_lookup', 'Which record mentions ' || n[1] || '?', n[1], title, s FROM c WHERE len(n) > 0
+    UNION ALL SELECT doc_id, 'exact_phrase_lookup', 'Find the page that contains "' || {_FIRST_WORDS.format(4)} || '".', {_FIRST_WORDS.format(4)}, title, s FROM c UNION ALL SELECT doc_id, lang, s, title, title, s FROM c),
+  f AS (SELECT *, CASE WHEN kind = 'date_number_lookup' AND trim(anchor) <> '' THEN coalesce(list_filter(regexp_extract_all(s, '{questions.DATE}'), lambda d: {_within('d', 'anchor')})[1], trim(anchor)) ELSE trim(anchor) END AS wide FROM r)"""
+
+
+def _lookups(spark, sf_dir) -> DataFrame:
+    """Lookups of four kinds for every document, the last of no kind that is known."""
+    docs = src.documents_as_corpus(spark, sf_dir).join(src.table(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id").filter(F.size("sentences") > 0)
+    sentence = F.get("sentences", F.lit(0))
+    docs = docs.withColumns({"s": sentence, "n": F.get(tx.numbers_and_dates(sentence), F.lit(0)), "lead": _lead(4)})
+    of = lambda rows, kind, q, anchor: rows.select("doc_id", kind.alias("subtype"), q.alias("question"), F.col(anchor).alias("anchor_value"), F.col("title").alias("gold_title"), F.col("s").alias("gold_sentence"))
+    rows = of(docs, F.lit("title_anchor"), F.concat(F.lit('Find the document titled "'), "title", F.lit('"')), "title")
+    rows = rows.union(of(docs.filter("n is not null"), F.lit("date_number_lookup"), F.concat(F.lit("Which record mentions "), "n", F.lit("?")), "n"))
+    rows = rows.union(of(docs, F.lit("exact_phrase_lookup"), F.concat(F.lit('Find the page that contains "'), "lead", F.lit('".')), "lead"))
+    return rows.union(of(docs, F.col("lang"), F.col("s"), "title"))
+
+
+@query(f"""WITH {_EXACT} SELECT doc_id, kind, {_shown(_basic_sql('q', True), _codes_sql({
+    'boilerplate_evidence_template': "contains(lower(q), 'evidence needed to answer') OR contains(lower(q), 'evidence related to')",
+    'missing_file_lookup_language': "NOT (" + " OR ".join(f"contains(lower(q), '{w}')" for w in questions.LOOKUP_WORDS) + ")",
+    'missing_required_anchor': f"NOT {_within('q', 'wide')}", 'anchor_not_in_gold_sentence': f"kind <> 'title_anchor' AND anchor <> '' AND NOT {_within('s', 'anchor')}",
+    'title_anchor_missing_gold_title': f"kind = 'title_anchor' AND NOT {_within('q', 'title')}", 'non_title_lookup_leaks_gold_title': f"kind IN ('date_number_lookup', 'exact_phrase_lookup') AND {_within('q', 'title')}",
+    'exact_phrase_not_quoted': "kind = 'exact_phrase_lookup' AND NOT contains(q, chr(34))"}),
+    "CASE WHEN kind NOT IN ('title_anchor', 'date_number_lookup', 'exact_phrase_lookup') THEN ['unknown_exact_subtype:' || kind] ELSE [] END")} AS issues,
+  CASE WHEN kind IN ('date_number_lookup', 'exact_phrase_lookup') AND ({_within('anchor', 'title')} OR {_within('wide', 'title')}) THEN 'anchor_leaks_gold_title' ELSE '' END AS preflight FROM f""")
+def lookup_issues(spark, sf_dir):
+    """Issues of lookups, and of their anchors before a question is made."""
+    rows = _lookups(spark, sf_dir)
+    return rows.select("doc_id", F.col("subtype").alias("kind"), _joined(questions.exact(rows)).alias("issues"), _joined(questions.preflight(rows)).alias("preflight"))
+
+
+@query(f"""WITH {_CORPUS}, {_QUESTIONS}, g AS (SELECT question_id, count(*) AS n_docs, count(*) FILTER (trim(title, ' ') <> '') AS n_titles FROM questions JOIN corpus ON contains(text, question) GROUP BY question_id),
+  r AS (SELECT question_id, question AS q, coalesce({_kws('question', 1)}[1], '') AS answer, coalesce(n_docs, 0) AS n_docs, coalesce(n_titles, 0) AS n_titles FROM questions LEFT JOIN g USING (question_id))
+  SELECT question_id, {_shown(_basic_sql('q'), _codes_sql({
+    'multi_hop_requires_exactly_two_gold_documents': 'n_docs <> 2', 'multi_hop_requires_at_least_two_gold_sentences': 'n_titles < 2', 'empty_answer': "trim(answer) = ''",
+    'answer_leaked_in_question': f"trim(answer) <> '' AND {_within('q', 'answer')}", 'question_has_weak_relation_signal': "NOT regexp_matches(lower(q), '" + questions.RELATION_WORDS + "')"}))} AS issues FROM r""")
+def multi_hop_issues(spark, sf_dir):
+    """Items with the documents that hold them as gold, and their most frequent keyword as an answer."""
+    asked, corpus = src.benchmark_as_questions(spark, sf_dir), src.documents_as_corpus(spark, sf_dir)
+    gold = src.gold_by_containment(asked, corpus).join(corpus.select("doc_id", "title"), "doc_id")
+    lists = gold.groupBy("question_id").agg(F.array_join(F.collect_list(F.col("doc_id").cast("string")), "|").alias("gold_doc_ids"), F.array_join(F.collect_list("title"), "||").alias("gold_sentences"))
+    rows = asked.join(lists, "question_id", "left").na.fill("", ["gold_doc_ids", "gold_sentences"])
+    rows = rows.withColumn("answer", F.coalesce(F.get(tx.keywords(F.col("question"), 1), F.lit(0)), F.lit("")))
+    return rows.select("question_id", _joined(questions.multi_hop(rows)).alias("issues"))
