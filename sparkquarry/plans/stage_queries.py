@@ -645,3 +645,29 @@ def multi_hop_issues(spark, sf_dir):
     rows = asked.join(lists, "question_id", "left").na.fill("", ["gold_doc_ids", "gold_sentences"])
     rows = rows.withColumn("answer", F.coalesce(F.get(tx.keywords(F.col("question"), 1), F.lit(0)), F.lit("")))
     return rows.select("question_id", _joined(questions.multi_hop(rows)).alias("issues"))
+
+
+# ---- rows of the stages ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_PICKED}, r AS (SELECT 'cand_' || stage || '_' || doc_id AS candidate_id, stage, source, doc_id, {_FIRST_WORDS.format(8)} || '?' AS q, sentences[1] AS s, {_kws('sentences[1]', 1)}[1] AS answer, {_nums("title || '. ' || text")}[1] AS anchor
+    FROM picked JOIN (SELECT doc_id, title, text, sentences FROM corpus) USING (doc_id) WHERE len(sentences) > 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY candidate_id) AS place FROM r WHERE anchor IS NOT NULL)
+  SELECT printf('final_%04d', place) AS question_id, trim(q, ' ') AS question, stage AS task_type, CAST(doc_id AS VARCHAR) AS gold_documents, md5(s) AS gold_sentence, source AS source_id, true AS quality_checked,
+  'anchor_value=' || anchor || '|answer=' || coalesce(answer, '') || '|candidate_id=' || candidate_id || '|construction=picked|llm_attempts=|llm_verdict=|requires_manual_review=false|source_sheet=sheet|source_status=accepted|subtype=first|support_titles=' || source || '|verifier_model=' AS metadata FROM n""")
+def stage_rows(spark, sf_dir):
+    """Picked documents as candidates, their sheet with a question written in where the text has a number, and the questions made of both."""
+    docs = src.documents_as_corpus(spark, sf_dir).filter(F.size("sentences") > 0)
+    first = F.get("sentences", F.lit(0))
+    gold = F.array(F.struct("doc_id", "title", F.lit(0).alias("sent_id"), first.alias("text")))
+    anchor = F.get(tx.numbers_and_dates(F.concat("title", F.lit(". "), "full_text")), F.lit(0))
+    rows = _picked(spark, sf_dir).join(docs, "doc_id").select(
+        F.concat_ws("_", F.lit("cand"), "stage", "doc_id").alias("candidate_id"), F.col("stage").alias("task_type"), F.lit("first").alias("subtype"), F.concat(_lead(8), F.lit("?")).alias("question"), F.col("source").alias("source_id"),
+        F.get(tx.keywords(first, 1), F.lit(0)).alias("answer"), gold.alias("gold"), F.create_map(F.lit("anchor_value"), F.coalesce(anchor, F.lit("")), F.lit("requires_manual_review"), F.lit("true")).alias("metadata"),
+    )
+    pool = stages.pool_rows(rows)
+    sheet = stages.sheet_rows(pool)
+    worked = sheet.withColumns({"status": F.when(F.col("anchor_value") != "", "accepted").otherwise("todo"), "final_question": F.col("current_question")})
+    made = stages.question_rows(stages.accepted(worked, "final_question"), pool, "picked", "sheet", "final")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return made.select("question_id", "question", "task_type", F.array_join("gold_documents", "|").alias("gold_documents"), F.md5(F.get("gold_sentences", F.lit(0))["text"]).alias("gold_sentence"), "source_id", "quality_checked", shown.alias("metadata"))
