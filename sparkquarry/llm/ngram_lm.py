@@ -43,6 +43,9 @@ FLUSH = 2_500_000
 #: Bytes of text for each part of the model; a task sums one part at a time, so this bounds its memory.
 PART_BYTES = 24 << 20
 
+#: Arrays of a model that a worker maps at a time; the system allows a process some ten thousand.
+MAPPED = 4_096
+
 START, END = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,7 +194,7 @@ def _reduce(level: int, order: int, parts: int, store: Store):
     """Task that sums one part of what has reached ``level``.
 
     n-grams of that level are written and passed down; contexts of the level above are
-    written.  Rows of kind ``stat`` go to the driver: counts of counts.
+    written.  Rows of kind ``stat`` are counts of counts, which Spark sums for the driver.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -229,6 +232,15 @@ def _reduce(level: int, order: int, parts: int, store: Store):
     return run
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of counts, a row for each number."""
+    for batch in batches:
+        values = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64)
+        each = len(values) // max(1, batch.num_rows)
+        kind = batch.column("kind").take(pa.array(np.repeat(np.arange(batch.num_rows), each)))
+        yield pa.RecordBatch.from_arrays([kind, pa.array(np.tile(np.arange(each, dtype=np.int32), batch.num_rows)), pa.array(values)], names=["kind", "at", "value"])
+
+
 def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> dict:
     """Count ``docs`` and write the model; returns its description, a few numbers and a path.
 
@@ -243,12 +255,10 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> dict:
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count(order, parts), _ROW)
     for level in range(order, 0, -1):
         rows = rows.groupBy("kind", "part").applyInArrow(_reduce(level, order, parts, store), _ROW)
+    found = rows.filter(F.col("kind").startswith("stat")).select("kind", "counts").mapInArrow(_numbers, "kind string, at int, value long")
     stats: dict[int, np.ndarray] = {}
-    found = rows.filter(F.col("kind").startswith("stat")).select("kind", "counts")
-    for kind, counts in found.collect():  # a row of seven numbers for each part and level
-        values = np.frombuffer(counts, np.uint64)
-        level = int(kind[4:])
-        stats[level] = stats.get(level, np.zeros(7, np.uint64)) + values
+    for kind, at, value in found.groupBy("kind", "at").agg(F.sum("value")).collect():  # seven numbers for each level
+        stats.setdefault(int(kind[4:]), np.zeros(7, np.int64))[at] = value
     model = {"path": path, "parts": parts, "order": order, "discounts": {}, "total": 0, "types": 0, "tokens": 0, "singles": [0, 0, 0]}
     for level, s in stats.items():
         model["discounts"][level] = _discounts(*map(int, s[:4]))
@@ -269,17 +279,21 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Model:
-    """A trained model, mapped into this worker's memory."""
+    """A trained model, mapped into this worker's memory: of its arrays the ``MAPPED`` used last."""
 
     def __init__(self, spec: dict):
         self.spec, self.store, self.maps = spec, Store(spec["path"]), {}
 
     def _array(self, name: str) -> np.ndarray | None:
-        if name not in self.maps:
+        if name in self.maps:
+            self.maps[name] = self.maps.pop(name)  # the last one used
+        else:
             try:
                 self.maps[name] = self.store.load(name)
             except FileNotFoundError:  # no n-gram fell into this part
                 self.maps[name] = None
+            if len(self.maps) > MAPPED:
+                del self.maps[next(iter(self.maps))]
         return self.maps[name]
 
     def _find(self, kind: str, hashes: np.ndarray, width: int) -> np.ndarray:

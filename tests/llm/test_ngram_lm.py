@@ -108,3 +108,15 @@ def test_odd_rows_and_clashing_columns(spark, monkeypatch, part_bytes):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     want = brute([t for i, t in rows if not held[i]], [t for _, t in rows], 2)
     assert got == sorted((i, w[2], round(w[0], 9), round(w[1], 9)) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_few_arrays_mapped_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([r for r in TEXTS if r[1]], "doc_id long, text string")
+    model = ngram_lm.train(docs, 2)
+    text = pa.array([t for _, t in TEXTS])
+    want = ngram_lm.Model(model).score(text)["score"]
+    monkeypatch.setattr(ngram_lm, "MAPPED", 1)
+    few = ngram_lm.Model(model)
+    assert few.score(text)["score"].tolist() == want.tolist() and len(few.maps) == 1
