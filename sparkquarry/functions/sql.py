@@ -23,7 +23,7 @@ def _listed(words) -> str:
 
 def definitions() -> dict[str, str]:
     """Each function's parameters, type and body."""
-    cues = ", ".join(f"CASE WHEN arrays_overlap(normal_tokens(content), array({_listed(words.split())})) THEN '{name}' END" for name, words in sorted(tx.RELATIONS.items()))
+    cues = ", ".join(f"CASE WHEN arrays_overlap(normal_tokens(content), array({_listed(words)})) THEN '{name}' END" for name, words in sorted(tx.RELATIONS.items()))
     kept = f"filter(normal_tokens(content), t -> length(t) > 2 AND t NOT IN ({_listed(tx.STOPWORDS)}))"
     ranked = f"array_sort(transform(array_distinct({kept}), t -> struct(-size(filter({kept}, x -> x = t)) AS n, array_position({kept}, t) AS at, t AS token)))"
     useful = f"t -> t NOT IN ({_listed(tx.QUERY_STOPWORDS)}) AND (length(t) > 2 OR t RLIKE '^[0-9]+$')"

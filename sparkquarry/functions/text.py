@@ -9,25 +9,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists and patterns that results depend on.
-STOPWORDS = "a an and are as at be by for from had has have he her his in is it its of on or that the their this to was were which who with".split()
-QUERY_STOPWORDS = [*STOPWORDS, *"also did does find give list name named tell what when where whose".split()]
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "he", "her", "his", "in", "is", "it", "its", "of",
+    "on", "or", "that", "the", "their", "this", "to", "was", "were", "which", "who", "with",
+)
+QUERY_STOPWORDS = (
+    *STOPWORDS, "also", "did", "does", "find", "give", "list", "name", "named", "tell", "what", "when", "where", "whose",
+)
 ENTITY = r"(?U)\b(?:[A-Z][a-zA-Z0-9'&.-]+)(?:\s+(?:[A-Z][a-zA-Z0-9'&.-]+|of|the|and|de|la))*"
 NUMBER = r"(?U)\b\d{4}\b|\b\d+(?:\.\d+)?\b"
 QUOTED = '"([^"]+)"'
 RELATIONS = {
-    "birth": "born birth birthplace native",
-    "death": "died death deceased",
-    "location": "located location city country state province region where",
-    "founding": "founder founded established created",
-    "authorship": "author wrote writer novel book",
-    "film": "director directed film movie starring actor actress",
-    "music": "album song singer band music composer",
-    "sports": "team club league season coach player played",
-    "organization": "company organization university school member",
-    "family": "spouse wife husband father mother son daughter",
-    "award": "award prize won winner nominated",
-    "population": "population inhabitants census",
-    "time": "year date when",
+    "birth": ("born", "birth", "birthplace", "native"),
+    "death": ("died", "death", "deceased"),
+    "location": ("located", "location", "city", "country", "state", "province", "region", "where"),
+    "founding": ("founder", "founded", "established", "created"),
+    "authorship": ("author", "wrote", "writer", "novel", "book"),
+    "film": ("director", "directed", "film", "movie", "starring", "actor", "actress"),
+    "music": ("album", "song", "singer", "band", "music", "composer"),
+    "sports": ("team", "club", "league", "season", "coach", "player", "played"),
+    "organization": ("company", "organization", "university", "school", "member"),
+    "family": ("spouse", "wife", "husband", "father", "mother", "son", "daughter"),
+    "award": ("award", "prize", "won", "winner", "nominated"),
+    "population": ("population", "inhabitants", "census"),
+    "time": ("year", "date", "when"),
 }
 
 
@@ -36,7 +41,7 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words_array(words: list[str]) -> Column:
+def words_array(words: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
@@ -104,7 +109,7 @@ def query_terms(text: Column, most: int = 18) -> Column:
 
 def relation_cues(tokens: Column) -> Column:
     """Names of the relations whose words are among ``tokens``; sorted."""
-    found = [F.when(F.arrays_overlap(tokens, words_array(words.split())), F.lit(name)) for name, words in sorted(RELATIONS.items())]
+    found = [F.when(F.arrays_overlap(tokens, words_array(words)), F.lit(name)) for name, words in sorted(RELATIONS.items())]
     return F.array_compact(F.array(*found))
 
 

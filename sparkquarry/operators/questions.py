@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from sparkquarry.functions import text as tx
 
 # Word lists, months and issue codes.
-LOOKUP_WORDS = "document file record entry article page corpus".split()
-HOP_FORBIDDEN = "document file evidence sentence passage source article".split()
-FACT_FORBIDDEN = [*HOP_FORBIDDEN, "text", "according to", "rewrite", "fact"]
+LOOKUP_WORDS = (
+    "document", "file", "record", "entry", "article", "page", "corpus",
+)
+HOP_FORBIDDEN = (
+    "document", "file", "evidence", "sentence", "passage", "source", "article",
+)
+FACT_FORBIDDEN = (*HOP_FORBIDDEN, "text", "according to", "rewrite", "fact")
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan\\.?|Feb\\.?|Mar\\.?|Apr\\.?|Jun\\.?|Jul\\.?|Aug\\.?|Sep\\.?|Sept\\.?|Oct\\.?|Nov\\.?|Dec\\.?"
 DATE = rf"\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}\b"
 DEFINITIONS = ("what is ", "what is the ", "what was ", "what was the ", "who is ", "who was ")

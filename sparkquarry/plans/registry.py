@@ -134,7 +134,7 @@ def query_terms(spark, sf_dir):
     return src.table(spark, sf_dir, "benchmark").select("item_id", _joined(tx.query_terms(F.col("text"))).alias("terms"))
 
 
-_CUES = ", ".join(f"CASE WHEN list_has_any({_toks('text')}, [{', '.join(repr(w) for w in words.split())}]) THEN '{name}' END" for name, words in sorted(tx.RELATIONS.items()))
+_CUES = ", ".join(f"CASE WHEN list_has_any({_toks('text')}, [{', '.join(repr(w) for w in words)}]) THEN '{name}' END" for name, words in sorted(tx.RELATIONS.items()))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_CUES}], lambda c: c IS NOT NULL), '|') AS cues FROM documents")

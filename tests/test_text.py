@@ -1,5 +1,4 @@
 import re
-from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -8,61 +7,53 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sparkquarry.functions import text as tx
 
-SAMPLES = [
-    "", " ", "The cat sat on the mat. The CAT!", 'Find the document titled "Alpha Bridge" from 1999', "Über Goober of the Rings and Élan", "İstanbul 3.5 and 1999 or 12345",
-    'He said "  inner  " and "inner"', "New York City de la Cruz", "who was the director born in Old Town?", "a b c d", "Don't Stop. The End", "x" * 500 + " tail",
-]
-
-
-def norm(t):
-    return re.sub("[^a-z0-9]+", " ", t.lower()).strip()
-
-
-def keywords(t, n):
-    tokens = [x for x in norm(t).split() if len(x) > 2 and x not in tx.STOPWORDS]
-    return [w for w, _ in Counter(tokens).most_common(n)]
-
-
-def entities(t):
-    found = re.findall(r"\b(?:[A-Z][a-zA-Z0-9'&.-]+)(?:\s+(?:[A-Z][a-zA-Z0-9'&.-]+|of|the|and|de|la))*", t)
-    return sorted({norm(e) for e in found} - {""} - set(tx.STOPWORDS))
-
-
-def terms(t, n):
-    out = []
-    for w in keywords(t, 2 * n) + norm(t).split():
-        if w not in out and w not in tx.QUERY_STOPWORDS and (len(w) > 2 or w.isdigit()):
-            out.append(w)
-    return out[:n]
-
-
-CASES = {
-    "norm": (tx.normalize_text, norm),
-    "tokens": (tx.token_count, lambda t: max(1, len(t.split()))),
-    "entities": (tx.entities, entities),
-    "numbers": (tx.numbers_and_dates, lambda t: sorted(set(re.findall(r"\b\d{4}\b|\b\d+(?:\.\d+)?\b", t)))),
-    "quotes": (tx.quoted_phrases, lambda t: [p.strip(" ") for p in re.findall('"([^"]+)"', t)]),
-    "keywords": (lambda c: tx.keywords(c, 5), lambda t: keywords(t, 5)),
-    "terms": (lambda c: tx.query_terms(c, 6), lambda t: terms(t, 6)),
-    "cues": (lambda c: tx.relation_cues(tx.normal_tokens(c)), lambda t: sorted(k for k, v in tx.RELATIONS.items() if set(v.split()) & set(norm(t).split()))),
-}
-
-
-@pytest.mark.parametrize("name", CASES)
-def test_samples(spark, name):
-    ours, want = CASES[name]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES)], "i int, t string").select("i", ours(F.col("t")).alias("v")).collect()
-    assert {r.i: r.v for r in rows} == {i: want(t) for i, t in enumerate(SAMPLES)}
+FEATURES = {
+    "norm": tx.normalize_text, "tokens": tx.token_count, "entities": tx.entities, "numbers": tx.numbers_and_dates, "quotes": tx.quoted_phrases,
+    "keywords": lambda c: tx.keywords(c, 5), "terms": lambda c: tx.query_terms(c, 6), "cues": lambda c: tx.relation_cues(tx.normal_tokens(c)),
+}
+
+#: Texts with what is expected of each feature, worked out by hand; what is not named is empty.
+EXPECTED = {
+    "": {"tokens": 1},
+    " ": {"tokens": 1},
+    "a b c d": {"norm": "a b c d", "tokens": 4},
+    "The cat sat on the mat. The CAT!": {"norm": "the cat sat on the mat the cat", "tokens": 8, "entities": ["the cat"], "keywords": ["cat", "sat", "mat"], "terms": ["cat", "sat", "mat"]},
+    'Find the document titled "Alpha Bridge" from 1999': {
+        "norm": "find the document titled alpha bridge from 1999", "tokens": 8, "entities": ["alpha bridge", "find the"], "numbers": ["1999"], "quotes": ["Alpha Bridge"],
+        "keywords": ["find", "document", "titled", "alpha", "bridge"], "terms": ["document", "titled", "alpha", "bridge", "1999"],
+    },
+    "Über Goober of the Rings and Élan": {"norm": "ber goober of the rings and lan", "tokens": 7, "entities": ["goober of the rings and"], "keywords": ["ber", "goober", "rings", "lan"], "terms": ["ber", "goober", "rings", "lan"]},
+    "İstanbul 3.5 and 1999 or 12345": {"norm": "i stanbul 3 5 and 1999 or 12345", "tokens": 6, "numbers": ["12345", "1999", "3.5"], "keywords": ["stanbul", "1999", "12345"], "terms": ["stanbul", "1999", "12345", "3", "5"]},
+    'He said "  inner  " and "inner"': {"norm": "he said inner and inner", "tokens": 7, "quotes": ["inner", "inner"], "keywords": ["inner", "said"], "terms": ["inner", "said"]},
+    "New York City de la Cruz": {"norm": "new york city de la cruz", "tokens": 6, "entities": ["new york city de la cruz"], "keywords": ["new", "york", "city", "cruz"], "terms": ["new", "york", "city", "cruz"], "cues": ["location"]},
+    "who was the director born in Old Town?": {"norm": "who was the director born in old town", "tokens": 8, "entities": ["old town"], "keywords": ["director", "born", "old", "town"], "terms": ["director", "born", "old", "town"], "cues": ["birth", "film"]},
+    "Don't Stop. The End": {"norm": "don t stop the end", "tokens": 4, "entities": ["don t stop the end"], "keywords": ["don", "stop", "end"], "terms": ["don", "stop", "end"]},
+    "x" * 500 + " tail": {"norm": "x" * 500 + " tail", "tokens": 2, "keywords": ["x" * 500, "tail"], "terms": ["x" * 500, "tail"]},
+    "one two two three three three four five six seven": {"norm": "one two two three three three four five six seven", "tokens": 10, "keywords": ["three", "two", "one", "four", "five"], "terms": ["three", "two", "one", "four", "five", "six"]},
+}
+
+
+@pytest.mark.parametrize("name", FEATURES)
+def test_texts_worked_out_by_hand(spark, name):
+    rows = spark.createDataFrame(list(enumerate(EXPECTED)), "i int, t string").select("i", FEATURES[name](F.col("t")).alias("v")).collect()
+    empty = "" if name == "norm" else []
+    assert {r.i: r.v for r in rows} == {i: e.get(name, empty) for i, e in enumerate(EXPECTED.values())}
 
 
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.text(alphabet="abAB the of .,'\"019-é\n", max_size=40), min_size=1, max_size=30))
-def test_any_text(spark, texts):
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = rows.select("i", *[ours(F.col("t")).alias(n) for n, (ours, _) in CASES.items()]).collect()
+def test_what_holds_of_any_text(spark, texts):
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", *[f(F.col("t")).alias(n) for n, f in FEATURES.items()], tx.keyword_set(F.col("t"), 5).alias("kept")).collect()
     for r in got:
-        for n, (_, want) in CASES.items():
-            assert r[n] == want(texts[r.i]), (n, texts[r.i])
+        words = r.norm.split(" ") if r.norm else []
+        assert re.fullmatch("[a-z0-9 ]*", r.norm) and all(words) and r.tokens >= 1
+        assert r.entities == sorted(set(r.entities)) and all(f" {e} " in f" {r.norm} " for e in r.entities)
+        assert r.numbers == sorted(set(r.numbers)) and all(n in r.t for n in r.numbers)
+        assert all(p in r.t and '"' not in p for p in r.quotes) and len(r.quotes) <= r.t.count('"') // 2
+        assert len(r.keywords) == len(set(r.keywords)) <= 5 and set(r.keywords) <= set(words)
+        counts = [(-words.count(k), words.index(k)) for k in r.keywords]
+        assert counts == sorted(counts) and set(r.kept) >= set(r.keywords)
+        assert len(r.terms) == len(set(r.terms)) <= 6 and set(r.terms) <= set(words)
 
 
 def test_small_functions(spark):
