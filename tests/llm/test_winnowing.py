@@ -80,3 +80,12 @@ def test_empty_and_single(spark):
     assert winnowing.report(frame(spark, [])).count() == 0
     r = winnowing.report(frame(spark, [(3, "just one text of a few words")])).first()
     assert r.near_next == 1.0
+
+
+def test_rows_that_share_an_id_have_an_order(spark):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (2, "red green blue white black"), (2, "red green blue white grey"), (2, "red green blue white grey"), (3, "last words of all")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted(map(tuple, winnowing.report(frame.coalesce(1)).collect()))
+    assert len(first) == 6
+    for way in (frame.repartition(5), frame.orderBy("text"), spark.createDataFrame(rows[::-1], "doc_id long, text string")):
+        assert sorted(map(tuple, winnowing.report(way).collect())) == first
