@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
@@ -40,9 +39,11 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def document_keywords(rows: DataFrame, text: Column, most: int) -> DataFrame:
-    """``(doc_id, keywords)``: the ``most`` frequent keywords of long texts, ties by first occurrence."""
-    tokens = rows.select("doc_id", F.posexplode(tx.normal_tokens(text)).alias("at", "token")).filter(tx.is_keyword(F.col("token")))
-    counts = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    ranked = counts.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "at"))).filter(F.col("place") <= most)
-    lists = ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda r: r["token"]).alias("keywords"))
-    return rows.select("doc_id").distinct().join(lists, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    """``(doc_id, keywords)``: the ``most`` frequent keywords of long texts, ties by first occurrence.
+
+    Counted inside the row by sorting, so nothing is shuffled.
+    """
+    kept = F.filter(tx.normal_tokens(text), tx.is_keyword)
+    counted = tx.runs(kept, lambda s, a, b: F.struct((a - b).alias("n"), F.get(s, a)["at"].alias("at"), F.get(s, a)["token"].alias("token")))
+    words = F.transform(F.slice(F.sort_array(counted), 1, most), lambda e: e["token"])
+    return rows.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("keywords"))
