@@ -24,3 +24,16 @@ def test_document_keywords_shuffle_nothing(spark):
 
 def test_relation_cues_read_the_tokens_once(spark):
     assert str(tx.relation_cues(F.col("zz"))).count("zz") == 1
+
+
+def test_dense_search_holds_a_piece_of_the_scores():
+    rng = np.random.default_rng(3)
+    asked, own, names = rng.normal(size=(1_000, 8)), rng.normal(size=(10_000, 8)), rng.permutation(10_000)
+    tracemalloc.start()
+    score, ids = dense._best_of(asked, names, own, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all scores alone take 80 MB, and sorting them five times as much
+    whole = asked @ own.T
+    order = np.lexsort((np.broadcast_to(names, whole.shape), -np.round(whole, 9)), axis=1)[:, :5]
+    assert (ids == names[order]).all() and np.allclose(score, np.take_along_axis(whole, order, 1))
