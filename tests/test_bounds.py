@@ -37,3 +37,9 @@ def test_dense_search_holds_a_piece_of_the_scores():
     whole = asked @ own.T
     order = np.lexsort((np.broadcast_to(names, whole.shape), -np.round(whole, 9)), axis=1)[:, :5]
     assert (ids == names[order]).all() and np.allclose(score, np.take_along_axis(whole, order, 1))
+
+
+def test_validation_finds_gold_once(spark, sf_dir):
+    corpus, asked = src.documents_as_corpus(spark, sf_dir), src.benchmark_as_questions(spark, sf_dir)
+    found = plan(dataset.validation(corpus, asked, src.gold_by_containment(asked, corpus)))
+    assert "xxhash64" not in found and "/cut-" in found
