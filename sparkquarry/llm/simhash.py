@@ -242,8 +242,17 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
-    found = some.groupBy("h").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}").orderBy(F.desc("n"), "h").limit(KNOWN)
-    return np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
+    found = staged(some.groupBy("h").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}"), "similar-common")
+    # The most frequent by their counts: neither rows nor a sort of them reach the driver, only the hashes as one Arrow column.
+    counts = sorted(found.groupBy("n").agg(F.count("*").alias("hashes")).collect(), key=lambda r: -r.n)  # a row for each count there is
+    least, known = 0, 0
+    for row in counts:
+        known += row.hashes
+        if known > KNOWN:
+            least = row.n
+            break
+    hashes = found.filter(F.col("n") > least).select("h").toArrow().column("h").to_numpy()
+    return np.sort(hashes.astype(np.int64).view(np.uint64))
 
 
 def _shingles(text: str, shingle: int):

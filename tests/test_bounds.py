@@ -43,3 +43,17 @@ def test_validation_finds_gold_once(spark, sf_dir):
     corpus, asked = src.documents_as_corpus(spark, sf_dir), src.benchmark_as_questions(spark, sf_dir)
     found = plan(dataset.validation(corpus, asked, src.gold_by_containment(asked, corpus)))
     assert "xxhash64" not in found and "/cut-" in found
+
+
+def test_common_shingles_reach_the_driver_as_a_column(spark, monkeypatch):
+    sizes, kind = [], type(spark.range(1))
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sizes.append(len(rows := real(self))) or rows)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = spark.createDataFrame([(i, text if i < 3 else text[: 300 + i]) for i in range(6)], "doc_id long, text string")
+    everything = simhash._common(rows, 2)
+    assert len(everything) == 399 and (np.diff(everything.astype(object)) > 0).all() and max(sizes) < 10
+    monkeypatch.setattr(simhash, "KNOWN", 200)
+    most = simhash._common(rows, 2)
+    assert 0 < len(most) <= 200 and set(most) <= set(everything)
