@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as tx
 from sparkquarry.llm import simhash
-from sparkquarry.operators import dataset, dense, terms
+from sparkquarry.operators import dataset, dense, fts, terms
 from sparkquarry.sources import corpus as src
 
 
@@ -57,3 +57,14 @@ def test_common_shingles_reach_the_driver_as_a_column(spark, monkeypatch):
     monkeypatch.setattr(simhash, "KNOWN", 200)
     most = simhash._common(rows, 2)
     assert 0 < len(most) <= 200 and set(most) <= set(everything)
+
+
+def test_postings_of_chunks_are_made_in_arrays(spark, monkeypatch):
+    monkeypatch.setattr(fts, "TOKENS_AT_ONCE", 5)
+    corpus = spark.createDataFrame([(1, "Old Mill", ["The Mill in 1987.", "b a b", "c"]), (2, "", []), (3, "é", ["Éa é", "", "é 1 Zz"] * 3)], "doc_id long, title string, sentences array<string>")
+    rows = fts.fields(fts.chunks(corpus))
+    found, _ = fts.chunk_index(rows)
+    want = fts._weighted(rows).select("doc_id", "chunk_no", F.size("tokens").cast("long").alias("n_tokens"), fts._summed(F.col("tokens")).alias("terms"))
+    assert sorted(map(tuple, found.select("doc_id", "chunk_no", "n_tokens", "terms").collect())) == sorted(map(tuple, want.collect()))
+    made = fts._posted(rows)
+    assert "MapInArrow" in plan(made) and "aggregate(" not in plan(made)
