@@ -6,6 +6,7 @@ import pytest
 
 from sparkquarry.functions import names as nm
 from sparkquarry.operators import graph, titles
+from sparkquarry.sources import corpus as src
 
 
 def first(text, names, most):
@@ -45,3 +46,11 @@ def test_title_links_read_texts_without_a_row_for_each_word(spark):
     found = graph.title_links(corpus)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("1", "2"), ("2", "1")]
+
+
+def test_entities_alone_need_no_graph(spark, sf_dir, monkeypatch):
+    corpus = src.documents_as_corpus(spark, sf_dir).limit(20).localCheckpoint()
+    rows = lambda frame: sorted(map(tuple, frame.select("entity", "degree", "idf", "spec", "cost").collect()))
+    want = rows(graph.build(corpus).entities)
+    monkeypatch.setattr(graph, "title_links", None)
+    assert rows(graph.entities(corpus)) == want
